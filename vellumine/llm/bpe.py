@@ -42,8 +42,10 @@ BLOCK_TOKENS = 2_000_000
 #: Buckets of words for each shuffle partition; several, so that partitions come out even.
 BUCKETS_PER_PARTITION = 4
 
-# The characters of Unicode's White_Space property, which \s stands for.
-WHITE_SPACE = "\t-\r \x85\xa0  -     　"
+# The code points of Unicode's White_Space property, which \s stands for.
+WHITE_SPACE = "".join(
+    map(chr, (9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 
 
 def default_vocabulary() -> str:
@@ -74,7 +76,7 @@ def splitter():
         .replace(r"\S", f"[^{WHITE_SPACE}]")
     )
     limit = 0x250
-    letters, numbers, space = _class("L", limit), _class("N", limit), "\t-\r \x85\xa0"
+    letters, numbers, space = _class("L", limit), _class("N", limit), "".join(c for c in WHITE_SPACE if ord(c) < limit)
     quick = re.compile(
         pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]")
         .replace(r"\p{L}", f"[{letters}]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid
+from . import bpe, exact_dedup, fingerprints, html_extract, langid, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited copy and their likenesses."""
+    return fingerprints.drift(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -25,15 +30,30 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, normalised and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to, as digests."""
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_fingerprints": op3_fingerprints,
     "op5_language_id": op5_language_id,
+    "op6_warc": op6_warc,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLES = {
@@ -44,4 +64,17 @@ ORACLES = {
                doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages)
+        SELECT page_id,
+               strlen(html)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+                   ((strpos('0123456789abcdef', substr(sha1(html), ((5 * i) // 4 + 1)::INT, 1)) - 1) * 16
+                    + strpos('0123456789abcdef', substr(sha1(html), ((5 * i) // 4 + 2)::INT, 1)) - 1)
+                   // (1 << (3 - (5 * i) % 4)::INT) % 32)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p""",
 }
