@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, html_extract, langid, warc
+from . import bpe, exact_dedup, fingerprints, html_extract, langid, near_dedup, warc
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to, as digests."""
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_html_extraction": op9_html_extraction,
 }
