@@ -30,6 +30,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: no file space is reserved ahead of what is written
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -115,11 +117,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     copies = keyed.join(hits, "__x_digest")
     # the retained content, found by identifier and locator, against which bytes are compared
+    # (written out, as a join under which an aggregate stands can't split a hot digest)
     retained = (
         copies.where(F.col(id_col).cast("bigint").eqNullSafe(F.col("__x_keep")) & (F.col("__x_file") == F.col("__x_locator")))
         .groupBy("__x_digest")
         .agg(F.max("__x_text").alias("__x_content"))
     )
+    retained = materialise(retained, f"{home}/retained")
     checked = copies.join(retained, "__x_digest", "left").withColumn(
         "__x_other", F.when(F.col("__x_text") == F.col("__x_content"), F.lit("")).otherwise(F.concat(F.lit("="), "__x_text"))
     )
@@ -131,6 +135,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.count(F.lit(1)).alias("__x_size"),
         F.max(F.struct(F.col(id_col).cast("bigint").alias("id"), F.col("__x_row").alias("row"), F.col("__x_file").alias("at"))).alias("__x_best"),
     )
+    groups = materialise(groups, f"{home}/groups")
     many = checked.join(groups, ["__x_digest", "__x_other"]).select(
         *docs.columns,
         F.col("__x_best.id").alias("__x_keep_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, html_extract, langid, near_dedup, warc
+from . import bpe, exact_dedup, fingerprints, html_extract, langid, near_dedup, pii, warc
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.drift(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -55,6 +60,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
