@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, html_extract, langid, near_dedup, pii, warc
+from . import bpe, exact_dedup, fingerprints, html_extract, langid, mixing, near_dedup, pii, warc
 from .common import table
 
 
@@ -16,6 +16,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and fitted rate of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited copy and their likenesses."""
     return fingerprints.drift(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -59,6 +65,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_mixing": op2_mixing,
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
