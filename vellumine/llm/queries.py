@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, html_extract, langid, mixing, near_dedup, pii, warc
+from . import bpe, chat, exact_dedup, fingerprints, html_extract, langid, mixing, near_dedup, pii, warc
 from .common import table
 
 
@@ -63,6 +63,11 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op10_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a linked, ordered and serialised call, result or message."""
+    return chat.link(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "kind", "call_id", "status", "after", "depth", "canonical")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -73,6 +78,7 @@ QUERIES = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_html_extraction": op9_html_extraction,
+    "op10_chat_tool_calls": op10_chat_tool_calls,
 }
 
 ORACLES = {
@@ -96,4 +102,32 @@ ORACLES = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p""",
+    "op10_chat_tool_calls": """
+        WITH e AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text,
+                   CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+                   CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS of_turn
+            FROM conversations),
+        j AS (
+            SELECT *, CASE kind
+                WHEN 'call' THEN '{"arguments":{"text":' || to_json(text)::VARCHAR || '},"id":"turn-' || of_turn || '","name":"reply","type":"tool_call"}'
+                WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"id":"turn-' || of_turn || '","type":"tool_result"}'
+                ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"type":"message"}' END AS canonical
+            FROM e),
+        n AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, kind, of_turn ORDER BY turn, canonical) AS place,
+                   count_if(kind = 'call') OVER (PARTITION BY conv_id, of_turn) > 0 AS called,
+                   count_if(kind = 'result') OVER (PARTITION BY conv_id, of_turn) > 0 AS answered
+            FROM j)
+        SELECT conv_id, turn, kind, 'turn-' || of_turn AS call_id,
+               CASE WHEN kind = 'message' THEN 'message'
+                    WHEN place > 1 THEN 'duplicate_' || kind
+                    WHEN kind = 'call' AND text = '' THEN 'invalid'
+                    WHEN kind = 'call' AND NOT answered THEN 'unanswered'
+                    WHEN kind = 'result' AND NOT called THEN 'orphan'
+                    ELSE 'ok' END AS status,
+               turn AS after,
+               CASE WHEN kind = 'result' AND called THEN 1 ELSE 0 END AS depth,
+               canonical
+        FROM n""",
 }
