@@ -5,6 +5,8 @@
    list, and sends each of its distinct words once to the bucket given by the word's hash.
 2. A bucket meets the words of all blocks.  Each distinct word is encoded once, by the merge
    ranks; every block gets back the ids of the words it sent.
+   Blocks are named by their contents, so that the two readers of the cut (the words, and the
+   positions) may each evaluate it and a lost executor's part can be evaluated again.
 3. Blocks are joined with their answers, and the ids of a document are put together by
    position.  Decoding looks each id up in the token-byte table (one entry per rank, a size
    fixed by the vocabulary file).
@@ -22,7 +24,6 @@ import hashlib
 import re
 import sys
 import unicodedata
-import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,10 +36,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, ship, shared_root
+from .common import partitions, ship
 
 #: Pre-tokens after which a block of documents is closed.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 6_000_000
 #: Buckets of words for each shuffle partition; several, so that partitions come out even.
 BUCKETS_PER_PARTITION = 4
 
@@ -127,76 +128,109 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-BLOCKS = "block string, ids array<bigint>, sizes array<int>, positions binary, words array<string>"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_words(words: list[str]) -> bytes:
+    raw = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, raw), "<u4", len(raw))
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(raw)).tobytes() + sizes.tobytes() + b"".join(raw))
+
+
+def _unpack_words(blob: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    count = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<u4", count, 4), dtype=np.int64) + 4 + 4 * count
+    return [data[a:b] for a, b in zip([4 + 4 * count, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+class Block:
+    """A run of documents: their identifiers and sizes, and the places of their words."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+        self.ids: list = []
+        self.sizes: list[int] = []
+        self.at = array("I")
+
+    def add(self, key, tokens: list[str]) -> None:
+        names = self.names
+        self.at.extend([names.setdefault(w, len(names)) for w in tokens])
+        self.ids.append(key)
+        self.sizes.append(len(tokens))
+
+    def close(self, buckets: int) -> tuple[str, np.ndarray, list[str], np.ndarray]:
+        """Name, positions, words by number and their buckets.
+
+        Common words get small numbers, and words of one count stand by bucket and letters:
+        that is how both the positions and the words pack well.
+        """
+        where = np.frombuffer(self.at, dtype=np.uint32)
+        words = list(self.names)
+        of = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
+        counts = np.bincount(where, minlength=len(words)).tolist()
+        order = np.array(sorted(range(len(words)), key=lambda i: (-counts[i], of[i], words[i])), np.int64)
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        positions = rank[where]
+        name = xxhash.xxh3_128(repr((self.ids, self.sizes)).encode())
+        name.update(positions.tobytes())
+        words = [words[i] for i in order]
+        name.update("\0".join(words).encode())
+        return name.hexdigest(), positions, words, of[order]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     split = splitter()
-    names: dict[str, int] = {}
-    ids: list = []
-    sizes: list[int] = []
-    at = array("I")
-
-    def close() -> pa.RecordBatch:
-        where = np.frombuffer(at, dtype=np.uint32)
-        # common words get small numbers, which pack well
-        order = np.argsort(-np.bincount(where, minlength=len(names)), kind="stable")
-        rank = np.empty(len(names), np.uint32)
-        rank[order] = np.arange(len(names), dtype=np.uint32)
-        words = list(names)
-        row = {
-            "block": [uuid.uuid4().hex],
-            "ids": [list(ids)],
-            "sizes": [list(sizes)],
-            "positions": [_pack(rank[where])],
-            "words": [[words[i] for i in order]],
-        }
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(row["block"], pa.string()),
-                pa.array(row["ids"], pa.list_(pa.int64())),
-                pa.array(row["sizes"], pa.list_(pa.int32())),
-                pa.array(row["positions"], pa.binary()),
-                pa.array(row["words"], pa.list_(pa.string())),
-            ],
-            names=list(row),
-        )
-
+    block = Block()
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            tokens = split(text.as_py() or "")
-            at.extend([names.setdefault(w, len(names)) for w in tokens])
-            ids.append(key)
-            sizes.append(len(tokens))
-            if len(at) >= BLOCK_TOKENS:
-                yield close()
-                names, ids, sizes, at = {}, [], [], array("I")
-    if ids:
-        yield close()
+            block.add(key, split(text.as_py() or ""))
+            if len(block.at) >= BLOCK_TOKENS:
+                yield block
+                block = Block()
+    if block.ids:
+        yield block
+
+
+POSITIONS = "block string, ids array<bigint>, sizes array<int>, positions binary"
+SENT = "bucket int, block string, places binary, words binary"
+
+
+def _positions(buckets: int):
+    """Documents to (block, ids, sizes, positions)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            name, positions, _, _ = block.close(buckets)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name], pa.string()),
+                    pa.array([block.ids], pa.list_(pa.int64())),
+                    pa.array([block.sizes], pa.list_(pa.int32())),
+                    pa.array([_pack(positions)], pa.binary()),
+                ],
+                names=["block", "ids", "sizes", "positions"],
+            )
+
+    return run
 
 
 def _spread(buckets: int):
-    """Blocks to (bucket, block, places, words): each distinct word of a block once."""
+    """Documents to (bucket, block, places, words): each distinct word of a block once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, column in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = column.as_py()
-                if not words:
-                    continue
-                of = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int32, len(words))
-                order = np.argsort(of, kind="stable")
-                bounds = np.flatnonzero(np.diff(of[order], prepend=-1))
-                parts = np.split(order, bounds[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(of[order][bounds], pa.int32()),
-                        pa.array([block] * len(parts), pa.string()),
-                        pa.array([_pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
-                        pa.array([[words[i] for i in p] for p in parts], pa.list_(pa.string())),
-                    ],
-                    names=["bucket", "block", "places", "words"],
-                )
+        for block in _blocks(batches):
+            name, _, words, of = block.close(buckets)
+            order = np.argsort(of, kind="stable")
+            bounds = np.flatnonzero(np.diff(of[order], prepend=-1))
+            parts = np.split(order, bounds[1:]) if len(order) else []
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(of[order][bounds], pa.int32()),
+                    pa.array([name] * len(parts), pa.string()),
+                    pa.array([_pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                    pa.array([_pack_words([words[i] for i in p]) for p in parts], pa.binary()),
+                ],
+                names=["bucket", "block", "places", "words"],
+            )
 
     return run
 
@@ -206,7 +240,7 @@ def _encode(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoder(path)._encode_single_piece
-        known: dict[str, list[int]] = {}
+        known: dict[bytes, list[int]] = {}
         now = None
         for batch in batches:  # rows come sorted by bucket
             blocks, places, sizes, found = [], [], [], []
@@ -214,10 +248,10 @@ def _encode(path: str):
                 if bucket.as_py() != now:
                     known, now = {}, bucket.as_py()
                 each = []
-                for w in words.as_py():
+                for w in _unpack_words(words.as_py()):
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = one(w.encode())
+                        ids = known[w] = one(w)
                     each.append(ids)
                 blocks.append(block.as_py())
                 places.append(place.as_py())
@@ -246,7 +280,7 @@ def _assemble(path: str, with_ids: bool):
                     ends = np.cumsum(_unpack(a["sizes"])).tolist()
                     for place, start, end in zip(places, [0, *ends[:-1]], ends, strict=True):
                         words[place] = flat[start:end]
-                own = [words[i] for i in range(len(words))]
+                own = [words[i] for i in range(len(words))]  # a block without its answers fails here
                 shown = [" ".join([text_of[i] for i in w]) for w in own]
                 meant = [b"".join([table[i] for i in w]) for w in own]
                 count = np.array([len(w) for w in own] or [0], np.int64)
@@ -277,20 +311,18 @@ def encode_decode(
     spark = docs.sparkSession
     ship(spark)
     path = vocabulary or default_vocabulary()
-    home = shared_root(spark)
     pairs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # block names are drawn at random, so the blocks are written before two readers use them
-    blocks = materialise(pairs.mapInArrow(_blocks, BLOCKS), f"{home}/blocks")
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
-    sent = blocks.select("block", "words").mapInArrow(_spread(buckets), "bucket int, block string, places binary, words array<string>")
     answers = (
-        sent.repartition(partitions(spark), "bucket")
+        pairs.mapInArrow(_spread(buckets), SENT)
+        .repartition(partitions(spark), "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_encode(path), "block string, places binary, sizes binary, found binary")
         .groupBy("block")
         .agg(F.collect_list(F.struct("places", "sizes", "found")).alias("answers"))
     )
-    joined = blocks.drop("words").join(answers.hint("merge"), "block", "left").select("ids", "sizes", "positions", "answers")
+    cut = pairs.mapInArrow(_positions(buckets), POSITIONS)
+    joined = cut.join(answers.hint("merge"), "block", "left").select("ids", "sizes", "positions", "answers")
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return joined.mapInArrow(_assemble(path, with_ids), schema)
 
