@@ -40,14 +40,14 @@ from .common import materialise, shared_root
 DOMAINS = ("high", "low", "toxic")
 TRAITS = ("low", "toxic")
 #: Target shares of tokens.
-TARGETS = {"high": 0.84, "low": 0.14, "toxic": 0.02}
+TARGETS = {"high": 0.93, "low": 0.05, "toxic": 0.02}
 #: Labelled documents that are used, at most; half to fit, half to set the temperature.
 TRAIN_ROWS = 10_000
 #: Features of the classifier at most, and places of the array they stand in.
 MAX_FEATURES = 4096
 PLACES = 1 << 15
 #: Least likelihood ratio statistic of a feature, and largest log odds.
-MIN_G2 = 60.0
+MIN_G2 = 25.0
 MAX_ODDS = 4.0
 #: Pull towards rate 1, and gradient steps at most.
 PULL = 1e-3
@@ -245,3 +245,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     rated = scored.withColumn("rate", rate_column(fit_rates(shares, targets)))
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     return rated.withColumn("copies", F.floor(F.col("rate") + u).cast("bigint"))
+
+
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """The rows of ``docs`` as the fitted rates have them.
+
+    A document with a rate below one half leaves; any other appears ``copies`` times, and once
+    at least.
+    """
+    times = F.when(F.col("__x_rate") < 0.5, 0).otherwise(F.greatest(F.lit(1), F.col("__x_copies")))
+    mixed = mix(docs, labels, targets).withColumnsRenamed({"rate": "__x_rate", "copies": "__x_copies"})
+    return mixed.where(times > 0).withColumn("__x_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times.cast("bigint")))).select(*docs.columns)
