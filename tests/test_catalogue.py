@@ -1,0 +1,45 @@
+"""Each registered query against its SQL in DuckDB, on the smallest tables."""
+
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+
+from vellumine.plans import catalogue
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    for f in glob.glob(f"{DATA}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return c
+
+
+def plain(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 9)
+    return v
+
+
+def order(row):
+    return tuple((v is None, str(v)) for v in row)
+
+
+@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+def test_query(spark, duck, name):
+    df = catalogue.QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=order)
+    if name not in catalogue.ORACLES:
+        assert rows
+        return
+    found = duck.sql(catalogue.ORACLES[name])
+    assert sorted(found.columns) == columns
+    places = [found.columns.index(c) for c in columns]
+    assert rows == sorted((tuple(plain(r[i]) for i in places) for r in found.fetchall()), key=order)

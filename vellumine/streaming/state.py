@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 WINDOW_S, LIMIT = 60.0, 3
 #: Uses and acceptance from which a gray item is promoted, and bad cases that deprecate it.
@@ -35,6 +36,10 @@ def _sorted(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.repartition(n, key).sortWithinPartitions(key, *order)
 
 
+def _with_allowed(rows: DataFrame) -> StructType:
+    return StructType([*rows.schema.fields, StructField("allowed", BooleanType())])
+
+
 def rate_limit(events: DataFrame, window: float = WINDOW_S, limit: int = LIMIT) -> DataFrame:
     """(event_id, key, at seconds) with ``allowed``."""
 
@@ -49,7 +54,7 @@ def rate_limit(events: DataFrame, window: float = WINDOW_S, limit: int = LIMIT)
             yield frame.assign(allowed=allowed)
 
     rows = events.select("event_id", "key", "at")
-    return _sorted(rows, "key", ["at", "event_id"]).mapInPandas(run, rows.schema.add("allowed", "boolean"))
+    return _sorted(rows, "key", ["at", "event_id"]).mapInPandas(run, _with_allowed(rows))
 
 
 def rate_limit_stream(events: DataFrame, window: float = WINDOW_S, limit: int = LIMIT) -> DataFrame:
@@ -64,7 +69,7 @@ def rate_limit_stream(events: DataFrame, window: float = WINDOW_S, limit: int =
 
     rows = events.select("event_id", "key", "at")
     return rows.groupBy("key").applyInPandasWithState(
-        run, rows.schema.add("allowed", "boolean"), "seen array<double>", "append", GroupStateTimeout.NoTimeout
+        run, _with_allowed(rows), "seen array<double>", "append", GroupStateTimeout.NoTimeout
     )
 
 
