@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "tex
     kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prototypes = np.array([model[k] for k in names], np.float32).reshape(len(names), -1)
+        prototypes = np.array([model[k] for k in names], np.float32).reshape(len(names), DIMENSIONS)
         if names:
             prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1), 1e-12)[:, None]
         for batch in batches:
