@@ -81,6 +81,59 @@ QUERIES = {
     "op10_chat_tool_calls": op10_chat_tool_calls,
 }
 
+# The patterns of the kinds without possessive repetition and look-behind, which DuckDB lacks.
+SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+){3}",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "short_card": r"[0-9](?:[\x20-]?[0-9])+",
+    "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+SQL_DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+SQL_LUHN = f"""list_sum(list_transform(range(length({SQL_DIGITS})), lambda i: CASE WHEN i % 2 = 0
+    THEN substr({SQL_DIGITS}, (length({SQL_DIGITS}) - i)::INT, 1)::INT
+    ELSE substr({SQL_DIGITS}, (length({SQL_DIGITS}) - i)::INT, 1)::INT * 2
+         - CASE WHEN substr({SQL_DIGITS}, (length({SQL_DIGITS}) - i)::INT, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+SQL_ALONE = "NOT regexp_matches(CASE WHEN x.s > 0 THEN substr(t, x.s::INT, 1) ELSE '' END || ' ' || substr(t, x.e::INT + 1, 1), '[A-Za-z0-9]')"
+SQL_IBAN = "(substr(replace(x.m, ' ', ''), 5) || substr(replace(x.m, ' ', ''), 1, 4))"
+SQL_VALUE = f"(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({SQL_IBAN}, i::INT, 1)) - 1)"
+SQL_VALID = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(x.m, '.'), lambda y: length(ltrim(y, '0')) <= 3 AND coalesce(try_cast(nullif(ltrim(y, '0'), '') AS INT), 0) <= 255))",
+    "card": f"length({SQL_DIGITS}) BETWEEN 16 AND 19 AND {SQL_LUHN}",
+    "phone": f"length({SQL_DIGITS}) BETWEEN 8 AND 15",
+    "iban": f"""{SQL_ALONE} AND length(replace(x.m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT,
+        list_transform(range(1, length({SQL_IBAN}) + 1), lambda i: {SQL_VALUE}::BIGINT)), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1""",
+    "short_card": f"{SQL_ALONE} AND length({SQL_DIGITS}) BETWEEN 13 AND 15 AND {SQL_LUHN}",
+    "ssn": f"""{SQL_ALONE} AND NOT contains(CASE WHEN x.s > 0 THEN substr(t, x.s::INT, 1) ELSE '' END || substr(t, x.e::INT + 1, 1), '-')
+        AND NOT regexp_matches(x.m, '^(?:000|666|9)|-00-|-0000$')""",
+}
+
+
+def _pii_sql() -> str:
+    found, listed, counts = [], [], []
+    for k in pii.KINDS:
+        r, words = SQL_PATTERNS[k.name], pii.CONTEXT_WORDS[k.name]
+        near = f"lower(substr(t, greatest(x.s - {pii.CONTEXT}, 0)::INT + 1, (x.s - greatest(x.s - {pii.CONTEXT}, 0))::INT) || ' ' || substr(t, x.e::INT + 1, {pii.CONTEXT}))"
+        score = f"({k.score}::DOUBLE + CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{words})(?:$|[^a-z])') THEN {pii.BONUS}::DOUBLE ELSE 0::DOUBLE END)"
+        spans = f"""list_transform(list_zip(regexp_extract_all(t, '{r}'), string_split_regex(t, '{r}')[1:len(regexp_extract_all(t, '{r}'))], range(len(regexp_extract_all(t, '{r}')))),
+            lambda z: {{'m': z[1], 's': list_sum(list_transform(string_split_regex(t, '{r}')[1:z[3] + 1], lambda q: length(q)))
+                + coalesce(list_sum(list_transform(regexp_extract_all(t, '{r}')[1:z[3]], lambda q: length(q))), 0)}})"""
+        valid = SQL_VALID[k.name] + ("" if k.base else f" AND {score} >= {pii.MIN_SCORE}::DOUBLE")
+        placed = f"list_transform({spans}, lambda z: {{'m': z.m, 's': z.s, 'e': z.s + length(z.m)}})"
+        found.append(f"list_transform(list_filter({placed}, lambda x: {valid}), lambda x: {{'at': '{k.name}:' || x.s::BIGINT || ':' || x.e::BIGINT, 'score': {score}}}) AS {k.name}")
+        listed.append(k.name)
+        if k.base:
+            counts.append(f"len({k.name})::BIGINT AS n_{k.name}")
+    base, every = ("list_concat(" + ", ".join(x) + ")" for x in (listed[:4], listed))
+    text = "array_to_string(list_transform({}, lambda v: v.at), ',')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {", ".join(found)} FROM d)
+        SELECT doc_id, {", ".join(counts)}, sha256({text.format(base)}) AS base_sha256, {text.format(every)} AS spans,
+               (len({every}) - len({base}))::BIGINT AS n_added, list_max(list_transform({every}, lambda v: v.score)) AS max_score FROM f"""
+
+
 ORACLES = {
     "op1_exact_dedup": """
         SELECT doc_id,
@@ -130,4 +183,5 @@ ORACLES = {
                CASE WHEN kind = 'result' AND called THEN 1 ELSE 0 END AS depth,
                canonical
         FROM n""",
+    "op4_pii": _pii_sql(),
 }
