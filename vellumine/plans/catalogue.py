@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import dedupe, evaluate, feedback, pool, profile, segment
+from ..operators import dedupe, evaluate, feedback, pool, profile, review, segment
 from ..streaming import state
 
 QUERIES: dict = {}
@@ -696,3 +696,109 @@ def feedback_states(spark, sf_dir):
     """Status depends on the order of feedback."""
     e = t(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("seq"), (F.col("event_type") == "purchase").alias("ok"))
     return state.feedback_fold(e)
+
+
+# Reviews, checks and policies ------------------------------------------------------------
+
+WEIGHTS = [("worth", "price", 0.5), ("worth", "quantity", 0.5), ("steady", "discount", 4.0), ("steady", "quantity", 0.3)]
+
+
+@query(
+    "WITH w(fit, signal, weight) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in WEIGHTS) + """),
+    v AS (SELECT l_partkey AS id, round(avg(l_extendedprice) / 100000, 6) AS price, round(avg(l_discount), 6) AS discount, round(avg(l_quantity) / 50, 6) AS quantity FROM lineitem GROUP BY 1),
+    s AS (UNPIVOT v ON price, discount, quantity INTO NAME signal VALUE actual)
+    SELECT id, fit, round(least(1.0::DOUBLE, sum(weight * actual)) + 1e-9::DOUBLE, 4) AS score FROM s JOIN w USING (signal) GROUP BY ALL"""
+)
+def fit_scores(spark, sf_dir):
+    return review.fit_scores(_signals(spark, sf_dir), spark.createDataFrame(WEIGHTS, "fit string, signal string, weight double"))
+
+
+@query(
+    """WITH l AS (SELECT user_id, max(ts)::TIMESTAMP AS last FROM events GROUP BY 1), n AS (SELECT max(ts)::TIMESTAMP AS now FROM events)
+    SELECT user_id, floor((epoch(now) - epoch(last)) / 86400) < 1 AS cooling FROM l, n"""
+)
+def cooldown(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last"))
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return last.crossJoin(F.broadcast(now)).select("user_id", review.on_cooldown(F.col("last"), F.col("now"), 1).alias("cooling"))
+
+
+@query(
+    """SELECT doc_id, len(m)::BIGINT AS n_numbers, array_to_string(list_transform(m, lambda x: x::INT), '-') AS numbers
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[0-9]{1,6}') AS m FROM documents)"""
+)
+def number_sequences(spark, sf_dir):
+    n = t(spark, sf_dir, "documents").select("doc_id", review.number_sequence(F.coalesce("text", F.lit(""))).alias("m"))
+    return n.select("doc_id", F.size("m").cast("bigint").alias("n_numbers"), F.array_join(F.transform("m", lambda x: x.cast("string")), "-").alias("numbers"))
+
+
+@query(
+    """WITH q AS (SELECT l_orderkey AS id, min(l_returnflag) AS stem, max(l_linestatus) AS answer, list_sort(list(l_linestatus || CASE WHEN l_linenumber > 1 THEN '' || l_linenumber ELSE '' END)) AS options FROM lineitem GROUP BY 1),
+    e AS (SELECT id, (coalesce(stem, '') = '')::INT + (coalesce(answer, '') = '')::INT + (len(options) < 2 OR len(options) > 6)::INT + (len(list_distinct(options)) < len(options))::INT + (NOT list_contains(options, answer))::INT AS errors,
+        (list_max(list_transform(options, lambda x: length(x))) > 3 * list_min(list_transform(options, lambda x: length(x))))::INT AS warnings FROM q)
+    SELECT id, errors::BIGINT AS n_errors, greatest(0, 100 - 25 * errors - 5 * warnings)::BIGINT AS score, errors = 0 AS passed FROM e"""
+)
+def question_checks(spark, sf_dir):
+    x = t(spark, sf_dir, "lineitem")
+    option = F.concat("l_linestatus", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("string")).otherwise(""))
+    q = x.groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_returnflag").alias("stem"), F.max("l_linestatus").alias("answer"), F.sort_array(F.collect_list(option)).alias("options"))
+    return review.checked(q).select("id", F.size("errors").cast("bigint").alias("n_errors"), F.col("score").cast("bigint").alias("score"), "passed")
+
+
+@query(
+    """WITH p AS (SELECT o_custkey, count(*) AS n, count_if(o_orderstatus = 'O') AS stable FROM orders GROUP BY 1)
+    SELECT CASE WHEN coalesce(n, 0) = 0 THEN 'zero_material' WHEN stable = 0 THEN 'gray_only' ELSE 'stable_present' END AS bucket, count(*)::BIGINT AS n FROM customer LEFT JOIN p ON o_custkey = c_custkey GROUP BY 1"""
+)
+def funnel_buckets(spark, sf_dir):
+    m = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("article_id"), F.when(F.col("o_orderstatus") == "O", "stable").otherwise("gray").alias("channel"))
+    out = review.funnel(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("article_id")), m)
+    return out.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS grp, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS b FROM orders)
+    SELECT grp, count_if(a <= 3 AND b <= 3)::BIGINT AS stay, count_if(a = b)::BIGINT AS same_place, max(abs(a - b))::BIGINT AS largest_move FROM r WHERE a <= 3 OR b <= 3 GROUP BY 1"""
+)
+def rank_stability(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").withColumn("grp", F.col("o_custkey"))
+    out = review.rank_stability(o, [F.desc("o_totalprice"), F.asc("o_orderkey")], [F.desc("o_orderdate"), F.asc("o_orderkey")], 3)
+    return out.withColumn("largest_move", F.col("largest_move").cast("bigint"))
+
+
+@query(
+    """WITH i AS (SELECT event_type AS type, user_id AS item, count(*) AS rounds, bool_or(value > 90) AS approved, count_if(value > 20) AS ok FROM events GROUP BY ALL)
+    SELECT type, count(*)::BIGINT AS items, round(count_if(approved) / count(*), 4) AS approval_rate, round(avg(rounds) + 1e-9::DOUBLE, 4) AS mean_rounds, round(sum(ok) / sum(rounds) + 1e-9::DOUBLE, 4) AS action_success FROM i GROUP BY 1"""
+)
+def review_metrics(spark, sf_dir):
+    a = t(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.col("user_id").alias("item"), (F.col("value") > 90).alias("approved"), (F.col("value") > 20).alias("ok"))
+    return review.review_metrics(a)
+
+
+@query("""SELECT '{"l_linestatus":"' || l_linestatus || '","l_returnflag":"' || l_returnflag || '"}' AS signature, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
+def profile_signatures(spark, sf_dir):
+    return review.profile_signatures(t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+@query(
+    f"""WITH {SQL_RECORDS}, c AS (SELECT family, list_distinct(quantile_cont(final, [0.25, 0.5, 0.75, 0.9])) AS q FROM r GROUP BY 1), a AS (SELECT family, unnest(q) AS final_min, q FROM c),
+    p AS (SELECT * FROM (SELECT family, final_min, unnest(q) AS fallback_min FROM a) WHERE fallback_min <= final_min),
+    k AS (SELECT family, final_min, fallback_min, count_if(final >= final_min)::BIGINT AS kept, count_if(final >= final_min AND positive)::BIGINT AS kept_positive,
+        count_if(final < final_min AND final >= fallback_min)::BIGINT AS held, count_if(final < final_min AND final >= fallback_min AND positive)::BIGINT AS held_positive FROM r JOIN p USING (family) GROUP BY ALL)
+    SELECT family, round(final_min, 6) AS final_min, round(fallback_min, 6) AS fallback_min, kept, kept_positive, held, held_positive,
+        round(0.8::DOUBLE * coalesce(kept_positive / nullif(kept, 0), 0) + 0.2::DOUBLE * coalesce(held_positive / nullif(held, 0), 0) + 1e-9::DOUBLE, 4) AS objective FROM k"""
+)
+def policy_evaluation(spark, sf_dir):
+    r = backtest(spark, sf_dir)
+    out = review.evaluate_policies(r, review.policy_space(r, [0.25, 0.5, 0.75, 0.9]))
+    return out.withColumns({"final_min": F.round("final_min", 6), "fallback_min": F.round("fallback_min", 6)})
+
+
+@query(
+    f"""WITH {SQL_RECORDS} SELECT family, CASE WHEN final >= 0.6 AND readiness >= 0.5 AND penalty <= 0.4 THEN 'recommended' WHEN final >= 0.45 AND penalty <= 0.7 THEN 'hold' ELSE 'weak' END AS state,
+    CASE WHEN (final >= 0.66)::INT + (readiness >= 0.66)::INT + (quality >= 0.66)::INT >= 2 THEN 'hard' WHEN (final <= 0.33)::INT + (readiness <= 0.33)::INT + (quality <= 0.33)::INT >= 2 THEN 'easy' ELSE 'medium' END AS band,
+    count(*)::BIGINT AS n FROM r GROUP BY ALL"""
+)
+def difficulty_band_counts(spark, sf_dir):
+    state_of = review.selection_state(F.col("final"), F.col("readiness"), F.col("penalty")).alias("state")
+    return backtest(spark, sf_dir).groupBy("family", state_of, review.difficulty_band(F.array("final", "readiness", "quality")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
