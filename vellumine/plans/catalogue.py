@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import dedupe, evaluate, feedback, pool, profile, review, segment
+from ..operators import dedupe, evaluate, feedback, genre, pool, profile, review, segment
 from ..streaming import state
 
 QUERIES: dict = {}
@@ -802,3 +802,71 @@ def policy_evaluation(spark, sf_dir):
 def difficulty_band_counts(spark, sf_dir):
     state_of = review.selection_state(F.col("final"), F.col("readiness"), F.col("penalty")).alias("state")
     return backtest(spark, sf_dir).groupBy("family", state_of, review.difficulty_band(F.array("final", "readiness", "quality")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Genres, tails and summaries -------------------------------------------------------------
+
+
+def _sql_genres() -> str:
+    def hits(hay: str, words: tuple[str, ...]) -> str:
+        return "(" + " + ".join(f"contains({hay}, '{w}')::INT" for w in words) + ")"
+
+    rows = " UNION ALL ".join(
+        f"SELECT id, {i} AS rule, '{g}' AS genre, 2.0::DOUBLE * {hits('title', a)} + 1.0::DOUBLE * {hits('body', b)} + 1.5::DOUBLE * {hits('src', c)} AS score FROM a"
+        for i, (g, (a, b, c)) in enumerate(genre.RULES.items())
+    )
+    return f"""WITH a AS (SELECT doc_id AS id, lower(substr(coalesce(text, ''), 1, 60)) AS title, lower(coalesce(text, '')) AS body, lower(coalesce(source, '')) AS src FROM documents),
+        s AS (SELECT * FROM ({rows}) WHERE score > 0), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, rule) = 1)
+        SELECT a.id, coalesce(b.genre, 'general') AS genre, coalesce(b.score, 0) AS score FROM a LEFT JOIN b USING (id)"""
+
+
+@query(_sql_genres())
+def genre_top1(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), "text", "source")
+    return genre.genre_top(d).select("id", "genre", "score")
+
+
+@query(
+    f"""WITH {UNITS} SELECT article_id, md5(CASE WHEN len(paras) = 0 THEN '' WHEN length(two) <= 900 THEN two ELSE five END) AS tail_md5
+    FROM (SELECT *, array_to_string(paras[greatest(1, len(paras) - 1):], chr(10) || chr(10)) AS two, array_to_string(sents[greatest(1, len(sents) - 4):], '') AS five FROM u)"""
+)
+def tail_windows(spark, sf_dir):
+    cut = segment.units(articles(spark, sf_dir))
+    return cut.select("article_id", F.md5(genre.tail_window(F.col("paras"), F.col("sents"))).alias("tail_md5"))
+
+
+@query(
+    f"""WITH {UNITS}, f AS (SELECT article_id, paras, list_position(list_transform(paras, lambda p: regexp_matches(p, '^.{{1,25}}$')), false) AS first FROM u)
+    SELECT article_id, (len(paras) - CASE WHEN first IS NULL OR first = 0 THEN len(paras) ELSE first - 1 END)::BIGINT AS n_left FROM f"""
+)
+def front_matter(spark, sf_dir):
+    """Paragraphs left after a leading run of very short ones."""
+    cut = segment.units(articles(spark, sf_dir))
+    return cut.select("article_id", F.size(genre.without_front(F.col("paras"), "^.{1,25}$")).cast("bigint").alias("n_left"))
+
+
+@query(
+    rf"""WITH w AS (SELECT lang, unnest({WORDS.format("coalesce(text, '')")}) AS word FROM documents), c AS (SELECT lang, word, count(*)::BIGINT AS n FROM w GROUP BY ALL)
+    SELECT lang, word, n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 5"""
+)
+def top_words(spark, sf_dir):
+    return genre.top_words(t(spark, sf_dir, "documents"), "lang", 5).select("lang", "word", "n")
+
+
+@query(
+    f"""WITH {SQL_RECORDS}, x AS (SELECT *, CASE WHEN grp % 2 = 0 THEN 'even' ELSE 'odd' END AS task FROM r)
+    SELECT coalesce(family, '*') AS family, coalesce(task, '*') AS task, count(*)::BIGINT AS n, count_if(positive)::BIGINT AS positives, round(avg(final) + 1e-9::DOUBLE, 4) AS mean_final,
+    round(avg(readiness) + 1e-9::DOUBLE, 4) AS mean_readiness, round(avg(penalty) + 1e-9::DOUBLE, 4) AS mean_penalty, round(quantile_cont(final, 0.75) + 1e-9::DOUBLE, 4) AS p75_final,
+    round(max(quality) + 1e-9::DOUBLE, 4) AS best_quality FROM x GROUP BY GROUPING SETS ((family), (task), ())"""
+)
+def backtest_summary(spark, sf_dir):
+    r = backtest(spark, sf_dir).withColumn("task", F.when(F.col("grp") % 2 == 0, "even").otherwise("odd"))
+    out = genre.group_summary(r, ["family", "task"])
+    return out.withColumns({"family": F.coalesce("family", F.lit("*")), "task": F.coalesce("task", F.lit("*"))})
+
+
+@query("SELECT json_extract_string(props, '$.k') AS card_id, count(*)::BIGINT AS n, round(avg(value) + 1e-9::DOUBLE, 4) AS mean_value FROM events GROUP BY 1")
+def json_path_counts(spark, sf_dir):
+    """Counts by a path of a JSON column, which is parsed once."""
+    e = t(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("card_id"), "value")
+    return e.groupBy("card_id").agg(F.count(F.lit(1)).alias("n"), T.rounded(F.avg("value"), 4).alias("mean_value"))
