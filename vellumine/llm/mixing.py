@@ -12,8 +12,8 @@
 2. Every document gets posteriors p_k: soft memberships.
 3. Rates r >= 0 are fitted by projected gradient steps on least squares: with n the tokens of
    a document and T those of the corpus, sum(r * n * p_k) shall be T * target_k.  Residuals e
-   are weighted by the inverse Gram matrix M of the memberships, in which the problem is well
-   conditioned; a pull towards rate 1 (``PULL``) makes the solution unique.  A step is
+   are weighted by the inverse Gram matrix M of the memberships of documents with a rate above
+   0, in which the problem is well conditioned and a few steps do; a pull towards rate 1 (``PULL``) makes the solution unique.  A step is
    r <- max(0, r - (p . M^-1 e + PULL * (r - 1)) / (1 + PULL)).  As a rate follows from the
    document's memberships and the residuals so far, a step costs one sum over the documents;
    only the K sums reach the driver.
@@ -51,8 +51,8 @@ MIN_G2 = 25.0
 MAX_ODDS = 4.0
 #: Pull towards rate 1, and gradient steps at most.
 PULL = 1e-3
-STEPS = 60
-TOLERANCE = 1e-7
+STEPS = 30
+TOLERANCE = 1e-6
 TEMPERATURES = tuple(2.0**k for k in range(6))
 SHIFTS = tuple(float(-k) for k in range(-1, 6))
 
@@ -209,26 +209,25 @@ def rate_column(history: list[np.ndarray]) -> Column:
 
 
 def fit_rates(shares: DataFrame, targets: dict[str, float] = TARGETS) -> list[np.ndarray]:
-    """The residuals of the projected gradient steps over a materialised table of shares."""
+    """M^-1 e of each projected gradient step, over a materialised table of shares."""
     wanted = np.array([targets.get(d, 0.0) for d in DOMAINS])
     wanted = wanted / wanted.sum()
-    k = range(len(DOMAINS))
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    gram = shares.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * p[i] * p[j]) for i in k for j in k)).first()
-    total = float(gram[0] or 0)
-    if total == 0:
-        return []
-    m = np.array([float(x) for x in gram[1:]]).reshape(len(DOMAINS), -1) / total
-    weighting = np.linalg.inv(m + 1e-9 * np.eye(len(DOMAINS)))
+    size = len(DOMAINS)
+    n, r, p = F.col("n_tokens"), F.col("r"), [F.col(f"p_{d}") for d in DOMAINS]
+    sums = [n, *(n * r * x for x in p), *(F.when(r > 0, n * x * y).otherwise(0.0) for x in p for y in p)]
     history: list[np.ndarray] = []
     before = None
     for _ in range(STEPS):
-        mass = shares.withColumn("r", rate_column(history)).agg(*(F.sum(F.col("n_tokens") * F.col("r") * x) for x in p)).first()
-        e = np.array([float(x) for x in mass]) / total - wanted
+        row = shares.withColumn("r", rate_column(history)).agg(*(F.sum(x).alias(f"x{i}") for i, x in enumerate(sums))).first()
+        total = float(row[0] or 0)
+        if total == 0:
+            return []
+        e = np.array([float(x) for x in row[1 : 1 + size]]) / total - wanted
         if before is not None and np.abs(e - before).max() < TOLERANCE:
             break
         before = e
-        history.append(weighting @ e)
+        gram = np.array([float(x) for x in row[1 + size :]]).reshape(size, size) / total
+        history.append(np.linalg.solve(gram + 1e-9 * np.eye(size), e))
     return history
 
 
