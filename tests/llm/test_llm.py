@@ -210,6 +210,27 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near_dedup.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_links_in_a_crowded_bucket(spark, monkeypatch):
+    """A cloud in one bucket: pairs of members that never lead it, and a chain whose ends differ."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16, raising=False)
+    sets = {k: range(100 * k, 100 * k + 20) for k in range(300)}
+    for k, other in ((101, 100), (151, 150), (203, 202)):
+        sets[k] = range(100 * other + 1, 100 * other + 21)
+    for k in range(1, 5):  # 250 - 251 - ... - 254: neighbours share 18 of 20, others less than the threshold
+        sets[250 + k] = range(25000 + 2 * k, 25020 + 2 * k)
+    rows = [
+        (
+            k.to_bytes(16, "big"), 20.0, near_dedup._squeeze(near_dedup._gaps(np.array(names, np.uint64))),
+            near_dedup.zstandard.ZstdCompressor().compress(np.ones(20).tobytes()), [7, 8, *(1000 * k + b for b in range(24))], bytes(130),
+        )
+        for k, names in sets.items()
+    ]
+    vectors = spark.createDataFrame(rows, near_dedup.VECTORS).repartition(3)
+    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in near_dedup.links(vectors, shared_root(spark)).collect()}
+    expected = {100: 100, 101: 100, 150: 150, 151: 150, 202: 202, 203: 202, **{250 + k: 250 for k in range(5)}}
+    assert {k: v for k, v in got.items() if k in expected or k != v} == expected
+
+
 def test_weighted_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     names = rng.integers(1, 2**62, 200).astype(np.uint64)

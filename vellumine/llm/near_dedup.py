@@ -15,11 +15,13 @@
 5. In a bucket a leader is compared with all members.  Candidates whose samples agree in
    less than ``MIN_AGREEMENT`` of the places (four standard errors below what the threshold
    gives) are left out; the others are verified by exact weighted Jaccard similarity.  Links
-   are joined to classes.  Then buckets of up to ``SMALL`` members compare all members of
-   different classes, and larger buckets get further leaders, twice as many each round, as
-   long as they have members outside their leaders' classes and at least ``MIN_YIELD`` of the
-   last round's candidates were links.  Each member takes part in every round, and no large
-   bucket lists all its pairs.
+   are joined to classes.  A bucket all of whose members are in its leader's class is done.
+6. In any other bucket every pair of members of different classes is compared: as rows in
+   buckets of up to ``SMALL`` members, else in tiles.  The members outside the leader's class
+   and those in it are dealt to blocks of about ``BLOCK``; a tile holds two blocks, one of
+   them from outside, so a large bucket is spread over many tasks and its pairs never become
+   rows.  A tile passes over pairs that share an earlier band (they meet there) and pairs
+   whose classes it has already linked, so it returns fewer links than it has members.
 
 The idf is damped because in a large group of near copies the common shingles have a high
 document frequency, and with the plain idf a few edits would outweigh them.
@@ -53,10 +55,10 @@ BANDS = 26
 ROWS = 5
 #: Share of sample places in which a candidate pair agrees at least.
 MIN_AGREEMENT = 0.66
-#: Share of links among a round's candidates below which no further leaders are drawn.
-MIN_YIELD = 0.01
-#: Members of a bucket that compares all pairs of different classes.
+#: Members of a bucket whose pairs of different classes are listed as rows, at most.
 SMALL = 8
+#: Members of a block of a larger bucket, about.
+BLOCK = 256
 #: Power of the inverse document frequency; 1 is plain TF-IDF, 0 counts shingles.
 IDF_POWER = 0.1
 #: Shingles after which a chunk is closed, and hashes that a bucket should hold at most.
@@ -311,23 +313,28 @@ def _vectors(count: int, threshold: float, bucket_bits: int, bands: int, rows: i
     return run
 
 
+def _load(names: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_expand(names), dtype=np.uint64), np.frombuffer(zstandard.ZstdDecompressor().decompress(weights), "<f8")
+
+
+def _jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], tx: float, ty: float) -> float:
+    """Weighted Jaccard similarity of two sets with their totals."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    both = np.minimum(x[1][i], y[1][j]).sum()
+    return float(both / (tx + ty - both)) if tx + ty > both else 1.0
+
+
 def _similar(threshold: float):
     """Pairs with both weighted sets to the pairs that reach the threshold."""
 
-    def load(names: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum(_expand(names), dtype=np.uint64), np.frombuffer(zstandard.ZstdDecompressor().decompress(weights), "<f8")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, jaccard = [], [], []
             last, held = None, None
             for x, y, tx, ty, nx, wx, ny, wy in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if x != last:
-                    last, held = x, load(nx, wx)
-                names, weights = load(ny, wy)
-                _, i, j = np.intersect1d(held[0], names, assume_unique=True, return_indices=True)
-                both = np.minimum(held[1][i], weights[j]).sum()
-                s = float(both / (tx + ty - both)) if tx + ty > both else 1.0
+                    last, held = x, _load(nx, wx)
+                s = _jaccard(held, _load(ny, wy), tx, ty)
                 if s >= threshold:
                     a.append(x)
                     b.append(y)
@@ -372,57 +379,123 @@ def _both(pairs: DataFrame, vectors: DataFrame, columns: list[str]) -> DataFrame
     )
 
 
-def _leaders(members: DataFrame, number: int) -> DataFrame:
-    """``number`` members of each bucket at most, drawn by a hash of the round."""
-    lot = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(number))
-    order = F.struct(F.xxhash64("node", "band", F.lit(number)).alias("h"), "node") if number > 1 else F.struct("node")
-    picked = members.groupBy("band", "value", lot.alias("lot")).agg(F.min(order).alias("o"))
-    return picked.select("band", "value", F.col("o.node").alias("a"))
+TILE = ["band", "value", "i", "j"]
+
+
+def _tiled(threshold: float, share: float):
+    """Members dealt to tiles, sorted by tile, to links (a, b) between classes."""
+
+    def compare(band: int, left: list[tuple], right: list[tuple], same: bool) -> list[tuple[bytes, bytes]]:
+        if not left or not right:
+            return []
+        number: dict[bytes, int] = {}
+        classes = [np.array([number.setdefault(r[6], len(number)) for r in rows]) for rows in (left, right)]
+        bands = [np.array([r[7] for r in rows], np.int64)[:, :band] for rows in (left, right)]
+        places = [np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1) for rows in (left, right)]
+        x, y, agreement = [], [], []
+        for k in range(len(left)):
+            first = k + 1 if same else 0
+            agree = (places[1][first:] == places[0][k]).mean(axis=1)
+            at = np.flatnonzero((agree >= share) & (classes[1][first:] != classes[0][k]))
+            at = at[~(bands[1][first:][at] == bands[0][k]).any(axis=1)]
+            x.append(np.full(len(at), k))
+            y.append(at + first)
+            agreement.append(agree[at])
+        x, y, agreement = np.concatenate(x), np.concatenate(y), np.concatenate(agreement)
+        parent = list(range(len(number)))
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        found = []
+        last, held = None, None
+        # the likeliest first, as each link spares pairs; whole hundredths keep pairs of a member together
+        for p in np.lexsort((y, x, -np.round(agreement, 2))).tolist():
+            k, m = int(x[p]), int(y[p])
+            u, v = root(int(classes[0][k])), root(int(classes[1][m]))
+            if u == v:
+                continue
+            if k != last:
+                last, held = k, _load(left[k][10], left[k][11])
+            if _jaccard(held, _load(right[m][10], right[m][11]), left[k][9], right[m][9]) >= threshold:
+                parent[max(u, v)] = min(u, v)
+                found.append((left[k][6], right[m][6]))
+        return found
+
+    def links_of(tile: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        band, _, i, j = tile
+        left = [r for r in rows if r[4] == i]
+        found = compare(band, left, left if i == j else [r for r in rows if r[4] == j], i == j)
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(2)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:  # rows come sorted by tile
+            for row in zip(*(batch.column(i).to_pylist() for i in range(12)), strict=True):
+                if row[:4] != now and rows:
+                    yield links_of(now, rows)
+                    rows = []
+                now = row[:4]
+                rows.append(row)
+        if rows:
+            yield links_of(now, rows)
+
+    return run
+
+
+def _tiles(crowd: DataFrame) -> DataFrame:
+    """Members (band, value, node, r, out, n, n_out) of crowded buckets with block and each tile (i, j)."""
+    outer = F.ceil(F.col("n_out") / BLOCK).cast("int")
+    inner = F.ceil((F.col("n") - F.col("n_out")) / BLOCK).cast("int")
+    lot = F.xxhash64("node", "band")
+    block = F.when(F.col("out"), F.pmod(lot, outer)).otherwise(outer + F.pmod(lot, inner)).cast("int")
+    dealt = crowd.withColumns({"block": block, "outer": outer, "blocks": outer + inner})
+    tile = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))
+    )
+    # blocks 0 to outer - 1 are outside the leader's class; two blocks inside it needn't meet
+    tiles = dealt.withColumn("tile", F.explode(F.filter(tile, lambda x: x["i"] < F.col("outer"))))
+    return tiles.select("band", "value", "tile.i", "tile.j", "block", "node", "r")
 
 
 def links(vectors: DataFrame, home: str, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of all nodes with a partner."""
+    spark = vectors.sparkSession
     members = vectors.select("node", F.posexplode("bands").alias("band", "value"))
-    crowded = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1")
     crowded = materialise(crowded, f"{home}/crowded")
     members = materialise(members.join(crowded, ["band", "value"]), f"{home}/members")
-    large = members.where(F.col("n") > SMALL)
-    edges = roots = led = None
-    number, step, open_members, within = 1, 0, members, members
-    while True:
-        step += 1
-        chosen = materialise(_leaders(open_members, number), f"{home}/leaders-{step}")
-        pairs = within.join(chosen, ["band", "value"]).where("node <> a").select("a", F.col("node").alias("b"))
-        if step == 2:
-            few = open_members.where(F.col("n") <= SMALL).select("band", "value").distinct()
-            few = members.join(materialise(few, f"{home}/few"), ["band", "value"], "left_semi").select("band", "value", "node")
-            pairs = pairs.union(
-                few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["band", "value"]).where("a < b").select("a", "b")
-            )
-        pairs = pairs.distinct()
-        if roots is not None:
-            ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-            rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        pairs = materialise(pairs, f"{home}/pairs-{step}")
-        found = materialise(verify(pairs, vectors, threshold, f"{home}/agreeing-{step}"), f"{home}/found-{step}").select("a", "b")
-        fruitless = step > 1 and found.count() < MIN_YIELD * pairs.count()
-        if edges is None or not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            roots = materialise(components(edges, f"{home}/components-{step}"), f"{home}/roots-{step}")
-        if fruitless:
-            return roots
-        led = chosen if led is None else led.union(chosen)
-        # members outside the classes of their bucket's leaders
-        led_roots = led.join(roots.withColumnRenamed("node", "a"), "a", "left").select("band", "value", F.coalesce("root", "a").alias("r"))
-        led_roots = materialise(led_roots.distinct(), f"{home}/led-{step}")
-        within = members if step == 1 else large
-        still = within.join(roots, "node", "left").withColumn("r", F.coalesce("root", "node")).join(led_roots, ["band", "value", "r"], "left_anti")
-        open_members = materialise(still.select("band", "value", "node", "n"), f"{home}/open-{step}")
-        if open_members.isEmpty():
-            return roots
-        within = large
-        number *= 2
+    pairs = materialise(members.where("node <> a").select("a", F.col("node").alias("b")).distinct(), f"{home}/pairs-1")
+    found = materialise(verify(pairs, vectors, threshold, f"{home}/agreeing-1"), f"{home}/found-1").select("a", "b")
+    roots = materialise(components(found, f"{home}/components-1"), f"{home}/roots-1")
+    lead = roots.select(F.col("node").alias("a"), F.col("root").alias("lead"))
+    state = members.join(roots, "node", "left").join(lead, "a", "left")
+    state = state.select("band", "value", "node", "n", F.coalesce("root", "node").alias("r"), F.coalesce("lead", "a").alias("lead"))
+    state = materialise(state.select("band", "value", "node", "n", "r", (F.col("r") != F.col("lead")).alias("out")), f"{home}/state")
+    # buckets with members outside their leader's class
+    left = materialise(state.where("out").groupBy("band", "value").agg(F.count(F.lit(1)).alias("n_out")), f"{home}/open")
+    left = materialise(state.join(left, ["band", "value"]), f"{home}/open-members")
+    few = left.where(F.col("n") <= SMALL).select("band", "value", "node", "r")
+    pairs = few.withColumnsRenamed({"node": "a", "r": "ra"}).join(few.withColumnsRenamed({"node": "b", "r": "rb"}), ["band", "value"])
+    pairs = materialise(pairs.where("a < b and ra <> rb").select("a", "b").distinct(), f"{home}/pairs-2")
+    found = verify(pairs, vectors, threshold, f"{home}/agreeing-2").select("a", "b")
+    tiles = materialise(_tiles(left.where(F.col("n") > SMALL)), f"{home}/tiles")
+    full = tiles.join(vectors.hint("merge"), "node").select(*TILE, "block", "node", "r", "bands", "places", "total", "names", "weights")
+    full = full.repartition(partitions(spark), *TILE).sortWithinPartitions(*TILE)
+    found = materialise(found.union(full.mapInArrow(_tiled(threshold, MIN_AGREEMENT), "a binary, b binary")), f"{home}/found-2")
+    if found.isEmpty():
+        return roots
+    # links between classes, each named by its root
+    ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    found = found.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = materialise(components(found, f"{home}/components-2"), f"{home}/joined")
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    moved = moved.select("node", F.coalesce("to", "root").alias("root"))
+    return materialise(moved.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")), f"{home}/roots-2")
 
 
 def near_classes(
