@@ -327,3 +327,26 @@ def test_mixing_meets_targets(spark):
     held = mixed.where("doc_id between 500 and 599 and doc_id % 6 = 0").agg(F.avg("p_toxic")).first()[0]
     assert held > 0.7
     assert mixing.mix(docs.where("false"), known).count() == 0
+
+
+def test_resampling_meets_targets(spark):
+    random.seed(5)
+    rows = []
+    for i in range(1200):
+        words = [random.choice(["the", "house", "is", "green", "and", "large", f"w{random.randint(0, 500)}"]) for _ in range(40)]
+        if i % 6 == 0:
+            words[3:6] = ["idiot", "trash", "idiot"]
+        elif i % 5 == 0:
+            words = [w + "***" for w in words]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (9000, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 6 == 0 or i % 5 != 0), int(i % 6 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    targets = {"high": 0.89, "low": 0.05, "toxic": 0.06}
+    mixed = {r.doc_id: r for r in mixing.mix(docs, known, targets).collect()}
+    got = collections.Counter(r.doc_id for r in mixing.resample(docs, known, targets).collect())
+    assert got == {i: r.copies for i, r in mixed.items() if r.copies > 0}
+    tokens = sum(r.n_tokens for r in mixed.values())
+    for d, target in targets.items():
+        share = sum(n * mixed[i].n_tokens * mixed[i][f"p_{d}"] for i, n in got.items()) / tokens
+        assert abs(share - target) < 0.03, (d, share)
+    assert got.keys() & {i for i in range(0, 1200, 6)}  # part of a domain that is thinned out stays

@@ -247,11 +247,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs`` as the fitted rates have them.
+    """The rows of ``docs`` as the fitted rates have them: each appears ``copies`` times.
 
-    A document with a rate below one half leaves; any other appears ``copies`` times, and once
-    at least.
+    The expected number of copies is the rate, so the expected tokens of the domains are those
+    that the rates were fitted to.
     """
-    times = F.when(F.col("__x_rate") < 0.5, 0).otherwise(F.greatest(F.lit(1), F.col("__x_copies")))
-    mixed = mix(docs, labels, targets).withColumnsRenamed({"rate": "__x_rate", "copies": "__x_copies"})
-    return mixed.where(times > 0).withColumn("__x_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times.cast("bigint")))).select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__x_row"))
+    mixed = mix(whole, labels, targets).where("copies > 0")
+    return mixed.select("__x_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("__x_row.*")
