@@ -1,7 +1,9 @@
 """Text scalars, folds and selections against plain Python on small inputs."""
 
 import random
-from collections import deque
+import re
+from collections import Counter, deque
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -87,6 +89,40 @@ def test_diverse_selection_quotas(spark):
     assert picked == [0, 1, 2, 3, 4, 5]  # four by quota, the rest filled by score
 
 
+def select_by_force(rows, limit):
+    """The reference's selection in plain Python; rows are (id, article, source, card, score, text)."""
+    quotas = [(1, max(1, limit // 3), max(1, limit // 4)), (2, max(2, limit // 2), max(2, limit // 3)), (3, limit, limit), (10**9,) * 3]
+    picked, prints, counts = [], [], [Counter(), Counter(), Counter()]
+    for quota in quotas:
+        for row in sorted(rows, key=lambda r: (-r[4], r[0])):
+            mark = re.sub(r"[^0-9A-Za-z\u4e00-\u9fff]+", "", row[5])[:500]
+            near = any(mark == p or (min(len(mark), len(p)) >= 80 and SequenceMatcher(None, mark, p).ratio() >= 0.92) for p in prints)
+            if len(picked) >= limit or row[0] in picked or not mark or near:
+                continue
+            if any(g and c[g] >= q for c, g, q in zip(counts, row[1:4], quota, strict=True)):
+                continue
+            picked.append(row[0])
+            prints.append(mark)
+            for c, g in zip(counts, row[1:4], strict=True):
+                c[g] += 1
+    return picked
+
+
+def test_diverse_selection_looks_beyond_a_hot_source(spark):
+    random.seed(6)
+    words = lambda: " ".join(random.choice("abcdefghij") * random.randint(2, 9) for _ in range(60))
+    copied = words()
+    hot = [(i, "a-hot", "s-hot", f"c{i % 2}", 1000.0 - i, copied + f" {i}" if i % 3 else words()) for i in range(300)]
+    rest = [(1000 + i, f"a{i % 9}", f"s{i % 5}", f"c{i % 4}", 100.0 - i, ["", "same", words()][min(i % 7, 2)]) for i in range(60)]
+    table = [("q", *r) for r in hot + rest] + [("few", *r) for r in rest[:4]]
+    items = spark.createDataFrame(table, "q string, candidate_id long, article_id string, source string, card string, score double, text string")
+    picked = {}
+    for r in sorted(pool.diverse(items, "q", 10).collect(), key=lambda r: r.place):
+        picked.setdefault(r.q, []).append(r.candidate_id)
+    assert picked == {"q": select_by_force(hot + rest, 10), "few": select_by_force(rest[:4], 10)}
+    assert sum(i < 1000 for i in picked["q"]) < 4
+
+
 def test_empty_and_null_inputs(spark):
     empty = spark.createDataFrame([], "span_id long, lang string, text string")
     assert profile.routes(empty).count() == 0

@@ -485,7 +485,7 @@ def diverse_selection(spark, sf_dir):
     """Greedy selection under quotas is order-dependent; tests hold it against brute force."""
     items = t(spark, sf_dir, "documents").select(
         F.col("lang").alias("query"), F.col("doc_id").alias("candidate_id"), F.col("source").alias("article_id"), F.substring("source", 1, 4).alias("source"),
-        F.coalesce("n_chars", F.lit(0)).cast("double").alias("score"),
+        F.coalesce("n_chars", F.lit(0)).cast("double").alias("score"), "text",
     )
     return pool.diverse(items, "query", 10).select("query", "candidate_id", "place")
 
