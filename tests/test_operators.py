@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import lexicon as L
 from vellumine.functions import text as T
-from vellumine.operators import dedupe, feedback, pool, profile, segment
+from vellumine.operators import dedupe, feedback, pool, profile, review, segment
 from vellumine.streaming import state
 
 
@@ -137,3 +137,36 @@ def test_consensus_and_upsert(spark):
     old = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id long, v string, created_at long")
     new = spark.createDataFrame([(2, "c", 99), (3, "d", 30)], "id long, v string, created_at long")
     assert sorted(tuple(r) for r in pool.upsert(old, new, "id").collect()) == [(1, "a", 10), (2, "c", 20), (3, "d", 30)]
+
+
+def test_policies_on_four_axes(spark):
+    random.seed(8)
+    rows = [("x", *(round(random.random(), 3) for _ in range(3)), random.choice(["promoted", "gray", "deprecated"]), random.random() < 0.5) for _ in range(60)]
+    now = {"recommended": 0.5, "review_readiness": 0.6, "review_penalty": 0.28, "fallback_review_score": 0.4}
+    got = review.search_policies(spark.createDataFrame(rows, "family string, final double, readiness double, penalty double, status string, stable boolean"), now).collect()
+
+    def at(values, q):
+        k = (len(values) - 1) * q
+        low = int(k)
+        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (k - low)
+
+    def axis(column, anchors, floor, ceil):
+        clip = lambda v: max(floor, min(ceil, v))
+        values = sorted(clip(r[column]) for r in rows)
+        return {round(v, 4) for v in [*map(clip, anchors), *(at(values, q) for q in (0.2, 0.35, 0.5, 0.65, 0.75, 0.85, 0.92))]}
+
+    finals, ready = axis(1, (0.42, 0.46, 0.5, 0.54, 0.58), 0.15, 0.9), axis(2, (0.5, 0.55, 0.6, 0.65), 0.15, 0.95)
+    penalties, fallbacks = axis(3, (0.2, 0.24, 0.28, 0.36, 0.44), 0.0, 1.5), axis(1, (0.3, 0.35, 0.4, 0.45), 0.05, 0.85)
+    assert len(got) == sum(b <= f for f in finals for b in fallbacks) * len(ready) * len(penalties)
+    share = lambda part, whole: sum(part) / len(whole) if whole else 0.0
+    for p in random.sample(got, 300):
+        chosen = [r for r in rows if r[1] >= p.final_min and r[2] >= p.readiness_min and r[3] <= p.penalty_max]
+        queue = [r for r in rows if r not in chosen and r[1] >= p.fallback_min and r[2] >= max(0.15, p.readiness_min - 0.08)]
+        assert (p.selected_n, p.review_n) == (len(chosen), len(queue))
+        assert p.selected_stable == sum(r[4] == "promoted" or (r[4] != "deprecated" and r[5]) for r in chosen)
+        objective = (
+            share([r[4] == "promoted" or (r[4] != "deprecated" and r[5]) for r in chosen], chosen) - 1.75 * share([r[4] == "deprecated" for r in chosen], chosen)
+            - 0.3 * share([r[4] == "gray" for r in chosen], chosen) + min(0.12, len(chosen) / 60 * 0.24) + min(0.06, share([r[4] == "gray" for r in queue], queue) * 0.06)
+            - 0.16 * share([r[4] == "deprecated" for r in queue], queue) + min(0.03, len(queue) / 60 * 0.03)
+        )
+        assert abs(p.objective - objective) < 1e-4

@@ -103,6 +103,87 @@ def evaluate_policies(records: DataFrame, policies: DataFrame) -> DataFrame:
     return out.withColumn("objective", T.rounded(0.8 * value + 0.2 * rescue, 4))
 
 
+#: Quantiles of a policy axis beside its anchors.
+QUANTILES = (0.20, 0.35, 0.50, 0.65, 0.75, 0.85, 0.92)
+#: Axis: score, threshold it lies around, distances of the anchors, least and greatest value.
+AXES = {
+    "final_min": ("final", "recommended", (-0.08, -0.04, 0.0, 0.04, 0.08), 0.15, 0.90),
+    "readiness_min": ("readiness", "review_readiness", (-0.10, -0.05, 0.0, 0.05), 0.15, 0.95),
+    "penalty_max": ("penalty", "review_penalty", (-0.08, -0.04, 0.0, 0.08, 0.16), 0.0, None),
+    "fallback_min": ("final", "fallback_review_score", (-0.10, -0.05, 0.0, 0.05), 0.05, 0.85),
+}
+
+
+def policy_axes(records: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """Per family the values of the four axes: anchors around ``thresholds`` and quantiles, as arrays."""
+    tail = F.percentile("penalty", F.lit(0.95)).alias("tail")
+    cuts = records.groupBy("family").agg(tail)
+    greatest = {"penalty_max": F.greatest(F.lit(1.5), F.coalesce(F.col("tail"), F.lit(0.0)) * 1.05)}
+    bounds = cuts.select("family", *(greatest.get(a, F.lit(ceil)).cast("double").alias(f"ceil_{a}") for a, (*_, ceil) in AXES.items()))
+    clipped = records.join(F.broadcast(bounds), "family")
+    values = []
+    for axis, (score, name, offsets, floor, _) in AXES.items():
+        clip = lambda x, low=floor, high=f"ceil_{axis}": F.greatest(F.lit(low), F.least(F.col(high), x))
+        anchors = F.array(*(clip(F.lit(thresholds[name] + d)) for d in offsets))
+        q = F.percentile(F.when(F.col(score).isNotNull(), clip(F.col(score))), F.array(*map(F.lit, QUANTILES)))
+        every = F.concat(F.first(anchors), F.coalesce(q, F.array().cast("array<double>")))
+        values.append(F.array_sort(F.array_distinct(F.transform(every, lambda x: F.round(x, 4)))).alias(axis))
+    return clipped.groupBy("family").agg(*values)
+
+
+def search_policies(records: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """Counts and objective of every policy (final, readiness, penalty, fallback) of each family.
+
+    Records (family, final, readiness, penalty, status, stable) are first counted by the cells
+    that the thresholds cut, so what meets the policies is bounded by the axes.  Whatever is
+    selected also passes the fallback, hence the review queue is what passes it less that.
+    """
+    axes = policy_axes(records, thresholds)
+    floors = F.transform("readiness_min", lambda x: F.greatest(F.lit(0.15), x - 0.08))
+    marked = records.join(F.broadcast(axes.withColumn("floors", floors)), "family")
+
+    def above(values: str, score: str) -> Column:
+        return F.size(F.filter(values, lambda x: F.coalesce(F.col(score) >= x, F.lit(False))))
+
+    cells = {
+        "f": above("final_min", "final"), "r": above("readiness_min", "readiness"), "b": above("fallback_min", "final"), "e": above("floors", "readiness"),
+        "p": F.size(F.filter("penalty_max", lambda x: F.coalesce(F.col("penalty") <= x, F.lit(False)))), "o": F.size("penalty_max"),
+    }
+    gone = F.coalesce(F.col("status") == "deprecated", F.lit(False))
+    kinds = {
+        "n": F.lit(True), "stable": ~gone & (F.coalesce(F.col("status") == "promoted", F.lit(False)) | F.coalesce("stable", F.lit(False))),
+        "gray": F.col("status") == "gray", "deprecated": gone,
+    }
+    counted = marked.select("family", *(c.alias(k) for k, c in cells.items()), *(x.alias(f"k_{k}") for k, x in kinds.items()))
+    counted = counted.groupBy("family", *cells).agg(*(F.count_if(f"k_{k}").alias(k) for k in kinds))
+    total = counted.groupBy("family").agg(F.sum("n").alias("total"))
+    three = axes.select("family", F.posexplode("final_min").alias("i", "final_min"), "readiness_min", "penalty_max")
+    three = three.select("family", "i", "final_min", F.posexplode("readiness_min").alias("j", "readiness_min"), "penalty_max")
+    three = three.select("family", "i", "final_min", "j", "readiness_min", F.posexplode("penalty_max").alias("m", "penalty_max"))
+    two = axes.select("family", F.posexplode("fallback_min").alias("l", "fallback_min"), "readiness_min")
+    two = two.select("family", "l", "fallback_min", F.posexplode("readiness_min").alias("j", "readiness_min")).drop("readiness_min")
+    zero = F.lit(0).cast("bigint")
+    # a penalty within the m-th bound is within all later ones
+    within = (F.col("f") > F.col("i")) & (F.col("r") > F.col("j")) & (F.col("p") >= F.col("o") - F.col("m"))
+    picked = three.join(counted, "family").groupBy("family", "i", "final_min", "j", "readiness_min", "m", "penalty_max")
+    picked = picked.agg(*(F.sum(F.when(within, F.col(k)).otherwise(zero)).alias(f"selected_{k}") for k in kinds))
+    passing = (F.col("b") > F.col("l")) & (F.col("e") > F.col("j"))
+    held = two.join(counted, "family").groupBy("family", "l", "fallback_min", "j").agg(*(F.sum(F.when(passing, F.col(k)).otherwise(zero)).alias(f"passing_{k}") for k in kinds))
+    out = picked.join(held, ["family", "j"]).where("fallback_min <= final_min").join(total, "family")
+    out = out.withColumns({f"review_{k}": F.col(f"passing_{k}") - F.col(f"selected_{k}") for k in kinds})
+
+    def share(part: str, whole: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double")), F.lit(0.0))
+
+    objective = (
+        share("selected_stable", "selected_n") - 1.75 * share("selected_deprecated", "selected_n") - 0.30 * share("selected_gray", "selected_n")
+        + F.least(F.lit(0.12), share("selected_n", "total") * 0.24) + F.least(F.lit(0.06), share("review_gray", "review_n") * 0.06)
+        - 0.16 * share("review_deprecated", "review_n") + F.least(F.lit(0.03), share("review_n", "total") * 0.03)
+    )
+    counts = [f"selected_{k}" for k in kinds] + ["review_n", "review_gray", "review_deprecated"]
+    return out.select("family", *AXES, *counts, F.round(objective, 4).alias("objective"))
+
+
 def selection_state(final: Column, readiness: Column, penalty: Column) -> Column:
     """recommended, hold or weak."""
     return F.when((final >= 0.6) & (readiness >= 0.5) & (penalty <= 0.4), "recommended").when((final >= 0.45) & (penalty <= 0.7), "hold").otherwise("weak")

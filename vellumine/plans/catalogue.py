@@ -794,6 +794,15 @@ def policy_evaluation(spark, sf_dir):
     return out.withColumns({"final_min": F.round("final_min", 6), "fallback_min": F.round("fallback_min", 6)})
 
 
+@query()
+def policy_search(spark, sf_dir):
+    """All policies on the four axes of the reference; a test holds them against plain Python."""
+    status = F.when(F.col("quality") > 0.8, "deprecated").when(F.col("quality") > 0.5, "gray").otherwise("promoted")
+    r = backtest(spark, sf_dir).select("family", "final", "readiness", "penalty", status.alias("status"), F.col("positive").alias("stable"))
+    current = {"recommended": 0.5, "review_readiness": 0.6, "review_penalty": 0.28, "fallback_review_score": 0.4}
+    return review.search_policies(r, current)
+
+
 @query(
     f"""WITH {SQL_RECORDS} SELECT family, CASE WHEN final >= 0.6 AND readiness >= 0.5 AND penalty <= 0.4 THEN 'recommended' WHEN final >= 0.45 AND penalty <= 0.7 THEN 'hold' ELSE 'weak' END AS state,
     CASE WHEN (final >= 0.66)::INT + (readiness >= 0.66)::INT + (quality >= 0.66)::INT >= 2 THEN 'hard' WHEN (final <= 0.33)::INT + (readiness <= 0.33)::INT + (quality <= 0.33)::INT >= 2 THEN 'easy' ELSE 'medium' END AS band,
