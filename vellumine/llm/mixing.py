@@ -6,28 +6,35 @@
    bounded sample of labelled documents (``TRAIN_ROWS``, the smallest hashes of the
    identifier; equal texts count once).  Its features are those of the largest likelihood
    ratio statistics, ``MIN_G2`` at least and ``MAX_FEATURES`` of them at most; log odds are
-   clipped to 0 and ``MAX_ODDS``.  They stand in an array by hash; a word counts if the 64-bit hash
-   in its place is its own.
+   clipped to 0 and ``MAX_ODDS`` and rounded to 1 / ``SCALE``.  A feature is one number, the
+   high 48 bits of its hash and its two log odds, which stands in an array at a place given by
+   the low bits of the hash; so one look-up tells whether a word is a feature and what it adds.
    The other half of the sample sets the temperatures and shifts that make the posteriors honest.
-2. Every document gets posteriors p_k: soft memberships.
+2. Every document gets posteriors p_k: soft memberships.  This table, written out once, is all
+   that the following steps and the result read: texts are classified a single time.
 3. Rates r >= 0 are fitted by projected gradient steps on least squares: with n the tokens of
    a document and T those of the corpus, sum(r * n * p_k) shall be T * target_k.  Residuals e
    are weighted by the inverse Gram matrix M of the memberships of documents with a rate above
    0, in which the problem is well conditioned and a few steps do; a pull towards rate 1 (``PULL``) makes the solution unique.  A step is
    r <- max(0, r - (p . M^-1 e + PULL * (r - 1)) / (1 + PULL)).  As a rate follows from the
    document's memberships and the residuals so far, a step costs one sum over the documents;
-   only the K sums reach the driver.
+   only the K sums reach the driver.  The residuals that remain are logged, and ``shares_of``
+   gives them as a table: where the classifier can tell no document free of a domain, that
+   domain's target can lie below what any rates reach.
 
 Edge cases: a null or empty text has no tokens, the prior as posteriors, and the rate these
 give; labels that are null or belong to no document are ignored, repeated labels count once
 (the largest); without labels all documents are ``high`` alike; repeated rows get equal
 rates; an empty table gives an empty result; targets are scaled to sum to 1; other columns of
-the input are passed on.
+the input are passed on, but those named like a column of the result give way to it
+(``resample`` passes on all of them).
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,30 +47,34 @@ from .common import materialise, shared_root
 DOMAINS = ("high", "low", "toxic")
 TRAITS = ("low", "toxic")
 #: Target shares of tokens.
-TARGETS = {"high": 0.93, "low": 0.05, "toxic": 0.02}
+TARGETS = {"high": 0.84, "low": 0.11, "toxic": 0.05}
 #: Labelled documents that are used, at most; half to fit, half to set the temperature.
 TRAIN_ROWS = 10_000
 #: Features of the classifier at most, and places of the array they stand in.
 MAX_FEATURES = 4096
 PLACES = 1 << 15
-#: Least likelihood ratio statistic of a feature, and largest log odds.
+#: Least likelihood ratio statistic of a feature, and largest log odds and their steps per unit.
 MIN_G2 = 25.0
 MAX_ODDS = 4.0
+SCALE = 60
 #: Pull towards rate 1, and gradient steps at most.
 PULL = 1e-3
 STEPS = 30
 TOLERANCE = 1e-6
 TEMPERATURES = tuple(2.0**k for k in range(6))
 SHIFTS = tuple(float(-k) for k in range(-1, 6))
+#: Columns of the result beside those of the input.
+ADDED = ("n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies")
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Hashes of the features by place, and for each trait log odds: prior and by place."""
+    """The features by place, and for each trait the prior log odds and the temperature."""
 
-    hashes: tuple[int, ...]
+    table: tuple[int, ...]
     prior: tuple[float, ...]
-    odds: tuple[tuple[float, ...], ...]
     temperatures: tuple[float, ...]
 
 
@@ -79,43 +90,45 @@ def _ending_hash(w: Column) -> Column:
     return F.xxhash64(F.lit("ending"), F.substring(w, -2, 2))
 
 
-def _constants(values: tuple, kind: str) -> Column:
+def _constants(values: tuple[int, ...]) -> Column:
     """A constant array that the optimizer folds to one literal."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<bigint>")
 
 
-def _place(h: Column) -> Column:
-    return F.pmod(h, F.lit(PLACES)).cast("int")
+def _packed(h: int, odds: Sequence[int]) -> int:
+    """A feature as one number: the high bits of its hash, then each trait's log odds."""
+    low, toxic = odds
+    return (h >> 16 << 16) | (low << 8) | toxic
 
 
 def found_features(words: Column, model: Model) -> Column:
-    """The places of the model's features that a document has."""
-    own = _constants(model.hashes, "bigint")
-
-    def known(h: Column) -> Column:
-        return F.get(own, _place(h)) == h
-
-    hits = F.concat(F.filter(F.transform(words, _word_hash), known), F.filter(F.transform(words, _ending_hash), known))
-    return F.transform(F.array_distinct(hits), _place)
+    """The model's features that a document has, each once."""
+    hashes = F.concat(F.transform(words, _word_hash), F.transform(words, _ending_hash))
+    table = _constants(model.table)
+    at_places = F.transform(hashes, lambda h: F.get(table, F.pmod(h, F.lit(PLACES)).cast("int")))
+    hits = F.zip_with(hashes, at_places, lambda h, t: F.when(F.shiftright(h.bitwiseXOR(t), 16) == 0, t))
+    return F.array_distinct(F.filter(hits, lambda t: t.isNotNull()))
 
 
-def _evidence(features: Column, model: Model) -> Column:
-    """What the features add to the log odds of each trait."""
-    return F.array(*(_summed(features, _constants(odds, "double")) for odds in model.odds))
+def _evidence(features: Column) -> Column:
+    """What the features add to the log odds: that of the first trait in the high 32 bits, of the second in the low."""
+    low, toxic = F.lit(0xFF00), F.lit(0xFF)
+    return F.aggregate(features, F.lit(0).cast("bigint"), lambda acc, f: acc + F.shiftleft(f.bitwiseAND(low), 24) + f.bitwiseAND(toxic))
 
 
-def _summed(features: Column, table: Column) -> Column:
-    return F.aggregate(features, F.lit(0.0), lambda acc, f: acc + F.get(table, f))
+def _of_trait(evidence: Column, k: int) -> Column:
+    part = F.shiftright(evidence, 32) if k == 0 else evidence.bitwiseAND(F.lit(0xFFFFFFFF))
+    return part.cast("double") / SCALE
 
 
-def _trait(evidence: Column, prior: float, temperature: float) -> Column:
+def _trait(evidence: Column, prior: Column, temperature: Column) -> Column:
     """The posterior of a trait."""
-    return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(prior) + evidence / temperature))))
+    return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), prior + evidence / temperature))))
 
 
 def _posteriors(evidence: Column, model: Model) -> list[Column]:
     """The posteriors of the domains, in order."""
-    low, toxic = (_trait(F.get(evidence, F.lit(k)), model.prior[k], model.temperatures[k]) for k in range(len(TRAITS)))
+    low, toxic = (_trait(_of_trait(evidence, k), F.lit(model.prior[k]), F.lit(model.temperatures[k])) for k in range(len(TRAITS)))
     return [(1.0 - toxic) * (1.0 - low), (1.0 - toxic) * low, toxic]
 
 
@@ -158,40 +171,38 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, home: str, rows: int = TR
     strongest = F.greatest(*(f"g_{t}" for t in TRAITS))
     # at most MAX_FEATURES rows
     best = counts.where(strongest >= MIN_G2).orderBy(F.desc(strongest), "h").limit(MAX_FEATURES).collect()
-    places, odds = [0] * PLACES, [[0.0] * PLACES for _ in TRAITS]
+    places = [0] * PLACES
     for r in reversed(best):  # where two share a place the stronger stays
-        place = r["h"] % PLACES
-        places[place] = r["h"]
-        for own, t in zip(odds, TRAITS, strict=True):
+        odds = []
+        for t in TRAITS:
             x = math.log((r[t] + 0.5) / (sizes[t] + 1)) - math.log((r["all"] - r[t] + 0.5) / (n - sizes[t] + 1))
             # words that are rarer with the trait mostly tell that a text is long
-            own[place] = round(max(0.0, min(MAX_ODDS, x)), 6) if r[f"g_{t}"] >= MIN_G2 else 0.0
+            odds.append(round(SCALE * max(0.0, min(MAX_ODDS, x))) if r[f"g_{t}"] >= MIN_G2 else 0)
+        places[r["h"] % PLACES] = _packed(r["h"], odds)
     prior = tuple(math.log((sizes[t] + 1) / (n - sizes[t] + 1)) for t in TRAITS)
-    model = Model(tuple(places), prior, tuple(map(tuple, odds)), (1.0,) * len(TRAITS))
+    model = Model(tuple(places), prior, (1.0,) * len(TRAITS))
     # the temperatures and shifts of least log loss on the half that wasn't fitted on
-    rest = sample.where("not fits").select(*TRAITS, _evidence(found_features(F.col("words"), model), model).alias("z"))
-    grid = [(x, shift) for x in TEMPERATURES for shift in SHIFTS]
-    losses = [
-        F.sum(-F.log(F.when(F.col(t), p).otherwise(1.0 - p)))
-        for k, t in enumerate(TRAITS)
-        for p in (_trait(F.get("z", F.lit(k)), prior[k] + shift, x) for x, shift in grid)
-    ]
-    loss = [math.inf if x is None else x for x in rest.agg(*(x.alias(f"x{i}") for i, x in enumerate(losses))).first()]
-    parts = [loss[k * len(grid) : (k + 1) * len(grid)] for k in range(len(TRAITS))]
-    chosen = [grid[x.index(min(x))] for x in parts]
-    shifted = tuple(p + shift for p, (_, shift) in zip(prior, chosen, strict=True))
-    return Model(model.hashes, shifted, model.odds, tuple(x for x, _ in chosen))
-
-
-def with_posteriors(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with n_tokens and p_<domain>."""
+    rest = sample.where("not fits").select(*TRAITS, _evidence(found_features(F.col("words"), model)).alias("z"))
+    rest = materialise(rest, f"{home}/rest")
+    cases = F.array(*(F.struct(F.lit(k).alias("k"), F.col(t).alias("has"), _of_trait(F.col("z"), k).alias("z"), F.lit(prior[k]).alias("prior")) for k, t in enumerate(TRAITS)))
+    grid = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(shift).alias("shift")) for x in TEMPERATURES for shift in SHIFTS))
+    tried = rest.select(F.explode(cases).alias("c"), grid.alias("g")).select("c", F.explode("g").alias("g"))
+    p = _trait(F.col("c.z"), F.col("c.prior") + F.col("g.shift"), F.col("g.x"))
+    losses = tried.groupBy("c.k", "g.x", "g.shift").agg(F.sum(-F.log(F.when(F.col("c.has"), p).otherwise(1.0 - p))).alias("loss"))
+    chosen = {k: (1.0, 0.0) for k in range(len(TRAITS))}
+    # a row for each trait and point of the grid
+    for r in sorted(losses.collect(), key=lambda r: (-r["loss"], r["x"], r["shift"])):
+        chosen[r["k"]] = (r["x"], r["shift"])
+    shifted = tuple(prior[k] + chosen[k][1] for k in range(len(TRAITS)))
+    return Model(model.table, shifted, tuple(chosen[k][0] for k in range(len(TRAITS))))
+
+
+def with_posteriors(docs: DataFrame, model: Model, text_col: str = "text", passed: Sequence[str] = ()) -> DataFrame:
+    """n_tokens and p_<domain> of every row, with the columns ``passed`` of ``docs``."""
+    scored = docs.select(*passed, words_of(F.col(text_col)).alias("__x_words"))
+    scored = scored.select(*passed, F.size("__x_words").cast("bigint").alias("n_tokens"), _evidence(found_features(F.col("__x_words"), model)).alias("__x_z"))
     names = [f"p_{d}" for d in DOMAINS]
-    kept = [c for c in docs.columns if c not in ("n_tokens", *names)]
-    scored = docs.select(*kept, words_of(F.col(text_col)).alias("__x_words"))
-    scored = scored.select(*kept, F.size("__x_words").cast("bigint").alias("n_tokens"), found_features(F.col("__x_words"), model).alias("__x_features"))
-    scored = scored.select(*kept, "n_tokens", _evidence(F.col("__x_features"), model).alias("__x_z"))
-    shares = _posteriors(F.col("__x_z"), model)
-    return scored.select(*kept, "n_tokens", *(p.alias(n) for p, n in zip(shares, names, strict=True)))
+    return scored.select(*passed, "n_tokens", *(p.alias(n) for p, n in zip(_posteriors(F.col("__x_z"), model), names, strict=True)))
 
 
 def rate_column(history: list[np.ndarray]) -> Column:
@@ -226,24 +237,35 @@ def fit_rates(shares: DataFrame, targets: dict[str, float] = TARGETS) -> list[np
         if before is not None and np.abs(e - before).max() < TOLERANCE:
             break
         before = e
+        log.info("step %d: residuals %s", len(history), dict(zip(DOMAINS, e.round(6).tolist(), strict=True)))
         gram = np.array([float(x) for x in row[1 + size :]]).reshape(size, size) / total
         history.append(np.linalg.solve(gram + 1e-9 * np.eye(size), e))
     return history
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """All columns of ``docs`` with n_tokens, p_<domain>, rate and copies.
+def shares_of(mixed: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """domain, target, share and residual (share - target) of the tokens that the rates of ``mixed`` give."""
+    whole = sum(targets.get(d, 0.0) for d in DOMAINS)
+    total = F.sum("n_tokens").alias("total")
+    sums = mixed.agg(total, *(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in DOMAINS))
+    rows = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(targets.get(d, 0.0) / whole).alias("target"), (F.col(d) / F.col("total")).alias("share")) for d in DOMAINS))
+    return sums.select(F.explode(rows).alias("x")).select("x.*", (F.col("x.share") - F.col("x.target")).alias("residual"))
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, passed: Sequence[str] | None = None) -> DataFrame:
+    """n_tokens, p_<domain>, rate and copies of every row, with its columns ``passed`` (all, if not given).
 
     copies is floor(rate + u) with u uniform by the document's identifier and text, so the
     expected number of copies is the rate and a run can be repeated.
     """
     home = shared_root(docs.sparkSession)
     model = fit_classifier(docs, labels, home)
-    scored = with_posteriors(docs, model)
-    shares = materialise(scored.select("n_tokens", *(f"p_{d}" for d in DOMAINS)), f"{home}/shares")
-    rated = scored.withColumn("rate", rate_column(fit_rates(shares, targets)))
+    passed = [c for c in (docs.columns if passed is None else passed) if c not in ADDED]
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    return rated.withColumn("copies", F.floor(F.col("rate") + u).cast("bigint"))
+    scored = with_posteriors(docs.withColumn("__x_u", u), model, passed=[*passed, "__x_u"])
+    scored = materialise(scored, f"{home}/scored")
+    rated = scored.withColumn("rate", rate_column(fit_rates(scored.select("n_tokens", *(f"p_{d}" for d in DOMAINS)), targets)))
+    return rated.withColumn("copies", F.floor(F.col("rate") + F.col("__x_u")).cast("bigint")).select(*passed, *ADDED)
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -253,5 +275,5 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
     that the rates were fitted to.
     """
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__x_row"))
-    mixed = mix(whole, labels, targets).where("copies > 0")
+    mixed = mix(whole, labels, targets, ["__x_row"]).where("copies > 0")
     return mixed.select("__x_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("__x_row.*")

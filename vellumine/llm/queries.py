@@ -19,7 +19,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors and fitted rate of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixing.mix(docs, table(spark, sf_dir, "labels")).drop("text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), passed=["doc_id"])
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
