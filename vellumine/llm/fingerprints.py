@@ -76,30 +76,41 @@ def _likeness(texts: pd.Series, edited: pd.Series, twin: pd.Series) -> pd.DataFr
     return pd.DataFrame(rows, columns=["edited_fingerprint", "near_edited", "near_next"])
 
 
+def _sha(text: Column) -> Column:
+    """A name of a text: rows of equal texts share it whatever their identifiers."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, canonical text checked) for any table: the plain operator."""
+    """(doc_id, fingerprint) of every row of any table: the plain operator."""
     ship(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return resolve_buckets(materialise(keyed.select("doc_id", digest("text").alias("fingerprint")), shared_root(docs.sparkSession)), keyed)
+    marked = keyed.select("doc_id", _sha(F.col("text")).alias("sha"), digest("text").alias("fingerprint"))
+    return resolve_buckets(materialise(marked, shared_root(docs.sparkSession)), keyed).drop("sha")
 
 
 def resolve_buckets(marked: DataFrame, texts: DataFrame) -> DataFrame:
-    """Compare canonical bytes inside equal buckets of ``marked`` (materialised doc_id, fingerprint, …).
+    """Compare canonical bytes inside equal buckets of ``marked`` (materialised sha, fingerprint, …).
 
-    ``texts``: doc_id and text of the same documents.
+    ``texts``: the texts of the same rows.  Rows meet by the hash of their text, never by
+    their identifier, which may be null or repeat.
     """
-    shared = marked.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    members = marked.select("doc_id", "fingerprint").join(shared, "fingerprint").distinct()
-    members = small_or_shuffled(materialise(members, shared_root(marked.sparkSession)))
-    inside = texts.join(members, "doc_id").select("doc_id", "fingerprint", canonical("text").alias("canonical"))
+    home = shared_root(marked.sparkSession)
+    pairs = materialise(marked.groupBy("sha", "fingerprint").agg(F.count(F.lit(1)).alias("n")), f"{home}/pairs")
+    shared = pairs.groupBy("fingerprint").agg(F.sum("n").alias("n")).where("n > 1").select("fingerprint")
+    shared = small_or_shuffled(materialise(shared, f"{home}/shared"))
+    members = materialise(pairs.join(shared, "fingerprint").select("sha", "fingerprint"), f"{home}/members")
+    keyed = texts.select(_sha(F.col("text")).alias("sha"), "text")
+    inside = keyed.join(small_or_shuffled(members), "sha").select("sha", "fingerprint", canonical("text").alias("canonical"))
     mixed = inside.groupBy("fingerprint").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high")).where("low < high")
-    mixed = materialise(mixed.select("fingerprint"), shared_root(marked.sparkSession))
+    mixed = materialise(mixed.select("fingerprint"), f"{home}/mixed")
     if mixed.isEmpty():
         return marked
-    other = inside.join(mixed, "fingerprint").withColumn("k", F.dense_rank().over(W.partitionBy("fingerprint").orderBy("canonical")))
-    other = other.where("k > 1").select("doc_id", "k").distinct()
+    # a collision of 128-bit hashes: the different canonical texts of a bucket are numbered
+    other = materialise(inside.join(mixed, "fingerprint").distinct(), f"{home}/other")
+    other = other.withColumn("k", F.dense_rank().over(W.partitionBy("fingerprint").orderBy("canonical"))).where("k > 1").select("sha", "k")
     return (
-        marked.join(other, "doc_id", "left")
+        marked.join(small_or_shuffled(materialise(other.distinct(), f"{home}/numbered")), "sha", "left")
         .withColumn("fingerprint", F.concat("fingerprint", F.coalesce(F.concat(F.lit("-"), "k"), F.lit(""))))
         .drop("k")
     )
@@ -155,9 +166,10 @@ def drift(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 3)"), F.substring("next_text", F.lit(1), third)))
     rows = rows.select(
         "doc_id",
+        _sha(F.col("text")).alias("sha"),
         F.char_length("text").cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         _likeness("text", "edited", F.when(F.col("fingerprint") == F.col("next_fingerprint"), F.col("next_text"))).alias("x"),
-    ).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "x.edited_fingerprint", "x.near_edited", "x.near_next")
-    return resolve_buckets(materialise(rows, f"{home}/rows"), base)
+    ).select("doc_id", "sha", "n_chars", "edited_sha256", "fingerprint", "x.edited_fingerprint", "x.near_edited", "x.near_next")
+    return resolve_buckets(materialise(rows, f"{home}/rows"), base).drop("sha")
