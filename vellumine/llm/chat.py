@@ -12,19 +12,24 @@ assistant's next turn; other turns are messages.
    frequent identifier never multiplies.
 2. Topological order: a result comes after its call, a call after the results of the calls
    it depends on.  Each entry gets an order key: the latest turn among itself and what it
-   needs, then its depth.  Logs that are in order keep their turns.  Calls on a cycle of
-   dependencies get the status ``cyclic`` and keep their turn.
+   needs, then its depth.  Logs that are in order keep their turns.  Calls on or behind a cycle
+   of dependencies have no such order: they get the status ``cyclic`` and keep their turn.
+   Conversations with up to ``GRAPH`` dependencies are ordered each within a task, in linear
+   time; in larger ones the keys spread by joins, a round for each level of dependency.
 3. Arguments are validated against the JSON schema of the tool.
 4. Each entry is serialised as canonical JSON: keys sorted, no white space, UTF-8.
 
-Statuses: ok, invalid (arguments break the schema), unknown_tool, unanswered (a call without
-a result), orphan (a result without a call), duplicate_call, duplicate_result, cyclic,
-message; the first that holds in the order duplicate, cyclic, unknown_tool, invalid,
-unanswered.
+Statuses: ok, invalid (arguments break the schema, or depends_on is no list of identifiers),
+unknown_tool, unanswered (a call without a result), orphan (a result without a call),
+duplicate_call, duplicate_result, cyclic, message; the first that holds in the order
+duplicate, cyclic, unknown_tool, invalid, unanswered.
 
 Edge cases: a null text counts as empty; null conversations link nothing and a null
-turn sorts first; malformed JSON is plain text; fully equal rows give as many
-entries; a text may hold any number of calls; an empty table gives an empty result.
+turn sorts first; malformed JSON is plain text, and so is JSON with NaN or infinite numbers or
+nested too deeply; identifiers are strings or integers, a call or result with any other or none
+links nothing and is nobody's duplicate; a tool's name that is no string is unknown; half
+surrogate pairs become U+FFFD; fully equal rows give as many entries; a text may hold any
+number of calls; columns other than the four are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +53,33 @@ TOOLS: dict[str, dict] = {
         "additionalProperties": False,
     }
 }
+#: Dependencies of a conversation that is ordered within one task, at most.
+GRAPH = 100_000
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def whole(text: str) -> str:
+    """The text with half surrogate pairs replaced."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def canonical_json(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _loads(text: str):
+    return json.loads(text, parse_constant=_no_number)
+
+
+def _identifier(value) -> str | None:
+    """An identifier as text; None for what can't be one."""
+    if isinstance(value, str):
+        return whole(value)
+    return str(value) if isinstance(value, int) and not isinstance(value, bool) else None
 
 
 def conforms(value, schema: dict) -> bool:
@@ -104,24 +132,34 @@ def _parsed(text: str) -> dict | None:
     if not text.lstrip().startswith("{"):
         return None
     try:
-        found = json.loads(text)
+        found = _loads(text)
+        canonical_json(found)
     except (ValueError, RecursionError):
         return None
     return found if isinstance(found, dict) and ("tool_calls" in found or "tool_call_id" in found) else None
 
 
-def _call(row: dict, place: int, call_id: str, name, arguments, depends: list[str], tools: dict) -> dict:
+def _call(row: dict, place: int, call: dict, tools: dict) -> dict:
+    name, arguments, needs = call.get("name"), call.get("arguments"), call.get("depends_on")
     if isinstance(arguments, str):
         try:
-            arguments = json.loads(arguments)
+            arguments = _loads(arguments)
+            canonical_json(arguments)
         except (ValueError, RecursionError):
-            pass
-    verdict = "unknown_tool" if name not in tools else "ok" if conforms(arguments, tools[name]) else "invalid"
+            arguments = call["arguments"]
+    needs = [] if needs is None else needs
+    depends = [_identifier(x) for x in needs] if isinstance(needs, list) else [None]
+    call_id = _identifier(call.get("id"))
+    if not isinstance(name, str) or name not in tools:
+        verdict = "unknown_tool"
+    else:
+        verdict = "ok" if None not in depends and conforms(arguments, tools[name]) else "invalid"
     shown = canonical_json({"arguments": arguments, "id": call_id, "name": name, "type": "tool_call"})
+    depends = [x for x in depends if x is not None]
     return row | {"place": place, "kind": "call", "call_id": call_id, "verdict": verdict, "depends_on": depends, "canonical": shown}
 
 
-def _result(row: dict, call_id: str, content) -> dict:
+def _result(row: dict, call_id: str | None, content) -> dict:
     shown = canonical_json({"content": content, "id": call_id, "type": "tool_result"})
     return row | {"place": 0, "kind": "result", "call_id": call_id, "verdict": "ok", "depends_on": [], "canonical": shown}
 
@@ -131,16 +169,13 @@ def entries_of(conv_id, turn, role: str | None, text: str | None, tools: dict) -
     text, row = text or "", {"conv_id": conv_id, "turn": turn, "role": role}
     found = _parsed(text)
     if found is not None and "tool_call_id" in found:
-        return [_result(row, str(found["tool_call_id"]), found.get("content"))]
+        return [_result(row, _identifier(found["tool_call_id"]), found.get("content"))]
     if found is not None and isinstance(found["tool_calls"], list):
         calls = [c for c in found["tool_calls"] if isinstance(c, dict)]
         if calls:
-            return [
-                _call(row, i, str(c.get("id")), c.get("name"), c.get("arguments"), [str(x) for x in c.get("depends_on") or []], tools)
-                for i, c in enumerate(calls)
-            ]
+            return [_call(row, i, c, tools) for i, c in enumerate(calls)]
     if role == "user":
-        return [_call(row, 0, f"turn-{turn}", "reply", {"text": text}, [], tools)]
+        return [_call(row, 0, {"id": f"turn-{turn}", "name": "reply", "arguments": {"text": text}}, tools)]
     if role == "assistant" and turn is not None:
         return [_result(row, f"turn-{turn - 1}", text)]
     shown = canonical_json({"content": text, "role": role, "type": "message"})
@@ -200,6 +235,61 @@ def _order(firsts: DataFrame, needs: DataFrame, home: str) -> DataFrame:
         now = moved.drop("changed")
 
 
+ORDERED = "conv_id bigint, call_id string, cyclic boolean, call_after bigint, call_depth int"
+
+
+def _order_one(calls: pd.DataFrame) -> pd.DataFrame:
+    """The order keys of one conversation's calls (call_id, after, answered, parents) that need or are needed."""
+    names = calls["call_id"].tolist()
+    at = {name: i for i, name in enumerate(names)}
+    turns = [[None if pd.isna(x) else int(x) for x in calls[c]] for c in ("after", "answered")]
+    after, answered = turns
+    depth, left = [0] * len(names), [0] * len(names)
+    children: list[list[int]] = [[] for _ in names]
+    for i, parents in enumerate(calls["parents"]):
+        for parent in () if parents is None else parents:
+            children[at[parent]].append(i)
+            left[i] += 1
+    ready = [i for i, n in enumerate(left) if not n]
+    for i in ready:  # grows while it is read
+        done = [x for x in (after[i], answered[i]) if x is not None]
+        for k in children[i]:
+            later = [x for x in (after[k], *done) if x is not None]
+            after[k], depth[k] = max(later, default=None), max(depth[k], depth[i] + 2)
+            left[k] -= 1
+            if not left[k]:
+                ready.append(k)
+    bad = [n > 0 for n in left]
+    out = pd.DataFrame({"conv_id": calls["conv_id"], "call_id": names, "cyclic": bad})
+    out["call_after"] = pd.array([None if b else x for x, b in zip(after, bad, strict=True)], "Int64")
+    out["call_depth"] = pd.array([None if b else x for x, b in zip(depth, bad, strict=True)], "Int32")
+    return out
+
+
+def _order_small(firsts: DataFrame, needs: DataFrame) -> DataFrame:
+    """ORDERED of the calls that need or are needed, in conversations of a bounded size."""
+    parents = needs.groupBy("conv_id", "call_id").agg(F.collect_list("parent").alias("parents"))
+    named = needs.select("conv_id", "call_id").union(needs.select("conv_id", "parent")).distinct()
+    calls = firsts.where("kind = 'call'").select("conv_id", "call_id", F.col("turn").alias("after"))
+    answers = firsts.where("kind = 'result'").select("conv_id", "call_id", F.col("turn").alias("answered"))
+    key = ["conv_id", "call_id"]
+    nodes = named.join(calls, key).join(answers, key, "left").join(parents, key, "left")
+    return nodes.groupBy("conv_id").applyInPandas(_order_one, ORDERED)
+
+
+def _order_large(firsts: DataFrame, needs: DataFrame, home: str) -> DataFrame:
+    """ORDERED of the calls that need or are needed, by rounds of joins."""
+    named = needs.select("conv_id", "call_id").union(needs.select("conv_id", "parent")).distinct()
+    bad = materialise(_cyclic(needs, home), f"{home}/cyclic")
+    own = firsts.join(named, ["conv_id", "call_id"], "left_semi")
+    order = _order(own, needs.join(bad, ["conv_id", "call_id"], "left_anti"), home)
+    order = order.join(bad.withColumn("cyclic", F.lit(True)), ["conv_id", "call_id"], "left")
+    good = F.col("cyclic").isNull()
+    return order.select(
+        "conv_id", "call_id", (~good).alias("cyclic"), F.when(good, F.col("call_after")).alias("call_after"), F.when(good, F.col("call_depth")).alias("call_depth")
+    )
+
+
 def link(messages: DataFrame, tools: dict[str, dict] = TOOLS) -> DataFrame:
     """One row per call, result and message.
 
@@ -237,13 +327,16 @@ def link(messages: DataFrame, tools: dict[str, dict] = TOOLS) -> DataFrame:
     if needs.isEmpty():
         linked = linked.withColumns({"call_after": F.lit(None).cast("bigint"), "call_depth": F.lit(None).cast("int"), "cyclic": F.lit(False)})
     else:
-        bad = materialise(_cyclic(needs, home), f"{home}/cyclic")
-        order = _order(firsts, needs.join(bad, ["conv_id", "call_id"], "left_anti"), home)
-        linked = linked.join(bad.withColumn("cyclic", F.lit(True)), ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left")
+        sizes = materialise(needs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), f"{home}/sizes")
+        small, large = (needs.join(sizes.where(x).select("conv_id"), "conv_id", "left_semi") for x in (F.col("n") <= GRAPH, F.col("n") > GRAPH))
+        order = _order_small(firsts, small)
+        if not large.isEmpty():
+            order = order.union(_order_large(firsts, materialise(large, f"{home}/large"), home))
+        linked = linked.join(materialise(order, f"{home}/ordered"), ["conv_id", "call_id"], "left")
         linked = linked.withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
     status = (
         F.when(F.col("kind") == "message", F.lit("message"))
-        .when(~F.col("first"), F.concat(F.lit("duplicate_"), F.col("kind")))
+        .when(~F.col("first") & F.col("call_id").isNotNull(), F.concat(F.lit("duplicate_"), F.col("kind")))
         .when((F.col("kind") == "call") & F.col("cyclic"), F.lit("cyclic"))
         .when(F.col("verdict") != "ok", F.col("verdict"))
         .when(~F.col("linked"), F.when(F.col("kind") == "call", F.lit("unanswered")).otherwise(F.lit("orphan")))
