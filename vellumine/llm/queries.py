@@ -87,7 +87,7 @@ SQL_PATTERNS = {
     "ip": r"[0-9]+(?:\.[0-9]+){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "iban": pii.IBAN,
     "short_card": r"[0-9](?:[\x20-]?[0-9])+",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
@@ -104,7 +104,7 @@ SQL_VALID = {
     "ip": "list_bool_and(list_transform(string_split(x.m, '.'), lambda y: length(ltrim(y, '0')) <= 3 AND coalesce(try_cast(nullif(ltrim(y, '0'), '') AS INT), 0) <= 255))",
     "card": f"length({SQL_DIGITS}) BETWEEN 16 AND 19 AND {SQL_LUHN}",
     "phone": f"length({SQL_DIGITS}) BETWEEN 8 AND 15",
-    "iban": f"""{SQL_ALONE} AND length(replace(x.m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT,
+    "iban": f"""{SQL_ALONE} AND list_reduce(list_prepend(0::BIGINT,
         list_transform(range(1, length({SQL_IBAN}) + 1), lambda i: {SQL_VALUE}::BIGINT)), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1""",
     "short_card": f"{SQL_ALONE} AND length({SQL_DIGITS}) BETWEEN 13 AND 15 AND {SQL_LUHN}",
     "ssn": f"""{SQL_ALONE} AND NOT contains(CASE WHEN x.s > 0 THEN substr(t, x.s::INT, 1) ELSE '' END || substr(t, x.e::INT + 1, 1), '-')
