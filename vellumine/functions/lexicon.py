@@ -140,25 +140,48 @@ def by_language(lang: Column, per_language) -> Column:
     return out
 
 
-def any_marker(hay: Column, lang: Column, group: str) -> Column:
-    """Whether the searched text has a marker of the group."""
+def _single(name: str, group: str) -> list[str]:
+    """The group's markers that are one word, in a language that spaces its words."""
+    return [] if name in UNSPACED else [m for m in PACKS[name][group] if " " not in m]
+
+
+def found_words(words: Column, lang: Column) -> Column:
+    """Which one-word markers of any group a text has; null where markers are matched anywhere.
+
+    ``words``: the text's words.  All groups are tested on this short list, so the text itself
+    is gone through once, and again for markers of several words only.
+    """
+
+    def held(name: str) -> Column:
+        known = dict.fromkeys(m for group in PACKS[name] for m in _single(name, group))
+        return F.array_intersect(F.array(*map(F.lit, known)), words) if known else F.lit(None).cast("array<string>")
+
+    return by_language(lang, held)
+
+
+def any_marker(hay: Column, lang: Column, group: str, found: Column | None = None) -> Column:
+    """Whether the searched text has a marker of the group; ``found``: its ``found_words``, if known."""
 
     def test(name: str) -> Column:
-        out = F.lit(False)
+        single = _single(name, group) if found is not None else []
+        out = F.arrays_overlap(found, F.array(*map(F.lit, single))) if single else F.lit(False)
         for marker in PACKS[name][group]:
-            out = out | hay.contains(padded(name, marker))
+            if marker not in single:
+                out = out | hay.contains(padded(name, marker))
         return out
 
     return F.coalesce(by_language(lang, test), F.lit(False))
 
 
-def count_present(hay: Column, lang: Column, group: str) -> Column:
+def count_present(hay: Column, lang: Column, group: str, found: Column | None = None) -> Column:
     """How many different markers of the group occur."""
 
     def total(name: str) -> Column:
-        out = F.lit(0)
+        single = _single(name, group) if found is not None else []
+        out = F.size(F.array_intersect(found, F.array(*map(F.lit, single)))) if single else F.lit(0)
         for marker in PACKS[name][group]:
-            out = out + hay.contains(padded(name, marker)).cast("int")
+            if marker not in single:
+                out = out + hay.contains(padded(name, marker)).cast("int")
         return out
 
     return F.coalesce(by_language(lang, total), F.lit(0))

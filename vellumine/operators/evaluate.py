@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,24 +15,36 @@ def threshold_grid(records: DataFrame, finals: list[float], readiness: list[floa
     """Every scenario of every family in one pass over the records.
 
     ``records``: (family, final, readiness, penalty, positive).  A scenario keeps a record with
-    final and readiness at least, penalty at most.  All scenarios are conditional aggregates,
-    so records are read and grouped once and never multiplied.
+    final and readiness at least, penalty at most.  Records are counted by how many thresholds
+    each of their scores reaches, which leaves a bounded number of cells for each family; the
+    scenarios are sums over cells, so records are never multiplied.
     """
-    grid = list(product(finals, readiness, penalties))
-    aggs = []
-    for i, (f, r, p) in enumerate(grid):
-        kept = (F.col("final") >= f) & (F.col("readiness") >= r) & (F.col("penalty") <= p)
-        aggs += [F.count_if(kept).alias(f"k{i}"), F.count_if(kept & F.col("positive")).alias(f"p{i}")]
-    wide = records.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("positives"), *aggs)
-    rows = F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(f).alias("final_min"), F.lit(r).alias("readiness_min"), F.lit(p).alias("penalty_max"), F.col(f"k{i}").alias("kept"), F.col(f"p{i}").alias("kept_positive"))
-                for i, (f, r, p) in enumerate(grid)
-            )
+    finals, readiness, penalties = sorted(finals), sorted(readiness), sorted(penalties)
+
+    def bin_of(x: Column, cuts: list[float]) -> Column:
+        """How many thresholds a score reaches."""
+        return sum((F.when(x >= cut, 1).otherwise(0) for cut in cuts[1:]), F.when(x >= cuts[0], 1).otherwise(0))
+
+    # a penalty is above so many of the greatest penalties, and then none of the lower ones keeps it
+    above = sum((F.when(F.col("penalty") > cut, 1).otherwise(0) for cut in penalties[1:]), F.when(F.col("penalty") > penalties[0], 1).otherwise(0))
+    null = F.col("final").isNull() | F.col("readiness").isNull() | F.col("penalty").isNull()
+    cells = records.groupBy(
+        "family", F.when(~null, bin_of(F.col("final"), finals)).alias("f"), F.when(~null, bin_of(F.col("readiness"), readiness)).alias("r"), F.when(~null, above).alias("p")
+    ).agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("positives"))
+    grid = F.array(
+        *(
+            F.struct(F.lit(f).alias("final_min"), F.lit(r).alias("readiness_min"), F.lit(p).alias("penalty_max"), F.lit(i).alias("f"), F.lit(j).alias("r"), F.lit(k).alias("p"))
+            for (i, f), (j, r), (k, p) in product(enumerate(finals, 1), enumerate(readiness, 1), enumerate(penalties))
         )
     )
-    out = wide.select("family", "n", "positives", rows.alias("x")).select("family", "n", "positives", "x.*")
+    # few cells of each family meet all scenarios; a cell without its scores is kept by none
+    kept = (F.col("f") >= F.col("x.f")) & (F.col("r") >= F.col("x.r")) & (F.col("p") <= F.col("x.p"))
+    out = cells.withColumn("x", F.explode(grid)).groupBy("family", "x.final_min", "x.readiness_min", "x.penalty_max").agg(
+        F.sum("n").alias("n"),
+        F.sum("positives").alias("positives"),
+        F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("kept"),
+        F.sum(F.when(kept, F.col("positives")).otherwise(0)).alias("kept_positive"),
+    )
     precision = F.coalesce(F.try_divide(F.col("kept_positive").cast("double"), F.col("kept").cast("double")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("kept_positive").cast("double"), F.col("positives").cast("double")), F.lit(0.0))
     leakage = F.coalesce(F.try_divide((F.col("kept") - F.col("kept_positive")).cast("double"), (F.col("n") - F.col("positives")).cast("double")), F.lit(0.0))
