@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CUT = "\x01"
-# Full-width marks and what they stand for.
-FULL_WIDTH, ASCII = "，。！？；：（）【】、", ",.!?;:()[],"
+# Marks and what they stand for.
+MARKS, PLAIN = "\u3000，。；：！？“”‘’", " ,.;:!?\"\"''"
 #: Sentence terminators by kind of language; ASCII full stops end no Chinese sentence.
 TERMINATORS = {"zh": "。！？!?", "other": "。！？!?."}
 
@@ -54,8 +54,8 @@ def content_hash(x: Column) -> Column:
 
 
 def normalised_hash(x: Column) -> Column:
-    """SHA-1 without white space, full-width marks taken as their ASCII forms."""
-    return F.sha1(F.regexp_replace(F.translate(strip(x), FULL_WIDTH, ASCII), r"\s+", ""))
+    """SHA-1 of the text without white space, full-width and curly marks as their ASCII forms."""
+    return F.sha1(F.regexp_replace(F.translate(strip(x), MARKS, PLAIN), r"\s+", ""))
 
 
 def fingerprint(x: Column) -> Column:

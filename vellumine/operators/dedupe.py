@@ -13,8 +13,19 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import MARKS, PLAIN
 
 JACCARD, CONTAINED, SUBSTRING = 0.85, 0.8, 0.8
+#: Length in characters that a survivor should be near to.
+TARGET_LENGTH = 320
+_AS_PLAIN = str.maketrans(MARKS, PLAIN)
+
+
+def normal(text: str) -> str:
+    """The text whose hash is ``text.normalised_hash``: no white space, plain marks."""
+    return re.sub(r"\s+", "", text.strip().translate(_AS_PLAIN))
 
 
 def longest_common(a: str, b: str) -> int:
@@ -33,9 +44,9 @@ def grams(text: str) -> frozenset[str]:
 
 
 def near(a: str, b: str, x: frozenset[str], y: frozenset[str]) -> bool:
-    """Whether two spans with gram sets x and y are near duplicates."""
-    if re.sub(r"\s+", "", a) == re.sub(r"\s+", "", b):
-        return True
+    """Whether two normal spans with gram sets x and y are near duplicates."""
+    if a == b:
+        return a != ""
     if len(a) > len(b):
         a, b, x, y = b, a, y, x
     if not a:
@@ -56,6 +67,7 @@ def near(a: str, b: str, x: frozenset[str], y: frozenset[str]) -> bool:
 def clusters(spans: list[str]) -> list[int]:
     """For each span the number of the first span of its cluster."""
     parent = list(range(len(spans)))
+    spans = [normal(x) for x in spans]
     sets = [grams(x) for x in spans]
 
     def root(i: int) -> int:
@@ -72,22 +84,28 @@ def clusters(spans: list[str]) -> list[int]:
     return [root(i) for i in range(len(spans))]
 
 
-def merge_spans(articles: DataFrame) -> DataFrame:
-    """(article_id, span, cluster, size, survivor) of (article_id, items array<string>).
+def merge_spans(articles: DataFrame, target: int = TARGET_LENGTH) -> DataFrame:
+    """(article_id, span, cluster, size, survivor) of (article_id, items array<string>[, ranks array<struct>]).
 
-    The longest span of a cluster survives, the first of equals.
+    The best span of a cluster survives, its others are variants of it.  Best is what has the
+    least rank (``ranks``: for each item n_flags, gray, no_subtype and lost, which is minus the score
+    of its family), then the length nearest to the target, then the first place.
     """
+    rank = "struct<n_flags: int, gray: int, no_subtype: int, lost: double>"
+    ranks = F.col("ranks") if "ranks" in articles.columns else F.lit(None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, items in zip(frame["article_id"], frame["items"], strict=True):
+            for key, items, given in zip(frame["article_id"], frame["items"], frame["ranks"], strict=True):
                 items = list(items) if items is not None else []
+                by = [tuple(r.values()) for r in given] if given is not None else [()] * len(items)
                 of = clusters(items)
                 for c in set(of):
                     members = [i for i, x in enumerate(of) if x == c]
-                    best = max(members, key=lambda i: (len(items[i]), -i))
+                    best = min(members, key=lambda i: (by[i], abs(len(items[i]) - target), i))
                     out += [(key, i, c, len(members), i == best) for i in members]
             yield pd.DataFrame(out, columns=["article_id", "span", "cluster", "size", "survivor"])
 
-    return articles.select("article_id", "items").mapInPandas(run, "article_id bigint, span bigint, cluster bigint, size bigint, survivor boolean")
+    schema = "article_id bigint, span bigint, cluster bigint, size bigint, survivor boolean"
+    return articles.select("article_id", "items", ranks.cast(f"array<{rank}>").alias("ranks")).mapInPandas(run, schema)

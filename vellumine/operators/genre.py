@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-DEFAULT = "general"
+Rules = dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]]
 #: Weights of keyword hits in title, text and source.
 WEIGHTS = (2.0, 1.0, 1.5)
-#: genre: title keywords, text keywords, source keywords; the order breaks ties.
-RULES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
-    "policy": (("plan", "notice", "measures"), ("policy", "authority", "licensed"), ("gov",)),
-    "law": (("act", "law"), ("shall", "liability", "license"), ("court",)),
-    "science": (("why", "how"), ("research", "experiment", "data"), ("science",)),
-    "opinion": (("view", "comment"), ("should", "idiot", "worthless"), ("opinion",)),
-    "news": (("report", "news"), ("according", "released", "with"), ("news", "src1")),
-    "announcement": (("announcement", "list"), ("hereby", "following"), ("ministry",)),
-    "practice": (("case", "practice"), ("practice", "example", "for"), ("src2",)),
+# The default genre; by genre the keywords of titles, texts and sources; the order breaks ties.
+DEFAULT = "通用说明文"
+RULES: Rules = {
+    "政策文": (("意见", "方案", "办法", "通知", "规定", "决定", "若干措施", "规划"), ("贯彻落实", "政策措施", "制度安排", "有关部门", "实施意见", "工作机制"), ("国务院", "政府", "人民网", "新华网")),
+    "法条文": (("条例", "法", "司法解释", "法律责任", "实施细则"), ("依照", "本条", "应当", "不得", "法律责任", "条款"), ("最高人民法院", "最高人民检察院", "中国人大网")),
+    "科普文": (("为什么", "如何", "揭秘", "原理", "知识", "科普"), ("科学家", "实验", "研究发现", "原理", "机制", "数据表明"), ("科普中国", "中国科协", "新华社")),
+    "评论文": (("评论", "时评", "人民论坛", "观点", "锐评"), ("值得警惕", "启示", "折射出", "说明了", "提醒我们", "应当看到"), ("人民网", "光明网")),
+    "新闻报道": (("消息", "报道", "观察", "现场", "纪实"), ("记者", "获悉", "报道称", "据了解", "发布会", "消息人士"), ("新华社", "人民网", "光明网", "央视网")),
+    "通知公告": (("公告", "通报", "公示", "名单", "提示"), ("特此公告", "现将", "公示如下", "通报如下", "请按要求"), ("政府", "教育部", "财政部")),
+    "经验材料": (("做法", "经验", "案例", "启示录", "样本"), ("实践中", "探索出", "典型做法", "经验表明", "案例显示"), ("人民网", "半月谈", "中国组织人事报")),
 }
 
 
@@ -30,7 +31,7 @@ def _hits(hay: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def genre_scores(articles: DataFrame) -> DataFrame:
+def genre_scores(articles: DataFrame, rules: Rules = RULES) -> DataFrame:
     """(id, genre, rule, score) for genres that score, of (id, title, text, source)."""
     title, text, source = (F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "text", "source"))
     rows = [
@@ -39,17 +40,17 @@ def genre_scores(articles: DataFrame) -> DataFrame:
             F.lit(g).alias("genre"),
             (WEIGHTS[0] * _hits(title, a) + WEIGHTS[1] * _hits(text, b) + WEIGHTS[2] * _hits(source, c)).alias("score"),
         )
-        for i, (g, (a, b, c)) in enumerate(RULES.items())
+        for i, (g, (a, b, c)) in enumerate(rules.items())
     ]
     return articles.select("id", F.explode(F.filter(F.array(*rows), lambda r: r["score"] > 0)).alias("r")).select("id", "r.*")
 
 
-def genre_top(articles: DataFrame, k: int = 1) -> DataFrame:
+def genre_top(articles: DataFrame, k: int = 3, rules: Rules = RULES, default: str = DEFAULT) -> DataFrame:
     """The k best genres of each article; those without a hit get the default."""
-    ranked = genre_scores(articles).withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), F.asc("rule"))))
+    ranked = genre_scores(articles, rules).withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), F.asc("rule"))))
     best = ranked.where(F.col("rank") <= k).select("id", "genre", "score", "rank")
     return articles.select("id").join(best, "id", "left").select(
-        "id", F.coalesce("genre", F.lit(DEFAULT)).alias("genre"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("rank", F.lit(1)).alias("rank")
+        "id", F.coalesce("genre", F.lit(default)).alias("genre"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("rank", F.lit(1)).alias("rank")
     )
 
 

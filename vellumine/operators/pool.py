@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Terms of one search, at most.
+MAX_TERMS = 12
+
+
 def newest_first(articles: DataFrame, limit: int = 200) -> DataFrame:
     """The newest articles; ties by identifier."""
     return articles.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
 def term_search(articles: DataFrame, terms: list[str], columns: tuple[str, ...]) -> DataFrame:
-    """Articles with any of up to twelve terms in any of the columns, in any letter case."""
+    """Articles with any of up to twelve terms in any of the columns, in any letter case; more are refused."""
+    if len(terms) > MAX_TERMS:
+        raise ValueError(f"at most {MAX_TERMS} terms, not {len(terms)}")
     test = F.lit(False)
-    for term in terms[:12]:
+    for term in terms:
         for column in columns:
             test = test | F.lower(F.col(column)).contains(term.lower())
     return articles.where(test)
@@ -71,7 +77,9 @@ def top_k_distinct(rows: DataFrame, by: list[str], text: str, order: list[Column
     limit = F.lit(0)
     for kind, most in limits.items():
         limit = F.when(F.col(by[0]) == kind, most).otherwise(limit)
-    return first.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
+    # the largest limit bounds what a window keeps of a group
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= max(limits.values(), default=0))
+    return ranked.where(F.col("rank") <= limit)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -205,30 +213,107 @@ def diverse(items: DataFrame, key: str, limit: int, window: int = 64) -> DataFra
     return top_k(chosen, [key, "candidate_id"], [F.desc_nulls_last("score")], 1).drop("rank")
 
 
-def url_score(url: Column, title: Column) -> Column:
-    """Additive bonuses and penalties of a link."""
-    low, t = F.lower(url), F.lower(F.coalesce(title, F.lit("")))
+# Patterns of the addresses of articles, and words of index pages and of titles that are none.
+DATED = r"/\d{4}[-/]\d{2}[-/]\d{2}/|\d{8}"
+CONTENT = r"/content[_/]|/c\.html?$|/c\d+-\d+\.html"
+DETAIL = r"/news/\d+\.html$|/detail/\d{8}/|/t\d+_\d+\.htm[l]?$"
+DETAIL_LOW = r"/newsdetail(?:_forward)?_\d+$"
+NUMBERED = r"/\d{8}/\d+[_-]\d+(_\d+)?\.html?$"
+ARTICLE_WORDS = ("article", "content", "detail", "news", "forward")
+INDEX_WORDS = ("index", "node_", "home.htm", "category", "recommend", "agreement", "privacy", "useragreement", "list", "channel", "column", "topic", "login", "register", "undefined")
+OTHER_TITLES = ("privacy", "agreement", "user agreement", "terms", "login", "register")
+# Parameters that only track.
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "ref")
+
+
+def url_score(url: Column, title: Column, patterns: tuple[str, ...] = (), keywords: tuple[str, ...] = ()) -> Column:
+    """Additive bonuses and penalties of a link; a link is kept if it has more than 0.
+
+    patterns: of the addresses of a site's articles; keywords: of the titles that are wanted.
+    """
+    low, t = F.lower(url), F.coalesce(title, F.lit(""))
 
     def w(test: Column, value: int) -> Column:
         return F.when(test, value).otherwise(0)
 
-    # Patterns and tokens of article and index pages.
+    def any_of(x: Column, words: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for word in words:
+            out = out | x.contains(word)
+        return out
+
+    own = F.lit(0)
+    if patterns:
+        own = F.when(url.rlike("|".join(f"(?:{p})" for p in patterns)), 12).otherwise(-8)
     return (
-        w(url.rlike(r"/\d{4}[-/]\d{2}[-/]\d{2}/|\d{8}"), 6)
-        + w(url.rlike(r"/content[_/]|/c\.html?$|/c\d+-\d+\.html"), 5)
-        + w(url.rlike(r"/news/\d+\.html$|/detail/\d{8}/|/t\d+_\d+\.html?$") | low.rlike(r"/newsdetail(?:_forward)?_\d+$"), 5)
+        own
+        + w(url.rlike(DATED), 6)
+        + w(url.rlike(CONTENT), 5)
+        + w(url.rlike(DETAIL) | low.rlike(DETAIL_LOW), 5)
         + F.when(F.length(t) >= 12, 3).when(F.length(t) >= 8, 2).otherwise(0)
-        + w(low.rlike("article|content|detail|news|forward"), 2)
-        + w(low.rlike(r"/\d{8}/\d+[_-]\d+(?:_\d+)?\.html?$"), 3)
-        - w(low.rlike(r"index|node_|home\.htm|category|recommend|agreement|privacy|list|channel|column|topic|login|register|undefined"), 10)
-        - w(t.rlike("privacy|agreement|terms|login|register"), 10)
+        + w(any_of(t, keywords), 5)
+        + w(any_of(low, ARTICLE_WORDS), 2)
+        + w(low.rlike(NUMBERED), 3)
+        - w(any_of(low, INDEX_WORDS), 10)
+        - w(any_of(F.lower(t), OTHER_TITLES), 10)
         - w(url.rlike(r"^https?://[^/]+/?$"), 12)
     )
 
 
+def allowed_domain(host: Column, domains: tuple[str, ...]) -> Column:
+    """Whether a host is one of the domains or lies below one; ports don't count."""
+    name = F.substring_index(F.lower(F.trim(host)), ":", 1)
+    out = F.lit(False)
+    for d in (x.strip().lower() for x in domains if x.strip()):
+        out = out | (name == d) | name.endswith(f".{d}")
+    return (name != "") & out
+
+
 def url_normal(url: Column) -> Column:
-    """Without fragment and the tracking parameters."""
+    """Without fragment, path parameters and the parameters that only track, and with a path; values aren't encoded anew."""
     bare = F.regexp_replace(url, "#.*$", "")
-    # Tracking parameters.
-    cut = F.regexp_replace(bare, r"([?&])(?:utm_source|utm_medium|utm_campaign|utm_term|utm_content|spm|from)=[^&]*", "$1")
+    bare = F.regexp_replace(bare, r"^(https?://[^/?]+)(\?|$)", "$1/$2")
+    bare = F.regexp_replace(bare, r";[^/?]*(\?|$)", "$1")
+    cut = F.regexp_replace(bare, rf"(?i)([?&])(?:{'|'.join(TRACKING)})=[^&]*", "$1")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(cut, "&{2,}", "&"), r"\?&", "?"), "[?&]$", "")
+
+
+#: Endings of addresses that are no pages.
+NO_PAGES = (".css", ".js", ".json", ".xml", ".txt", ".map", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".ttf")
+ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>.*?</a>"
+HREF = r"(?is)^<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*)</a>$"
+EMBEDDED = r"[\"']((?:https?://|/)[^\"'<>\s]{6,})[\"']"
+
+
+def discovered(pages: DataFrame, domains: tuple[str, ...] | None = None, patterns: tuple[str, ...] = (), keywords: tuple[str, ...] = (), limit: int = 20) -> DataFrame:
+    """(page_id, link, score, place): the best links of (page_id, url, html), each address once.
+
+    Anchors with any kind of quotes and addresses embedded anywhere; resolved against the page's own, filtered by
+    domain (that of the page, if none are given), normalised and scored.
+    """
+    html = F.coalesce("html", F.lit(""))
+    anchors = F.transform(
+        F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)),
+        lambda a: F.struct(
+            F.trim(F.regexp_replace(a, HREF, "$1$2$3")).alias("href"), F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(a, HREF, "$4"), "<[^>]*>", " "), r"\s+", " ")).alias("title")
+        ),
+    )
+    embedded = F.transform(F.regexp_extract_all(html, F.lit(EMBEDDED), F.lit(1)), lambda u: F.struct(F.rtrim(F.replace(u, F.lit("\\/"), F.lit("/")), F.lit(",;")).alias("href"), F.lit("").alias("title")))
+    rows = pages.select("page_id", "url", F.explode(F.concat(anchors, embedded)).alias("x")).select("page_id", "url", "x.*")
+    rows = rows.where(~F.lower("href").rlike("^(?:javascript|mailto|tel):") & ~F.lower(F.regexp_replace("href", "[?#].*$", "")).rlike(rf"(?:{'|'.join(map(_quoted, NO_PAGES))})$"))
+    root = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    folder = F.regexp_extract("url", "^(https?://[^?#]*/)", 1)
+    full = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("//"), F.concat(F.regexp_extract("url", "^(https?:)", 1), "href"))
+    full = full.when(F.col("href").startswith("/"), F.concat(root, "href")).when(F.col("href") != "", F.concat(F.when(folder.rlike("^https?://$") | (folder == ""), F.concat(root, F.lit("/"))).otherwise(folder), "href"))
+    rows = rows.withColumn("link", url_normal(full)).where(F.col("link").rlike("^https?://"))
+    host = F.regexp_extract("link", "^https?://([^/?#]+)", 1)
+    rows = rows.where(allowed_domain(host, domains) if domains is not None else host == F.regexp_extract("url", "^https?://([^/?#]+)", 1))
+    # of equal addresses the longest title counts
+    best = rows.groupBy("page_id", "link").agg(F.max(F.struct(F.length("title").alias("n"), "title")).alias("t"))
+    scored = best.select("page_id", "link", url_score(F.col("link"), F.col("t.title"), patterns, keywords).alias("score")).where("score > 0")
+    place = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "link"))
+    return scored.withColumn("place", place).where(F.col("place") <= limit)
+
+
+def _quoted(ending: str) -> str:
+    return ending.replace(".", r"\.")

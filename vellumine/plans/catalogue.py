@@ -496,24 +496,49 @@ def near_duplicate_spans(spark, sf_dir):
     return dedupe.merge_spans(cut.select("article_id", F.col("paras").alias("items")))
 
 
-@query(r"""WITH u AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages), l AS (SELECT *, lower(url) AS low, lower(coalesce(title, '')) AS t FROM u)
-    SELECT page_id, (CASE WHEN regexp_matches(url, '/\d{4}[-/]\d{2}[-/]\d{2}/|\d{8}') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(url, '/content[_/]|/c\.html?$|/c\d+-\d+\.html') THEN 5 ELSE 0 END
-    + CASE WHEN regexp_matches(url, '/news/\d+\.html$|/detail/\d{8}/|/t\d+_\d+\.html?$') OR regexp_matches(low, '/newsdetail(?:_forward)?_\d+$') THEN 5 ELSE 0 END
-    + CASE WHEN length(t) >= 12 THEN 3 WHEN length(t) >= 8 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(low, 'article|content|detail|news|forward') THEN 2 ELSE 0 END
-    + CASE WHEN regexp_matches(low, '/\d{8}/\d+[_-]\d+(?:_\d+)?\.html?$') THEN 3 ELSE 0 END
-    - CASE WHEN regexp_matches(low, 'index|node_|home\.htm|category|recommend|agreement|privacy|list|channel|column|topic|login|register|undefined') THEN 10 ELSE 0 END
-    - CASE WHEN regexp_matches(t, 'privacy|agreement|terms|login|register') THEN 10 ELSE 0 END - CASE WHEN regexp_matches(url, '^https?://[^/]+/?$') THEN 12 ELSE 0 END)::INT AS score,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_source|utm_medium|utm_campaign|utm_term|utm_content|spm|from)=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&', '?', 'g'), '[?&]$', '') AS normal_url FROM l""")
+def _sql_words(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+URL_PATTERNS, URL_KEYWORDS = (r"/[A-Z][a-z]+", r"/\d+$"), ("Th", "Er")
+SQL_URL_SCORE = rf"""(CASE WHEN regexp_matches(url, '(?:/[A-Z][a-z]+)|(?:/\d+$)') THEN 12 ELSE -8 END + CASE WHEN regexp_matches(url, '{pool.DATED}') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(url, '{pool.CONTENT}') THEN 5 ELSE 0 END
+    + CASE WHEN regexp_matches(url, '{pool.DETAIL}') OR regexp_matches(lower(url), '{pool.DETAIL_LOW}') THEN 5 ELSE 0 END + CASE WHEN length(title) >= 12 THEN 3 WHEN length(title) >= 8 THEN 2 ELSE 0 END
+    + CASE WHEN {_sql_words('title', URL_KEYWORDS)} THEN 5 ELSE 0 END + CASE WHEN {_sql_words('lower(url)', pool.ARTICLE_WORDS)} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(url), '{pool.NUMBERED}') THEN 3 ELSE 0 END
+    - CASE WHEN {_sql_words('lower(url)', pool.INDEX_WORDS)} THEN 10 ELSE 0 END - CASE WHEN {_sql_words('lower(title)', pool.OTHER_TITLES)} THEN 10 ELSE 0 END - CASE WHEN regexp_matches(url, '^https?://[^/]+/?$') THEN 12 ELSE 0 END)::INT"""
+
+
+def _sql_normal(url: str) -> str:
+    for pattern, by in (
+        ("#.*$", ""), (r"^(https?://[^/?]+)(\?|$)", r"\1/\2"), (r";[^/?]*(\?|$)", r"\1"), (rf"(?i)([?&])(?:{'|'.join(pool.TRACKING)})=[^&]*", r"\1"), ("&{2,}", "&"), (r"\?&", "?"), ("[?&]$", ""),
+    ):
+        url = f"regexp_replace({url}, '{pattern}', '{by}', 'g')"
+    return url
+
+
+@query(rf"""WITH u AS (SELECT page_id, url, coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages)
+    SELECT page_id, {SQL_URL_SCORE} AS score, {_sql_normal("url || '?ref=x&q=1&UTM_source=y#top'")} AS normal_url FROM u""")
 def url_scores(spark, sf_dir):
-    p = t(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return p.select("page_id", pool.url_score(F.col("url"), F.col("title")).alias("score"), pool.url_normal(F.col("url")).alias("normal_url"))
+    p = t(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
+    longer = F.concat("url", F.lit("?ref=x&q=1&UTM_source=y#top"))
+    return p.select("page_id", pool.url_score(F.col("url"), F.col("title"), URL_PATTERNS, URL_KEYWORDS).alias("score"), pool.url_normal(longer).alias("normal_url"))
 
 
-@query(r"""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS link FROM pages WHERE html IS NOT NULL)
-    SELECT page_id, count(*)::BIGINT AS n_links, count(DISTINCT link)::BIGINT AS n_distinct, min(link) AS first_link FROM x GROUP BY 1""")
+@query(
+    rf"""WITH m AS (SELECT page_id, url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)[^>]*>.*?</a>')) AS a FROM pages),
+    x AS (SELECT page_id, url AS page, trim(regexp_replace(a, '(?is)^<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*)</a>$', '\1\2\3')) AS href,
+            trim(regexp_replace(regexp_replace(regexp_replace(a, '(?is)^<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*)</a>$', '\4'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM m
+        UNION ALL SELECT page_id, url, rtrim(replace(unnest(regexp_extract_all(coalesce(html, ''), '["'']((?:https?://|/)[^"''<>\s]{{6,}})["'']', 1)), '\/', '/'), ',;'), '' FROM pages),
+    k AS (SELECT *, regexp_extract(page, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(page, '^(https?://[^?#]*/)', 1) AS folder FROM x WHERE NOT regexp_matches(lower(href), '^(?:javascript|mailto|tel):')
+        AND NOT regexp_matches(lower(regexp_replace(href, '[?#].*$', '')), '(?:{"|".join(e.replace(".", chr(92) + ".") for e in pool.NO_PAGES)})$')),
+    f AS (SELECT page_id, page, title, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(page, '^(https?:)', 1) || href WHEN starts_with(href, '/') THEN root || href
+        WHEN href <> '' THEN CASE WHEN regexp_matches(folder, '^https?://$') OR folder = '' THEN root || '/' ELSE folder END || href END AS whole FROM k),
+    n AS (SELECT page_id, page, title, {_sql_normal("whole")} AS url FROM f), o AS (SELECT * FROM n WHERE regexp_matches(url, '^https?://') AND regexp_extract(url, '^https?://([^/?#]+)', 1) = regexp_extract(page, '^https?://([^/?#]+)', 1)),
+    b AS (SELECT page_id, url, max({{'n': length(title), 'title': title}}).title AS title FROM o GROUP BY ALL), s AS (SELECT page_id, url AS link, {SQL_URL_SCORE} AS score FROM b)
+    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, link)::INT AS place FROM s WHERE score > 0 QUALIFY place <= 20"""
+)
 def discovered_links(spark, sf_dir):
-    links = t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("link"))
-    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("link").alias("n_distinct"), F.min("link").alias("first_link"))
+    """The twenty best links of each page: a report."""
+    return pool.discovered(t(spark, sf_dir, "pages").select("page_id", "url", "html"), None, URL_PATTERNS, URL_KEYWORDS)
 
 
 # Feedback and evaluation -----------------------------------------------------------------
@@ -816,23 +841,34 @@ def difficulty_band_counts(spark, sf_dir):
 # Genres, tails and summaries -------------------------------------------------------------
 
 
+# Rules for the languages of the tables; the operator's own are for Chinese.
+GENRES: genre.Rules = {
+    "policy": (("plan", "notice", "measures"), ("policy", "authority", "licensed"), ("gov",)),
+    "law": (("act", "law"), ("shall", "liability", "license"), ("court",)),
+    "science": (("why", "how"), ("research", "experiment", "data"), ("src3",)),
+    "news": (("report", "news"), ("according", "released", "with"), ("src1",)),
+    "practice": (("case", "practice"), ("practice", "example", "for"), ("src2",)),
+}
+
+
 def _sql_genres() -> str:
     def hits(hay: str, words: tuple[str, ...]) -> str:
         return "(" + " + ".join(f"contains({hay}, '{w}')::INT" for w in words) + ")"
 
     rows = " UNION ALL ".join(
         f"SELECT id, {i} AS rule, '{g}' AS genre, 2.0::DOUBLE * {hits('title', a)} + 1.0::DOUBLE * {hits('body', b)} + 1.5::DOUBLE * {hits('src', c)} AS score FROM a"
-        for i, (g, (a, b, c)) in enumerate(genre.RULES.items())
+        for i, (g, (a, b, c)) in enumerate(GENRES.items())
     )
     return f"""WITH a AS (SELECT doc_id AS id, lower(substr(coalesce(text, ''), 1, 60)) AS title, lower(coalesce(text, '')) AS body, lower(coalesce(source, '')) AS src FROM documents),
-        s AS (SELECT * FROM ({rows}) WHERE score > 0), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, rule) = 1)
-        SELECT a.id, coalesce(b.genre, 'general') AS genre, coalesce(b.score, 0) AS score FROM a LEFT JOIN b USING (id)"""
+        s AS (SELECT * FROM ({rows}) WHERE score > 0), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, rule) AS place FROM s QUALIFY place <= 3)
+        SELECT a.id, coalesce(b.genre, 'general') AS genre, coalesce(b.score, 0) AS score, coalesce(place, 1)::INT AS rank FROM a LEFT JOIN b USING (id)"""
 
 
 @query(_sql_genres())
-def genre_top1(spark, sf_dir):
+def genre_top3(spark, sf_dir):
+    """The documents have no title; their first 60 characters stand in for one."""
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"), "text", "source")
-    return genre.genre_top(d).select("id", "genre", "score")
+    return genre.genre_top(d, 3, GENRES, "general").select("id", "genre", "score", "rank")
 
 
 @query(
