@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from vellumine.plans import catalogue
+from vellumine.plans import catalogue, rule_queries, search_queries  # noqa: F401  they register queries
 
 DATA = "/root/testdata/sf0.001"
 
