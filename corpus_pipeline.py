@@ -12,34 +12,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import bpe, exact_dedup, langid, mixing, near_dedup
-from vellumine.llm.common import materialise, shared_root, table
+from vellumine.llm.common import materialise, scratch, shared_root, table
+
+
+def _aside(docs: DataFrame, names: set[str]) -> DataFrame:
+    """``docs`` with the columns that an operator would replace out of its way."""
+    return docs.withColumnsRenamed({c: f"__x_in_{c}" for c in docs.columns if c in names})
+
+
+def _back(found: DataFrame, columns: list[str], names: set[str]) -> DataFrame:
+    """The columns of the documents as they came."""
+    return found.select(*(F.col(f"__x_in_{c}" if c in names else c).alias(c) for c in columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter in any (``und``) are rejected."""
-    columns = docs.columns
+    """Documents with a language; those without a letter in any (``und``) are rejected.
+
+    Null and empty texts go; repeated rows meet one decision; whole texts are read; without
+    labelled rows every document is ``und``; an empty table stays empty; further columns of
+    any name, those of the prediction included, are passed on as they came.
+    """
+    own = {"lang_pred", "score"}
     model = langid.fit(docs.where(F.col("lang").isNotNull()))
-    found = langid.predict(docs.withColumn("__x_text", F.col("text")), model, "__x_text")
-    return found.where(F.col("lang_pred") != "und").select(*columns)
+    found = langid.predict(_aside(docs, own).withColumn("__x_text", F.col("text")), model, "__x_text")
+    return _back(found.where(F.col("lang_pred") != "und"), docs.columns, own)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    """One document of each text: that with the largest identifier.
+
+    Null and empty texts are one text; of fully equal rows one stays; null identifiers sort
+    below all others; an empty table stays empty; further columns of any name are passed on.
+    """
+    own = {"keep_id", "group_size", "kept", "text_sha256", "keep_locator"}
+    return _back(exact_dedup.exact_dedup(_aside(docs, own)).where("kept"), docs.columns, own)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: that with the smallest identifier.
+
+    Texts without a word are near to equal ones only; rows equal in identifier and text stay
+    together; an empty table stays empty; further columns of any name are passed on.
+    """
     return near_dedup.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents resampled to the target weights."""
+    """Documents resampled to the target weights: each appears as often as its rate has it.
+
+    Null and empty texts have the rate of the prior; without labels all documents are alike;
+    repeated rows have equal rates; an empty table stays empty; further columns of any name are
+    passed on.
+    """
     return mixing.resample(docs, table(spark, sf_dir, "labels"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the digest of what they decode to."""
+    """Token ids of each document, and the digest of what they decode to.
+
+    Null and empty texts have no ids; repeated rows are encoded each; whole texts are encoded;
+    an empty table gives an empty result; further columns are ignored.
+    """
     return bpe.encode_decode(docs, with_ids=True).select("doc_id", "n_tokens", "token_ids", "decoded_sha256")
 
 
@@ -56,9 +89,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
-    docs = table(spark, sf_dir, "documents")
-    home = shared_root(spark)
+    """All stages over the documents; what a stage leaves behind goes when it has been written."""
+    docs, home = table(spark, sf_dir, "documents"), shared_root(spark)
     for number, (name, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"{home}/{number}-{name}")
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), f"{home}/{number}-{name}")
     return docs
