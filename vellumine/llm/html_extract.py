@@ -2,19 +2,27 @@
 
 A page is cut into blocks at block-level tags.  Scripts, styles and other content that is
 never text are skipped; text inside containers for navigation, headers, footers, sidebars,
-adverts, notices, forms and reader comments (by tag, role, class or identifier) is
-boilerplate.  The first pass looks at each other block by itself: link density, length and
-the density of stop words decide whether it is good, bad or ambiguous.  The second pass
-gives an ambiguous short block the label of its nearest decided neighbours, before and after
-it, inside the same region of the page (the article or main element, if there is one); where
-they differ the nearer one wins, and where a region has no decided block the region decides.
+adverts, notices and reader comments (by tag, role, class or identifier) is boilerplate.  A
+class or identifier counts as a whole name: its first or last part must be one of ``MARKED``
+and none may be a word like ``no`` or ``has`` (``no-sidebar`` is no sidebar); a main element inside
+a container that only its names mark is free of the mark.  A form is boilerplate unless a block
+in it passes the first pass as good: some pages are wrapped in one form.
+
+The first pass looks at each other block by itself: link density, length and the density of
+stop words decide whether it is good, bad or ambiguous.  The second pass gives an ambiguous
+block the label of its nearest decided neighbours, before and after it, inside the same
+region of the page (an article or main element, or what is outside them); where both are as
+near, good wins inside such an element and bad outside.  Without a decided neighbour a block is
+good in an article or main element and on pages that have none.
 
 Character references are decoded, white space inside a block (line breaks included) becomes
 one space, blocks are trimmed and joined in page order by one line feed.
 
 Edge cases: a null page counts as empty and gives an empty text; unclosed and misnested tags
-are closed by the next block that excludes them; a page without an article or main element
-is judged by its blocks alone; nothing is cut, whatever the length; rows are independent.
+are closed by the next block that excludes them; of an unclosed element that is never text only
+what stands before the next block is skipped (a script or style goes on to the end); a page without an article or main element
+is judged by its blocks alone; nothing is cut, whatever the length; rows are independent; other
+columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,12 +58,14 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role attributes that mark boilerplate.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|adbox|banner|sponsor|sponsored|promo|promoted|nav|navbar|navigation|navi|menu|"
-    r"breadcrumb|breadcrumbs|sidebar|side|aside|rail|widget|widgets|footer|foot|header|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|alert|popup|"
-    r"modal|overlay|newsletter|subscribe|subscription|signup|login|comment|comments|commentlist|comment-list|disqus|respond|reply|replies|discussion|share|sharing|social|related|"
-    r"recommended|recommendations|pagination|pager|complementary|contentinfo|search|searchbox|form|copyright|disclaimer|legal|skip|hidden|dialog)(?:$|[\s_-]|\d)"
+MARKED = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promoted nav navbar navigation navi menu "
+    "breadcrumb breadcrumbs sidebar side aside rail widget widgets footer foot header masthead topbar toolbar cookie cookies consent gdpr notice alert popup "
+    "modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies discussion share sharing social related "
+    "recommended recommendations pagination pager complementary contentinfo search searchbox form copyright disclaimer legal skip hidden dialog".split()
 )
+# Words that turn the meaning of a name, or tell of the page's layout.
+TURNED = frozenset("no not non without with has have is supports layout page body".split())
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are as with be by at this from or an have not you his they which one had were all we there been has "
@@ -69,6 +79,8 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=\s|/|$))""", re.I)
+NAME_PART = re.compile(r"[a-z]+|[^a-z\s_-]+")
+BLOCK_START = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?![a-z0-9-])", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 
@@ -80,6 +92,7 @@ class Block:
     boilerplate: bool
     region: int
     heading: bool
+    form: int
     label: str = field(default="")
 
 
@@ -91,25 +104,30 @@ def _is_marked(attributes: str) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        elif name != "aria-hidden" and MARKED.search(value):
+        elif name != "aria-hidden" and any(map(_is_marked_name, value.split())):
             return True
     return False
 
 
+def _is_marked_name(name: str) -> bool:
+    parts = [x for x in NAME_PART.findall(name) if x[0].isalpha()]
+    return bool(parts) and (parts[0] in MARKED or parts[-1] in MARKED) and not TURNED.intersection(parts)
+
+
 def blocks_of(page: str) -> tuple[list[Block], set[int]]:
     """The blocks of a page and the numbers of the regions that are article or main elements."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether boilerplate begins here, region before it
+    stack: list[tuple[str, dict[str, int]]] = []  # open elements: tag, and what held before it
     parts: list[tuple[str, bool]] = []
     main: set[int] = set()
-    state = {"boilerplate": 0, "region": 0, "links": 0, "heading": False}
-    regions = 0
+    state = {"boilerplate": 0, "named": 0, "region": 0, "form": 0, "links": 0, "heading": False}
+    regions = forms = 0
 
     def flush() -> None:
         whole = SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
         if whole:
             linked = len(SPACE.sub(" ", html.unescape("".join(p for p, x in parts if x))).strip())
-            blocks.append(Block(whole, linked, state["boilerplate"] > 0, state["region"], state["heading"]))
+            blocks.append(Block(whole, linked, state["boilerplate"] + state["named"] > 0, state["region"], state["heading"], state["form"]))
         parts.clear()
 
     def close(tag: str) -> None:
@@ -117,10 +135,8 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
         if not any(x[0] == tag for x in stack):
             return
         while stack:
-            name, marked, region = stack.pop()
-            state["boilerplate"] -= marked
-            if name in MAIN:
-                state["region"] = region
+            name, before = stack.pop()
+            state.update(before)
             if name == tag:
                 return
 
@@ -150,7 +166,13 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
                 continue  # its children are skipped one by one
             if not found["attrs"].rstrip().endswith("/") or tag in ("script", "style"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    following = BLOCK_START.search(page, at)
+                    at = following.start() if following else len(page)
             parts.append((" ", False))
         elif tag == "a":
             state["links"] = 1
@@ -165,11 +187,18 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
                 close(tag)
             state["heading"] = tag[0] == "h" and tag[1:].isdigit()
             inside = any(x[0] in MAIN for x in stack)
+            stack.append((tag, {k: state[k] for k in ("boilerplate", "named", "region", "form")}))
             # the header of an article holds its headline; that of a page doesn't
-            marked = (tag in BOILERPLATE and not (tag == "header" and inside)) or (tag not in MAIN and tag not in ("body", "html") and _is_marked(found["attrs"]))
-            stack.append((tag, marked, state["region"]))
-            state["boilerplate"] += marked
-            if tag in MAIN and not state["boilerplate"]:
+            if tag in BOILERPLATE and tag != "form" and not (tag == "header" and inside):
+                state["boilerplate"] += 1
+            elif tag == "main":
+                state["named"] = 0
+            elif tag not in ("article", "body", "html") and _is_marked(found["attrs"]):
+                state["named"] += 1
+            if tag == "form" and not state["form"]:
+                forms += 1
+                state["form"] = forms
+            if tag in MAIN and not state["boilerplate"] + state["named"]:
                 regions += 1
                 state["region"] = regions
                 main.add(regions)
@@ -179,19 +208,22 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
 
 def classify(blocks: list[Block], main: set[int]) -> None:
     """Label each block ``good`` or ``bad``."""
+    wrappers: set[int] = {0}  # forms that hold running text, and no form
     for b in blocks:
         size, words = len(b.text), WORD.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.boilerplate or (main and b.region not in main):
-            b.label = "bad"
-        elif b.linked > MAX_LINK_DENSITY * size:
+        if b.boilerplate or b.linked > MAX_LINK_DENSITY * size:
             b.label = "bad"
         elif size >= LONG and (stop >= STOP_DENSITY or b.region in main):
             b.label = "good"
+            wrappers.add(b.form)
         elif size >= SHORT and stop >= STOP_DENSITY:
             b.label = "good"
         else:
             b.label = ""
+    for b in blocks:
+        if b.form not in wrappers:
+            b.label, b.boilerplate = "bad", True
     before: list[tuple[int, str] | None] = []
     last: dict[int, tuple[int, str]] = {}
     for i, b in enumerate(blocks):
@@ -205,13 +237,14 @@ def classify(blocks: list[Block], main: set[int]) -> None:
             if not b.boilerplate:
                 after[b.region] = (i, b.label)
             continue
-        near = [(abs(i - j), label != "good", label) for j, label in filter(None, (before[i], after.get(b.region)))]
-        if b.heading and b.region in main:
+        inside = b.region in main
+        near = [(abs(i - j), (label == "good") != inside, label) for j, label in filter(None, (before[i], after.get(b.region)))]
+        if b.heading and inside:
             b.label = "good"
         elif near:
-            b.label = "good" if b.region in main and any(x[2] == "good" for x in near) else min(near)[2]
+            b.label = min(near)[2]
         else:
-            b.label = "good" if b.region in main or not main else "bad"
+            b.label = "good" if inside or not main else "bad"
 
 
 def main_text(page: str | None) -> str:
