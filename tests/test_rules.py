@@ -195,3 +195,35 @@ def test_the_rest_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e, vellumine.plans.catalogue as c; assert set(e.queries()) == set(c.QUERIES) and len(c.QUERIES) > 100 and not set(e.oracle_sql()) - set(c.QUERIES)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def test_adapted_windows_query(spark):
+    """The registered query against plain Python, over its whole table."""
+    units = {r.article_id: list(r.sents) for r in catalogue.segment.units(catalogue.articles(spark, DATA)).collect()}
+    got = {r.article_id: (r.first, r.last) for r in search_queries.adapted_windows(spark, DATA).collect()}
+    assert got.keys() == {k for k, v in units.items() if v}
+    for key, (first, last) in got.items():
+        sents = units[key]
+        a = b = len(sents) // 2
+        while sum(map(len, sents[a : b + 1])) < 340 and (a > 0 or b < len(sents) - 1):
+            left = len(sents[a - 1]) if a > 0 else None
+            right = len(sents[b + 1]) if b < len(sents) - 1 else None
+            if left is not None and (right is None or left <= right):
+                a -= 1
+            else:
+                b += 1
+        assert (first, last) == (a, b)
+
+
+def test_business_scores(spark):
+    signals = {s: "0.5e0" for s in scoring.BUSINESS_SIGNALS} | {f"has_{k}": "false" for k in scoring.RELATION_SIGNALS} | {f"n_{k}": "0" for k in ("turn", "cause", "conclusion", "condition", "counter", "parallel")}
+    base = signals | {"conclusion_position": "'none'"}
+    cases = [
+        ("turn", True, {}, {}, 0.35 * 0.5 + 0.2 * 0.5 + 0.15 * 0.5 + 0.1 * 0.5), ("turn", True, {}, {"n_turn": "2"}, 0.35 * 0.82 + 0.2 + 0.125), ("cause", False, {"true": 0.35}, {"n_cause": "1", "n_conclusion": "1"}, 0.35 * 0.88 + 0.1 + 0.2 * 0.35 + 0.125 + 0.18),
+        ("parallel", False, {}, {"has_parallel": "true"}, 0.35 * 0.92 + 0.1 + 0.125), ("theme", False, {}, {"turning_focus_strength": "0.6e0"}, 0.4 - 0.12),
+    ]
+    for kind, marker, structure, own, expected in cases:
+        row = rules.apply(spark.range(1), [base | own, {"x": scoring.business_score(kind, marker, structure)}]).first()
+        assert near(row.x, expected), (kind, row.x, expected)
+    row = rules.apply(spark.range(1), [base, {"x": scoring.business_score("turn", False, {}, None, True)}]).first()
+    assert row.x is None  # the hard filter asks for 0.52

@@ -599,3 +599,62 @@ FLAGS = "concat_ws(',', " + ", ".join(
         "gray_review": "channel = 'gray'",
     }.items()
 ) + ")"
+
+# How unique an order is: reads best and second opener scores, n_pairs, duplicate_share, directive_share, additive_share, has_closing ------
+
+UNIQUE_SIGNALS = ("best_opener", "second_opener", "duplicate_share", "directive_share", "additive_share")
+_PAIRS = "least(1e0, least(4, n_pairs) / 3e0)"
+UNIQUENESS_PROFILE: list[Layer] = [
+    {
+        "opener": score({"best_opener": 0.68, "greatest(0e0, best_opener - second_opener)": 0.32}),
+        "overlap": score({"duplicate_share": 0.72, "directive_share": 0.28}),
+    },
+    {"closure": score({_PAIRS: 0.24, "opener": 0.22, "(1 - overlap)": 0.20}, {"has_closing": 0.34, "NOT has_closing": 0.34 * 0.25})},
+    {"exchange": score({"overlap": 0.32, f"(1 - {_PAIRS})": 0.22, "(1 - opener)": 0.20, "(1 - closure)": 0.14, "additive_share": 0.12})},
+    {"multi_path": score({"exchange": 0.34, "overlap": 0.22, "(1 - opener)": 0.18, f"(1 - {_PAIRS})": 0.14, "(1 - closure)": 0.12})},
+    {"unique_answer": score({"opener": 0.30, _PAIRS: 0.22, "closure": 0.24, "(1 - exchange)": 0.14, "(1 - multi_path)": 0.10})},
+]
+
+# Business cards ----------------------------------------------------------------------------
+
+RELATION_SIGNALS = {"turn": "turning_focus_strength", "cause": "cause_effect_strength", "condition": "necessary_condition_strength", "parallel": "parallel_enumeration_strength"}
+BUSINESS_SIGNALS = (*RELATION_SIGNALS.values(), "topic_consistency_strength", "marker_hit_ratio", "completeness", "readability")
+#: How well an explicit marker shows a relation, best first; conditions on the numbers of markers and where the conclusion stands.
+_STATED = "conclusion_position IN ('tail_or_late', 'middle', 'opening')"
+SHOWN = {
+    "turn": [("n_turn > 0", 0.82)],
+    "cause": [("n_cause > 0 AND n_conclusion > 0", 0.88), (f"n_conclusion > 0 AND {_STATED}", 0.74)],
+    "condition": [("n_condition > 0", 0.82), (f"n_counter > 0 AND {_STATED}", 0.72)],
+    "parallel": [("n_parallel >= 2", 0.80), ("n_parallel = 1", 0.68)],
+}
+#: Weights of a card that has none of its own.
+CARD_WEIGHTS = {"relation": 0.35, "marker": 0.20, "structure": 0.20, "completeness": 0.15, "readability": 0.10}
+
+
+def relation_match(kind: str) -> str:
+    """How well a candidate has the relation of a card; ``theme`` cards ask for one topic only."""
+    if kind == "theme":
+        return "topic_consistency_strength"
+    shown = first([(condition, number(x)) for condition, x in SHOWN[kind]], "0e0")
+    return f"CASE WHEN has_{kind} THEN 0.92e0 ELSE greatest({RELATION_SIGNALS[kind]}, {shown}) END"
+
+
+def business_score(kind: str, marker: bool, structure: dict[str, float], weights: dict[str, float] | None = None, required: bool = False) -> str:
+    """The score of a candidate for a card; null if the card's hard filter on the relation turns it away.
+
+    marker: whether the card prefers the markers of its relation; structure: what is worth how much of the structural match.
+    """
+    relation = f"CASE WHEN has_{kind} THEN 1e0 ELSE ({relation_match(kind)}) END" if required else relation_match(kind)
+    parts = {
+        "relation": f"({relation})",
+        "marker": f"(CASE WHEN n_{kind} > 0 THEN 1e0 ELSE marker_hit_ratio END)" if marker and kind != "theme" else "marker_hit_ratio",
+        "structure": f"least(1e0, {weighted({}, structure)})",
+        "completeness": "completeness",
+        "readability": "readability",
+    }
+    whole = CARD_WEIGHTS | (weights or {})
+    bonus = {"n_conclusion > 0": 0.10, "n_conclusion > 0 AND n_cause > 0": 0.08} if kind == "cause" else {}
+    if kind == "theme":
+        bonus = {f"greatest({', '.join(RELATION_SIGNALS.values())}) >= 0.58": -0.12}
+    text = score({parts[k]: w for k, w in whole.items()}, bonus)
+    return f"CASE WHEN ({relation}) < 0.52 THEN NULL ELSE {text} END" if required else text

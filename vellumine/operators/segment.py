@@ -73,3 +73,69 @@ def throttled(articles: DataFrame) -> DataFrame:
 def numbered_sentences(articles: DataFrame) -> DataFrame:
     """Sentences with a running number per article."""
     return units(articles).select("article_id", F.posexplode("sents").alias("sentence_index", "sentence"))
+
+
+#: Candidate kinds over paragraphs: sizes of windows, least and most characters.
+PARAGRAPH_CANDIDATES = {"closed_span": ((1, 2), 90, None), "multi_paragraph_unit": ((2, 3), 140, 1200)}
+#: Most paragraphs and characters of a whole passage, and sentences of an insertion context.
+WHOLE_PARAGRAPHS, WHOLE_CHARS, CONTEXT = 8, 1600, 3
+
+
+def rule_candidates(articles: DataFrame) -> DataFrame:
+    """(article_id, kind, start, size, text) of candidates by rule, each text once in its kind: the first of equals stays.
+
+    Whole passages that are short enough, windows of paragraphs within their bounds (those at the end may be shorter), and windows of
+    three sentences (two at the end of an article).  All spans of an article are built in its row and exploded once.
+    """
+    cut = units(articles)
+    p, s = F.size("paras"), F.size("sents")
+
+    def windows(items: str, n, size: int, least: int, kind: str, glue: str):
+        starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        spans = F.transform(
+            starts,
+            lambda i: F.struct(
+                F.lit(kind).alias("kind"), (i - 1).alias("start"), F.least(F.lit(size), n - i + 1).alias("size"), F.array_join(F.slice(items, i, F.lit(size)), glue).alias("text")
+            ),
+        )
+        return F.filter(spans, lambda x: x["size"] >= least)
+
+    whole = F.array(F.struct(F.lit("whole_passage").alias("kind"), F.lit(0).alias("start"), p.alias("size"), F.array_join("paras", "\n\n").alias("text")))
+    parts = [F.when((p > 0) & (p <= WHOLE_PARAGRAPHS) & (F.col("n_chars") <= WHOLE_CHARS), whole).otherwise(F.filter(whole, lambda x: F.lit(False)))]
+    for kind, (sizes, least, most) in PARAGRAPH_CANDIDATES.items():
+        for size in sizes:
+            spans = windows("paras", p, size, min(sizes) if kind == "multi_paragraph_unit" else 1, kind, "\n\n")
+            parts.append(_within(spans, least, most))
+    parts.append(windows("sents", s, CONTEXT, 2, "insertion_context_unit", ""))
+    rows = cut.select("article_id", F.explode(F.concat(*parts)).alias("x")).select("article_id", "x.*")
+    first = rows.groupBy("article_id", "kind", F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("start", "size", "text")).alias("x"))
+    return first.select("article_id", "kind", "x.start", "x.size", "x.text")
+
+
+def _within(spans, least: int, most: int | None):
+    return F.filter(spans, lambda x: (F.length(x["text"]) >= least) & (F.length(x["text"]) <= (most if most is not None else 2**31 - 1)))
+
+
+def adapted(cut: DataFrame, target: int, tolerance: int) -> DataFrame:
+    """``cut`` (sents, first, last: places from 0 of a candidate's sentences) with first, last grown to a length.
+
+    A candidate that is too short takes in its shorter neighbour, the left one of equals, until it is long enough or all sentences are in.
+    """
+    least = max(80, target - max(0, tolerance))
+    n = F.size("sents")
+    state = lambda a, b, c: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), c.cast("int").alias("n"))
+    own = F.length(F.array_join(F.slice("sents", F.col("first") + 1, F.col("last") - F.col("first") + 1), ""))
+    sizes = F.col("__x_sizes")
+
+    def grow(acc, _):
+        left, right = F.get(sizes, acc["a"] - 1), F.get(sizes, acc["b"] + 1)
+        to_left = left.isNotNull() & (right.isNull() | (left <= right))
+        return (
+            F.when((acc["n"] >= least) | (left.isNull() & right.isNull()), acc)
+            .when(to_left, state(acc["a"] - 1, acc["b"], acc["n"] + left))
+            .otherwise(state(acc["a"], acc["b"] + 1, acc["n"] + right))
+        )
+
+    grown = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), state(F.col("first"), F.col("last"), own), grow)
+    out = cut.withColumn("__x_sizes", F.transform("sents", lambda x: F.length(x))).withColumn("__x_w", grown)
+    return out.withColumns({"first": F.col("__x_w.a"), "last": F.col("__x_w.b")}).drop("__x_sizes", "__x_w")

@@ -242,3 +242,38 @@ def whole_passage_gate(spark, sf_dir):
     focus = c.where("candidate_type <> 'whole_passage' and centre >= 0.95").select("article_id").distinct().withColumn("focused", F.lit(True))
     whole = c.where("candidate_type = 'whole_passage'").join(focus, "article_id", "left").withColumn("focused", F.coalesce("focused", F.lit(False)))
     return whole.select("id", "article_id", "focused", F.expr(_whole_passage()).alias("gate"))
+
+
+ruled(
+    "order_uniqueness", "How surely the units of a group have one order only.", scoring.UNIQUE_SIGNALS, {"n_pairs": count("u0", 6), "has_closing": "u1 < 0.5"}, scoring.UNIQUENESS_PROFILE,
+    ["opener", "overlap", "closure", "exchange", "multi_path", "unique_answer"],
+)
+
+#: id: relation, preferred markers, structural preferences, own weights, hard filter on the relation.
+BUSINESS_CARDS = {
+    "turn_focus": ("turn", True, {"genre = 'report'": 0.35, "structure_label = 'contrast'": 0.35}, None, True),
+    "cause_result": ("cause", True, {"structure_label = 'chain'": 0.35, "conclusion_position = 'tail_or_late'": 0.30}, {"relation": 0.40, "readability": 0.05}, False),
+    "condition_need": ("condition", False, {"genre = 'essay'": 0.35}, None, True),
+    "parallel_points": ("parallel", True, {"structure_label = 'list'": 0.35, "genre = 'report'": 0.35, "conclusion_position = 'opening'": 0.30}, None, False),
+    "theme_word": ("theme", False, {}, None, False),
+}
+_CARD_INPUTS = {
+    **{f"has_{k}": f"u{i} < 0.25" for i, k in enumerate(scoring.RELATION_SIGNALS)}, "n_turn": count("u4", 2), "n_cause": count("u5", 2), "n_conclusion": count("u6", 2), "n_condition": count("u7", 2), "n_counter": count("u8", 2),
+    "n_parallel": count("u9", 3), "conclusion_position": pick("u10", ("tail_or_late", "middle", "opening", "none")), "genre": pick("u11", ("report", "essay")), "structure_label": pick("u4", ("contrast", "chain", "list")),
+}
+_CARD_SCORES = {f"s_{k}": scoring.business_score(*card) for k, card in BUSINESS_CARDS.items()}
+_CARD_DRAWN = [*scoring.BUSINESS_SIGNALS, *(f"u{i}" for i in range(12))]
+_CARD_LEAST, _CARD_TOP = 0.45, 3
+
+
+@query(
+    f"WITH s AS (SELECT * FROM {sql_layers(sql_signals('(SELECT o_orderkey AS id, o_custkey AS article_id FROM orders)', _CARD_DRAWN), [_CARD_INPUTS, _CARD_SCORES])}), c AS ("
+    + " UNION ALL ".join(f"SELECT id, '{k}' AS card, {i} AS place, s_{k} AS score FROM s" for i, k in enumerate(BUSINESS_CARDS))
+    + f") SELECT id, card, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, place)::INT AS rank FROM c WHERE score >= {_CARD_LEAST} QUALIFY rank <= {_CARD_TOP}"
+)
+def business_cards(spark, sf_dir):
+    """The best business cards of each candidate; all cards of a candidate stay in its row, so nothing is shuffled."""
+    c = candidates(spark, sf_dir, _CARD_DRAWN, [_CARD_INPUTS, _CARD_SCORES])
+    entries = F.array(*(F.when(F.col(f"s_{k}") >= _CARD_LEAST, F.struct((-F.col(f"s_{k}")).alias("by"), F.lit(i).alias("place"), F.lit(k).alias("card"))) for i, k in enumerate(BUSINESS_CARDS)))
+    best = F.slice(F.array_sort(F.array_compact(entries)), 1, _CARD_TOP)
+    return c.select("id", F.posexplode(best).alias("i", "b")).select("id", "b.card", (-F.col("b.by")).alias("score"), (F.col("i") + 1).alias("rank"))

@@ -366,3 +366,23 @@ def requested_families(spark, sf_dir):
     asked = F.expr("CASE WHEN id % 3 = 0 THEN array('title') WHEN id % 3 = 1 THEN array('fill', 'ordering') ELSE CAST(array() AS array<string>) END")
     rows = pool_of(spark, sf_dir).select("id", "families", asked.alias("asked"))
     return rows.select("id", F.array_join(F.array_intersect("asked", "families"), ",").alias("shared"), F.arrays_overlap("asked", "families").alias("served"), F.array_join(F.array_distinct("families"), ",").alias("families"))
+
+
+@query(
+    f"""WITH {UNITS}, w AS (SELECT article_id, 'whole_passage' AS kind, 0 AS start, len(paras) AS size, array_to_string(paras, chr(10) || chr(10)) AS text FROM u WHERE len(paras) BETWEEN 1 AND 8 AND n_chars <= 1600
+        UNION ALL SELECT article_id, kind, i - 1, least(z, len(paras) - i + 1), array_to_string(paras[i:i + z - 1], chr(10) || chr(10)) FROM (SELECT *, unnest(range(1, len(paras) + 1)) AS i FROM u), (VALUES ('closed_span', 1), ('closed_span', 2), ('multi_paragraph_unit', 2), ('multi_paragraph_unit', 3)) k(kind, z)
+            WHERE CASE kind WHEN 'closed_span' THEN length(array_to_string(paras[i:i + z - 1], chr(10) || chr(10))) >= 90 ELSE least(z, len(paras) - i + 1) >= 2 AND length(array_to_string(paras[i:i + z - 1], chr(10) || chr(10))) BETWEEN 140 AND 1200 END
+        UNION ALL SELECT article_id, 'insertion_context_unit', i - 1, least(3, len(sents) - i + 1), array_to_string(sents[i:i + 2], '') FROM (SELECT *, unnest(range(1, len(sents) + 1)) AS i FROM u) WHERE least(3, len(sents) - i + 1) >= 2)
+    SELECT article_id, kind, start::INT AS start, size::INT AS size, md5(text) AS text_md5 FROM w QUALIFY row_number() OVER (PARTITION BY article_id, kind, text ORDER BY start, size) = 1"""
+)
+def rule_candidates(spark, sf_dir):
+    return segment.rule_candidates(articles(spark, sf_dir)).select("article_id", "kind", "start", "size", F.md5("text").alias("text_md5"))
+
+
+@query()
+def adapted_windows(spark, sf_dir):
+    """A window grows step by step, each step by what the one before has left; a test holds the query against plain Python."""
+    cut = segment.units(articles(spark, sf_dir)).where("size(sents) > 0")
+    middle = F.floor(F.size("sents") / 2).cast("int")
+    grown = segment.adapted(cut.withColumns({"first": middle, "last": middle}), 400, 60)
+    return grown.select("article_id", "first", "last")
