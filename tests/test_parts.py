@@ -117,3 +117,46 @@ def test_reports_of_nothing(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, k string")
     got = {r.id: (list(r.anchors), r.covered) for r in reports.anchors(rows, spark.createDataFrame([(9, "a"), (8, "a"), (7, "a"), (6, "a")], "sample_id long, k string"), ["k"]).collect()}
     assert got == {1: ([6, 7, 8], True), 2: ([], False)}
+
+
+def test_unit_groups_query(spark):
+    """The registered query against plain Python, over its whole table."""
+    m = label_queries.UNIT_MARKERS
+    has = lambda x, words: any(w in x for w in words)
+    opens = lambda x: x.startswith(m.pronoun + m.context)
+    cut = lambda x: round(max(0.0, min(1.0, x)) + 1e-9, 4)
+    sents = {r.article_id: list(r.sents) for r in label_queries.segment.units(label_queries.articles(spark, DATA)).collect()}
+    got = {r.article_id: r for r in label_queries.unit_groups(spark, DATA).collect()}
+    assert got.keys() == {k for k, v in sents.items() if len(v) >= 6}
+    for key, r in got.items():
+        own = sents[key][: 6 + key % 7]
+        need = len(own) - 6
+        pairs = []
+        for i, (a, b) in enumerate(zip(own, own[1:], strict=False)):
+            s = 0.30 * opens(b) + 0.26 * has(b, m.turning + m.parallel) + 0.28 * (has(a, m.problem) and has(b, m.solution))
+            s += 0.30 * any(x in a and has(b, y) for x, y in m.correlative) + 0.24 * any(x in a and has(b, y) for x, y in m.condition)
+            s += 0.12 * (len(a) <= 34 and len(b) <= 34) - 0.18 * (len(a) + len(b) > 88) - 0.08 * has(b, m.closing)
+            pairs.append((cut(s), i))
+        pairs.sort(reverse=True)
+        good = [p for p in pairs if p[0] >= 0.1]
+        chosen = []
+        for _, i in pairs if len(good) < need else good:
+            if len(chosen) < need and all(abs(c - i) > 1 for c in chosen):
+                chosen.append(i)
+        if len(chosen) < need or need > len(own) // 2:
+            assert r.six_md5 is None and r.grouped is None and r.strict == "group_size_not_six"
+            continue
+        six = [a + ("" if re.search(label_queries.units.OPEN_ENDS, a) else "，") + own[i + 1] if i in chosen else a for i, a in enumerate(own) if i - 1 not in chosen]
+        import hashlib
+
+        assert (r.six_md5, r.grouped) == (hashlib.md5("\n".join(six).encode()).hexdigest(), need)
+        first = [cut(0.42 + 0.1 * (i == 0) + 0.18 * has(u, m.definition + m.problem + m.question) + 0.14 * has(u, m.beginning) - 0.26 * opens(u) - 0.22 * has(u, m.closing + m.countermeasure) - 0.16 * has(u, m.additive)) for i, u in enumerate(six)]
+        last = [cut(0.32 + 0.12 * (i == 5) + 0.28 * has(u, m.closing + m.summary + m.conclusion) + 0.14 * (i == 5 and has(u, m.final)) + 0.18 * has(u, m.countermeasure) - 0.14 * has(u, m.definition + m.problem) - 0.1 * opens(u)) for i, u in enumerate(six)]
+        firsts, lasts = [i for i in range(6) if first[i] >= 0.5], [i for i in range(6) if last[i] >= 0.54]
+        assert (r.first_like, r.last_like) == (",".join(map(str, firsts)), ",".join(map(str, lasts)))
+        local = sum(opens(b) or has(b, m.turning + m.parallel) for b in six[1:])
+        assert r.n_local == local
+        if 0 not in firsts:
+            assert r.strict == r.weak == "first_unit_unstable"
+        elif 5 not in lasts:
+            assert r.strict == "last_unit_unstable"

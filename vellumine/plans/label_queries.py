@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import readable
-from ..operators import labels, reports, rules
-from .catalogue import SQL_RECORDS, backtest, query, t
+from ..operators import labels, reports, rules, segment, units
+from .catalogue import SQL_RECORDS, articles, backtest, query, t
 from .rule_queries import hashed_signals, sql_layers, sql_signals
 
 SIGNALS = (
@@ -164,3 +164,21 @@ def query_terms(spark, sf_dir):
 def mined_terms(spark, sf_dir):
     """Dropping nested terms goes through them in order; a test holds the query against plain Python."""
     return reports.mined_terms(t(spark, sf_dir, "documents").select("lang", "text"), "lang")
+
+
+#: Markers for the languages of the tables; the operator's own are Chinese.
+UNIT_MARKERS = units.Markers(
+    definition=(" is ", " ist "), pronoun=("The", "Th", "Der", "La"), context=("And", "Und"), turning=("on", "ont"), parallel=("and", "und"), problem=("ea",), solution=("ing", "lich"), question=("wh",), closing=("tion", "keit"),
+    summary=("ed",), conclusion=("er",), countermeasure=("ly", "mente"), cause=("for",), beginning=("In", "An"), additive=("with", "mit"), final=("end",), correlative=(("the", ("is",)),), condition=(("as", ("it", "to")),),
+)
+
+
+@query()
+def unit_groups(spark, sf_dir):
+    """Six units of the first sentences of each document and what their gates say; a test holds the query against plain Python."""
+    cut = segment.units(articles(spark, sf_dir)).where("size(sents) >= 6")
+    n = F.least(F.size("sents"), F.lit(6) + F.col("article_id") % 7).cast("int")
+    rows = cut.select("article_id", F.slice("sents", F.lit(1), n).alias("units"))
+    out = units.group_gates(units.six_units(rows, "units", UNIT_MARKERS), "six", UNIT_MARKERS)
+    places = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("article_id", F.md5(F.array_join("six", "\n")).alias("six_md5"), "grouped", places("first_like").alias("first_like"), places("last_like").alias("last_like"), "n_local", "n_precedence", "strict", "weak")
