@@ -160,3 +160,15 @@ def test_unit_groups_query(spark):
             assert r.strict == r.weak == "first_unit_unstable"
         elif 5 not in lasts:
             assert r.strict == "last_unit_unstable"
+
+
+def test_order_checks_without_a_contract(spark):
+    """Limits that a contract leaves out ask for nothing; missing parts fail the checks that need them."""
+    scores = {s: "0.0e0" for s in (*label_queries.validators.LEAST, "context_closure")} | {s: "9.0e0" for s in label_queries.validators.MOST}
+    flags = {"has_closing": "false", "order_style": "true", "head_illegal": "true", "tail_illegal": "true", "n_material_units": "2", "answer": "CAST(NULL AS STRING)", "correct_order": "array(1, 2)", "options": "map('A', array(1, 2), 'B', array(2, 1, 3))"}
+    flags |= {"analysis_orders": "CAST(NULL AS array<array<int>>)", "unit_sentences": "array(1, 1)", "roles": "CAST(array() AS array<string>)", "bindings": "CAST(array() AS array<struct<a: int, b: int>>)"}
+    row = label_queries.rules.apply(spark.range(1), [scores | flags])
+    r = label_queries.validators.order_checks(row, {}).first()
+    assert r.failed == ["material_units", "option_sizes", "answer", "analysis"] and r.errors == ["ordering_chain_incomplete"] and r.warnings == []
+    r = label_queries.validators.order_checks(row, {"sortable_unit_count": 6, "require_legal_tail": True, "max_total_penalty": 1}).first()
+    assert r.errors == ["ordering_chain_incomplete", "sentence_count_mismatch", "total_penalty_above_ceiling", "illegal_tail"]

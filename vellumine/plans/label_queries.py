@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import readable
-from ..operators import labels, reports, rules, segment, units
+from ..operators import labels, reports, rules, segment, units, validators
 from .catalogue import SQL_RECORDS, articles, backtest, query, t
 from .rule_queries import hashed_signals, sql_layers, sql_signals
 
@@ -182,3 +182,42 @@ def unit_groups(spark, sf_dir):
     out = units.group_gates(units.six_units(rows, "units", UNIT_MARKERS), "six", UNIT_MARKERS)
     places = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return out.select("article_id", F.md5(F.array_join("six", "\n")).alias("six_md5"), "grouped", places("first_like").alias("first_like"), places("last_like").alias("last_like"), "n_local", "n_precedence", "strict", "weak")
+
+
+#: A contract; limits that it leaves out ask for nothing.
+CONTRACT = {
+    "sortable_unit_count": 6, "unique_opener_min_score": 0.2, "closure_min_score": 0.3, "exchange_risk_max": 0.9, "expected_unique_answer_strength": 0.3, "max_total_penalty": 1.8, "min_readiness_score": 0.1,
+    "max_last_instability_penalty": 0.95, "require_legal_head": True, "require_binding_pairs_intact": True, "require_complete_ordering_chain": True, "review_if_high_readiness_high_penalty": True,
+}
+_SCORES = (*validators.LEAST, *validators.MOST, "context_closure")
+_ORDER_DRAWN = [*(s for s in _SCORES if s != "binding_pair_count"), *(f"u{i}" for i in range(8))]
+_ORDER_FLAGS = {
+    "binding_pair_count": "2", "total": "total_penalty * 2", "has_closing": "u0 < 0.9", "order_style": "u1 < 0.9", "head_illegal": "u2 < 0.1", "tail_illegal": "u3 < 0.1", "n_material_units": "CASE WHEN u4 < 0.1 THEN 3 ELSE 6 END",
+    "twice": "u5 < 0.1", "wrong_answer": "u6 < 0.1", "wrong_analysis": "u7 < 0.1", "long_unit": "u0 > 0.95", "late": "u1 > 0.95", "transition": "u2 > 0.95",
+}
+_FAILS = {
+    "material_units": "n_material_units < 4", "unit_sentences": "long_unit", "single_truth": "twice", "answer": "wrong_answer AND NOT twice", "analysis": "wrong_analysis", "closure": "NOT has_closing OR context_closure < 0.3", "unique_opener_score": "unique_opener_score < 0.2",
+    "unique_answer_strength": "unique_answer_strength + 0.06 < 0.3", "readiness_score": "readiness_score < 0.1", "exchange_risk": "exchange_risk > 0.9", "total_penalty": "total > 1.8", "last_instability": "last_instability > 0.95", "head": "head_illegal",
+    "bindings": "late", "roles": "transition AND NOT head_illegal",
+}
+
+
+@query(
+    f"SELECT id, concat_ws(',', {', '.join(f'''CASE WHEN {test} THEN '{name}' END''' for name, test in _FAILS.items())}) AS failed, concat_ws(',', CASE WHEN NOT order_style THEN 'stem_is_no_ordering_prompt' END, "
+    f"CASE WHEN readiness_score >= 0.1 AND total >= 1.8 THEN 'high_readiness_high_penalty' END) AS warnings FROM {sql_layers(sql_signals(SOURCE, _ORDER_DRAWN), [_ORDER_FLAGS])}"
+)
+def order_validation(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    q = rules.apply(hashed_signals(orders, _ORDER_DRAWN), [_ORDER_FLAGS]).withColumn("total_penalty", F.col("total"))
+    q = rules.apply(
+        q,
+        [
+            {
+                "correct_order": "array(1, 2, 3, 4, 5, 6)", "other": "array(6, 5, 4, 3, 2, 1)", "unit_sentences": "array(1, 1, 2, CASE WHEN long_unit THEN 3 ELSE 1 END, 1, 1)", "answer": "CASE WHEN wrong_answer THEN 'b' ELSE 'A' END",
+                "bindings": "array(named_struct('a', CASE WHEN late THEN 3 ELSE 1 END, 'b', 2))", "roles": "array(CASE WHEN transition THEN 'transition' ELSE 'thesis' END, 'example', 'conclusion')",
+            },
+            {"options": "map('A', correct_order, 'B', CASE WHEN twice THEN correct_order ELSE other END, 'C', array(2, 1, 3, 4, 5, 6))", "analysis_orders": "array(CASE WHEN wrong_analysis THEN other ELSE correct_order END)"},
+        ],
+    )
+    out = validators.order_checks(q, CONTRACT)
+    return out.select("id", F.array_join("failed", ",").alias("failed"), F.array_join("warnings", ",").alias("warnings"))
