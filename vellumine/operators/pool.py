@@ -101,6 +101,55 @@ def ingest_dedupe(articles: DataFrame) -> DataFrame:
     return first.withColumn("r", F.row_number().over(W.partitionBy("url").orderBy(F.desc("id")))).where("r = 1").drop("r")
 
 
+def asset_upsert(assets: DataFrame) -> DataFrame:
+    """One asset of each content hash: the latest by (updated_at, id), with the earliest created_at."""
+    hashed = assets.withColumn("hash", T.content_hash(F.col("text")))
+    latest = F.max(F.struct("updated_at", "id")).alias("x")
+    return hashed.groupBy("hash").agg(latest, F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("n")).select("hash", "x.id", "x.updated_at", "created_at", "n")
+
+
+def diverse_queue(candidates: DataFrame, top_k: int, family_cap: int, card_cap: int, window: int = 512) -> DataFrame:
+    """The first ``top_k`` of candidates (score, id, article_id, family, card) by score, then id, under caps; filled up without caps.
+
+    A family and a card may appear so often; an article that is in already is passed over once its family has half of
+    its places.  Candidates are gone through in their order, ``window`` of them at a time, and only until the queue is full:
+    the driver holds a window and the queue.
+    """
+    spark = candidates.sparkSession
+    ordered, by = candidates.select("score", "id", "article_id", "family", "card"), [F.desc("score"), F.asc("id")]
+    picked: dict = {}
+    families, cards, seen, last = Counter(), Counter(), set(), None
+
+    def chunks():
+        nonlocal last
+        while True:
+            rest = ordered if last is None else ordered.where((F.col("score") < last[0]) | ((F.col("score") == last[0]) & (F.col("id") > last[1])))
+            rows = rest.orderBy(*by).limit(window).collect()
+            yield from rows
+            if len(rows) < window:
+                return
+            last = (rows[-1]["score"], rows[-1]["id"])
+
+    for r in chunks() if top_k > 0 else ():
+        if families[r["family"]] >= family_cap or (r["card"] and cards[r["card"]] >= card_cap):
+            continue
+        if r["article_id"] in seen and families[r["family"]] >= max(1, family_cap // 2):
+            continue
+        picked[r["id"]] = len(picked) + 1
+        families[r["family"]] += 1
+        cards[r["card"]] += 1 if r["card"] else 0
+        seen.add(r["article_id"])
+        if len(picked) == top_k:
+            break
+    if len(picked) < top_k:  # at most top_k more rows are needed beyond those picked
+        for r in ordered.orderBy(*by).limit(top_k + len(picked)).collect():
+            if len(picked) < top_k and r["id"] not in picked:
+                picked[r["id"]] = len(picked) + 1
+    places = spark.createDataFrame(list(picked.items()), f"id {dict(candidates.dtypes)['id']}, place int")
+    # at most top_k rows
+    return candidates.join(F.broadcast(places), "id")
+
+
 def demote(materials: DataFrame, new_ids: DataFrame) -> DataFrame:
     """Old primaries of an article that has new materials lose their place; others keep it."""
     fresh = new_ids.select("id", F.lit(True).alias("is_new"))

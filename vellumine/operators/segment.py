@@ -75,6 +75,18 @@ def numbered_sentences(articles: DataFrame) -> DataFrame:
     return units(articles).select("article_id", F.posexplode("sents").alias("sentence_index", "sentence"))
 
 
+def paragraph_bounds(articles: DataFrame) -> DataFrame:
+    """(article_id, paragraph, first, last): the running numbers of each paragraph's first and last sentence."""
+    body = T.clean(F.coalesce("text", F.lit("")))
+    lang = F.col("lang")
+    cut = articles.select("article_id", F.transform(T.paragraphs(body, lang), lambda p: F.size(T.sentences(p, lang))).alias("sizes"))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<first: int, last: int>>").alias("out"))
+    bounds = F.aggregate(
+        "sizes", start, lambda acc, n: F.struct((acc["n"] + n).alias("n"), F.array_append(acc["out"], F.struct(acc["n"].alias("first"), (acc["n"] + n - 1).alias("last"))).alias("out")), lambda acc: acc["out"]
+    )
+    return cut.select("article_id", F.posexplode(bounds).alias("paragraph", "b")).select("article_id", "paragraph", "b.first", "b.last").where("last >= first")
+
+
 #: Candidate kinds over paragraphs: sizes of windows, least and most characters.
 PARAGRAPH_CANDIDATES = {"closed_span": ((1, 2), 90, None), "multi_paragraph_unit": ((2, 3), 140, 1200)}
 #: Most paragraphs and characters of a whole passage, and sentences of an insertion context.

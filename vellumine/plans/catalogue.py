@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import dedupe, evaluate, feedback, genre, pool, profile, review, segment
+from ..operators import dedupe, evaluate, feedback, genre, pool, profile, reports, review, segment
 from ..streaming import state
 
 QUERIES: dict = {}
@@ -176,13 +176,8 @@ def content_hash_dedupe(spark, sf_dir):
 )
 def token_overlap_vs_benchmark(spark, sf_dir):
     """The reference item whose words a document covers best."""
-    x = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words(F.coalesce("text", F.lit(""))))).alias("w"))
     own = F.array_distinct(T.words(F.coalesce("text", F.lit(""))))
-    y = t(spark, sf_dir, "benchmark").select("item_id", F.size(own).alias("n"), F.explode(own).alias("w"))
-    shared = x.join(y, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    share = F.col("shared") / F.col("n")
-    best = shared.groupBy("doc_id").agg(F.min(F.struct((-share).alias("by"), "item_id", "shared", "n")).alias("b"))
-    return best.select("doc_id", "b.item_id", "b.shared", F.round(F.col("b.shared") / F.col("b.n"), 4).alias("support"))
+    return reports.nearest_items(t(spark, sf_dir, "documents").select("doc_id", own.alias("words")), t(spark, sf_dir, "benchmark").select("item_id", own.alias("words")))
 
 
 # Profiles and gates ----------------------------------------------------------------------

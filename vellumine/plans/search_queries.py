@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import search, segment
-from .catalogue import SQL_RECORDS, UNITS, articles, backtest, query, t
+from ..operators import feedback, pool, search, segment
+from .catalogue import PARTS, SQL_RECORDS, UNITS, articles, backtest, query, t
 
 FAMILIES = ("title", "fill", "ordering", "summary", "continuation")
 #: Family to question type.
@@ -386,3 +386,41 @@ def adapted_windows(spark, sf_dir):
     middle = F.floor(F.size("sents") / 2).cast("int")
     grown = segment.adapted(cut.withColumns({"first": middle, "last": middle}), 400, 60)
     return grown.select("article_id", "first", "last")
+
+
+@query(
+    """WITH a AS (SELECT doc_id AS id, sha256(text) AS hash, doc_id % 7 AS updated_at, doc_id % 11 AS created_at FROM documents WHERE text IS NOT NULL), l AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY updated_at DESC, id DESC) AS r,
+    min(created_at) OVER (PARTITION BY hash) AS earliest, count(*) OVER (PARTITION BY hash) AS n FROM a) SELECT hash, id, updated_at, earliest AS created_at, n FROM l WHERE r = 1"""
+)
+def asset_upsert(spark, sf_dir):
+    rows = t(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id AS id", "text", "doc_id % 7 AS updated_at", "doc_id % 11 AS created_at")
+    return pool.asset_upsert(rows)
+
+
+@query(
+    f"""WITH {UNITS}, p AS (SELECT article_id, unnest(range(1, len(paras) + 1)) AS i, paras FROM u),
+    k AS (SELECT article_id, i, len({PARTS.format(r"regexp_replace(regexp_replace(paras[i], '([。！？!?.])', '\1' || chr(1), 'g'), '\n+', chr(1), 'g')")}) AS n FROM p)
+    SELECT article_id, (i - 1)::INT AS paragraph, (sum(n) OVER w - n)::INT AS first, (sum(n) OVER w - 1)::INT AS last FROM k WHERE n > 0 WINDOW w AS (PARTITION BY article_id ORDER BY i)"""
+)
+def paragraph_bounds(spark, sf_dir):
+    return segment.paragraph_bounds(articles(spark, sf_dir))
+
+
+_FIELDS = {"material": "o_custkey % 3", "difficulty": "o_orderstatus", "prompt": "substr(o_orderpriority, 1, 1)", "stem": "o_orderkey % 4 = 0", "options": "floor(o_totalprice / 100000)", "analysis": "CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 2 END"}
+
+
+@query(
+    f"WITH v AS (SELECT o_orderkey AS version, {', '.join(f'{e} AS {n}' for n, e in _FIELDS.items())} FROM orders) SELECT v.version, {', '.join(f'v.{n} IS DISTINCT FROM p.{n} AS {n}_changed' for n in _FIELDS)}, "
+    f"concat_ws(',', {', '.join(f'CASE WHEN v.{n} IS DISTINCT FROM p.{n} THEN {n!r} END' for n in _FIELDS)}) AS changed FROM v JOIN v p ON p.version = v.version - 1"
+)
+def version_changes(spark, sf_dir):
+    """The six fields of a version against its parent's."""
+    v = t(spark, sf_dir, "orders").selectExpr("1 AS item", "o_orderkey AS version", "o_orderkey - 1 AS parent_version", *(f"{e} AS {n}" for n, e in _FIELDS.items()))
+    return feedback.version_diff(v, list(_FIELDS)).select("version", *(f"{n}_changed" for n in _FIELDS), "changed")
+
+
+@query()
+def review_queue(spark, sf_dir):
+    """Two hundred candidates under caps: a report.  Each choice depends on those before; a test holds it against plain Python."""
+    orders = t(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS article_id", f"{family('o_orderkey')} AS family", "concat('c', o_custkey % 40) AS card", "o_totalprice")
+    return pool.diverse_queue(orders.withColumnRenamed("o_totalprice", "score"), 200, 50, 8).select("id", "family", "card", "place")
