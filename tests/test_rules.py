@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import text as T
 from vellumine.operators import dedupe, evaluate, pool, rules, scoring, search
-from vellumine.plans import catalogue, search_queries
+from vellumine.plans import catalogue, rule_queries, search_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -227,3 +227,29 @@ def test_business_scores(spark):
         assert near(row.x, expected), (kind, row.x, expected)
     row = rules.apply(spark.range(1), [base, {"x": scoring.business_score("turn", False, {}, None, True)}]).first()
     assert row.x is None  # the hard filter asks for 0.52
+
+
+def test_guarded_ranking_query(spark):
+    """The registered query against plain Python, over its whole table."""
+    rows = rule_queries.ranking.ranked(rule_queries.candidates(spark, DATA, rule_queries._RANK_DRAWN, [rule_queries._RANK_INPUTS]), "query", rule_queries.RANKED).where("family = 'sentence_fill'").collect()
+    swaps = 0
+    got = {(r.query, r.place): (r.id, r.place_before) for r in rule_queries.guarded_ranking(spark, DATA).collect()}
+    for query in {r.query for r in rows}:
+        own = sorted((r for r in rows if r.query == query), key=lambda r: r.place)
+        for i in range(len(own) - 1):
+            h, x = own[i], own[i + 1]
+            keys = lambda r, n: tuple(r[f"k{j}"] for j in range(1, n + 1))
+            if h.candidate_type not in ("multi_paragraph_unit", "whole_passage") or x.candidate_type not in ("closed_span", "functional_slot_unit"):
+                continue
+            edge = h.blank_position in ("opening", "inserted") and not h.covered
+            if not (keys(h, 7) > keys(x, 7) and h.selection - x.selection <= 0.045 and edge and x.compact_fit >= h.compact_fit + 0.03):
+                continue
+            better = x.quality < h.quality or x.card_score < h.card_score or x.business_score < h.business_score
+            near_first = h.k1 - x.k1 <= 0.03
+            tied = keys(x, 4) >= keys(h, 4) or (near_first and h.k2 - x.k2 <= 0.015 and better) or (near_first and x.compact_fit >= h.compact_fit + 0.18 and better)
+            tied = tied or (h.k1 - x.k1 <= 0.012 and x.k2 >= h.k2 + 0.03 and x.compact_fit >= h.compact_fit + 0.12 and h.width >= x.width)
+            if tied:
+                own[i], own[i + 1] = x, h
+                swaps += 1
+        assert [got[query, i + 1] for i in range(len(own))] == [(r.id, r.place) for r in own]
+    assert swaps > 0

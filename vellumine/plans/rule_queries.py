@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import rules, scoring
+from ..operators import ranking, rules, scoring
 from ..operators.rules import Layer
 from .catalogue import ORACLES, QUERIES, query, t
 
@@ -277,3 +277,27 @@ def business_cards(spark, sf_dir):
     entries = F.array(*(F.when(F.col(f"s_{k}") >= _CARD_LEAST, F.struct((-F.col(f"s_{k}")).alias("by"), F.lit(i).alias("place"), F.lit(k).alias("card"))) for i, k in enumerate(BUSINESS_CARDS)))
     best = F.slice(F.array_sort(F.array_compact(entries)), 1, _CARD_TOP)
     return c.select("id", F.posexplode(best).alias("i", "b")).select("id", "b.card", (-F.col("b.by")).alias("score"), (F.col("i") + 1).alias("rank"))
+
+_RANK_DRAWN = [*ranking.SIGNALS, *(f"u{i}" for i in range(8))]
+_RANK_INPUTS = {
+    **FAMILY, "query": "article_id % 3", "candidate_type": pick("u0", ("whole_passage", "multi_paragraph_unit", "closed_span", "functional_slot_unit", "sentence_block_group")), "blank_position": pick("u2", ("opening", "inserted", "middle", "ending")),
+    "covered": "u3 < 0.3", "function_type": pick("u4", ("topic_intro", "summary", "bridge", "reference_summary")), "structure_kind": pick("u5", ("leading", "loose", "other")), "width": count("u6", 4, 1),
+    "anchor_role": pick("u7", ("review_holdout_boundary", "none")),
+}
+RANKED = 60
+
+
+@query(
+    f"WITH k AS (SELECT * FROM {sql_layers(sql_signals('(SELECT o_orderkey AS id, o_custkey AS article_id FROM orders)', _RANK_DRAWN), [_RANK_INPUTS, *ranking.SORT])}) SELECT query, family, id, k1, k2, "
+    f"row_number() OVER (PARTITION BY query, family ORDER BY {', '.join(f'{k} DESC' for k in ranking.KEYS)}, id)::INT AS place FROM k QUALIFY place <= {RANKED}"
+)
+def family_ranking(spark, sf_dir):
+    """The sixty best candidates of each query and family: a top-k report."""
+    return ranking.ranked(candidates(spark, sf_dir, _RANK_DRAWN, [_RANK_INPUTS]), "query", RANKED).select("query", "family", "id", "k1", "k2", "place")
+
+
+@query()
+def guarded_ranking(spark, sf_dir):
+    """One pass of swaps, each after those before; a test holds the query against plain Python."""
+    best = ranking.ranked(candidates(spark, sf_dir, _RANK_DRAWN, [_RANK_INPUTS]), "query", RANKED)
+    return ranking.guarded(best, "query")
