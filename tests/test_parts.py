@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellumine import plugins
 from vellumine.functions import readable
 from vellumine.operators import labels, reports
-from vellumine.plans import label_queries, search_queries
+from vellumine.plans import label_queries, search_queries, suite
 from vellumine.sources import fetch
 
 DATA = "/root/testdata/sf0.001"
@@ -197,3 +197,14 @@ def test_review_queue_query(spark):
     for top_k, family_cap, card_cap in ((30, 3, 2), (5, 5, 1), (0, 1, 1)):
         got = search_queries.pool.diverse_queue(rows, top_k, family_cap, card_cap, window=7)
         assert [r.id for r in got.orderBy("place").collect()] == queue(top_k, family_cap, card_cap)
+
+
+def test_suite(spark, tmp_path):
+    rows = [(i, i % 9, "ab"[i % 2], "xy"[i % 3 == 0], i / 40, (39 - i) / 40, (i % 7) / 7, 0.5, i % 3 > 0, float(i), ("gray", "promoted", "deprecated")[i % 3], i % 2 == 0) for i in range(40)]
+    names = "id int, article_id int, family string, task string, final double, readiness double, penalty double, quality double, positive boolean, age_days double, status string, stable boolean"
+    current = {"recommended": 0.5, "review_readiness": 0.6, "review_penalty": 0.28, "fallback_review_score": 0.4}
+    made = suite.run_suite(spark.createDataFrame(rows, names), current, [0.3, 0.6], [0.2], [0.5, 0.9], queue=5)
+    suite.write_suite(made, str(tmp_path))
+    read = {name: spark.read.json(f"{tmp_path}/{name}") for name in made}
+    assert {r.n for r in read["backtest"].where("family is not null").collect()} == {20} and read["queue"].count() == 5 and read["thresholds"].count() == 8 and read["policies"].count() > 0
+    assert {r.verdict for r in read["thresholds"].collect()} <= {"candidate_for_manual_review_only", "deprecated_leakage_too_high", "no_positive_proxy_objective_found", "review_only_policy_without_positive_selection"}
