@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship
+from .common import give_back, partitions, ship
 
 #: Pre-tokens after which a block of documents is closed.
 BLOCK_TOKENS = 6_000_000
@@ -188,6 +188,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
                 block = Block()
     if block.ids:
         yield block
+    del block
+    give_back()
 
 
 POSITIONS = "block string, ids array<bigint>, sizes array<int>, positions binary"
@@ -300,6 +302,8 @@ def _assemble(path: str, with_ids: bool):
                 if with_ids:
                     columns.append(pa.array(out["token_ids"], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=list(out)[: len(columns)])
+                del out, columns, words, own, shown, meant
+        give_back()
 
     return run
 

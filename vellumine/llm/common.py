@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,30 +16,87 @@ from pyspark.sql import functions as F
 #: Largest number of rows of a side that is broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 400_000
 
+#: Rows of an Arrow batch: the default of ten thousand is too many for long texts, as a task holds a batch on both sides.
+BATCH_ROWS = "1000"
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+_shipped: set[str] = set()
+_roots: dict[str, list[str]] = {}
+
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
-    if home not in known.split(":"):
-        env["PYTHONPATH"] = f"{home}:{known}" if known else home
+    """Give Python workers a copy of this package, so that they needn't have it installed, and small batches."""
+    context = spark.sparkContext
+    if spark.conf.get(BATCH_KEY, "10000") == "10000":  # not set by the user
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    # Spark's file server hands the driver's file on to the executors
+    target = os.path.join(tempfile.mkdtemp(prefix="vellumine-code-"), "vellumine.zip")
+    with open(target, "wb") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
 
 
 def shared_root(spark: SparkSession) -> str:
     """A fresh folder inside the shared checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (single
-    machine, tests) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset and Spark runs
+    on this machine alone (tests) a temporary folder takes its place.
     """
     ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_vellumine_root", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="vellumine-")
             spark._vellumine_root = base
-    return f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}"
+    _roots.setdefault(spark.sparkContext.applicationId, []).append(root)
+    return root
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders that ``shared_root`` gave out, from number ``since`` on.
+
+    Results that are read from them must have been written elsewhere before.
+    """
+    roots = _roots.get(spark.sparkContext.applicationId, [])
+    while len(roots) > since:
+        remove(spark, roots.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the folders that operators made inside."""
+    since = len(_roots.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
+def give_back() -> None:
+    """Return memory that a Python task no longer needs to the system, as workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:

@@ -7,12 +7,15 @@ the documents learnt from, each scaled to equal weight.  A document gets the lan
 prototype has the largest cosine with its vector.
 
 Texts are lower-cased and every run of non-letters becomes one space.  Letters a to z and the
-accented Latin letters have codes of their own; all others share the rest by code point, so
-that any script is accepted.
+accented letters of ``ACCENTED`` have codes of their own; all other letters share the few codes
+that are left, by code point, so that any script is accepted, but scripts other than Latin are
+told apart only roughly.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; ties go to the
 language first in alphabetical order; with nothing to learn from, every document is ``und``;
-whole texts are read, whatever their length; other columns of the input are passed on.
+whole texts are read, whatever their length; repeated rows get equal results; an empty table
+gives an empty result; other columns of the input are passed on, but those named lang_pred or
+score give way to the result's.
 """
 
 from __future__ import annotations
@@ -26,18 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import give_back, ship
 
 #: Dimensions of the vectors.
 DIMENSIONS = 512
 #: Letters of an n-gram.
 N = 3
 #: Codes of letters; 0 is the space.
-CODES = 48
+CODES = 64
 #: Seed of the random letter vectors.
 SEED = 20240501
-#: Documents multiplied at once.
+#: Documents multiplied at once, and n-grams of a sum.
 ROWS = 64
+GRAMS = 8192
 
 # Accented letters of the Latin alphabet that have a code of their own.
 ACCENTED = "àâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿß"
@@ -54,19 +58,30 @@ def letter_codes() -> np.ndarray:
         if "a" <= low <= "z":
             table[c] = ord(low) - 96
         elif low in ACCENTED:
-            table[c] = 27 + ACCENTED.index(low) % (CODES - 27)
+            table[c] = 27 + ACCENTED.index(low)
         else:
-            table[c] = 27 + ord(low) % (CODES - 27)
+            table[c] = _shared_code(ord(low))
     return table
 
 
+def _shared_code(point: int) -> int:
+    first = 27 + len(ACCENTED)
+    return first + point % (CODES - first)
+
+
 @lru_cache(maxsize=1)
-def gram_vectors() -> np.ndarray:
-    """The bound vector of every n-gram of codes, one row each."""
+def placed_letters() -> list[np.ndarray]:
+    """For each place in an n-gram, the rotated vectors of all letters."""
     letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CODES, DIMENSIONS))
-    out = letters
-    for _ in range(N - 1):
-        out = (np.roll(out, 1, axis=1)[:, None, :] * letters[None, :, :]).reshape(-1, DIMENSIONS)
+    return [np.roll(letters, N - 1 - k, axis=1) for k in range(N)]
+
+
+def gram_vectors(grams: np.ndarray) -> np.ndarray:
+    """The bound vector of each n-gram, one row each: made when needed, as a table of all would be large."""
+    out, rest = np.ones((len(grams), DIMENSIONS), np.int8), grams
+    for letters in reversed(placed_letters()):
+        rest, code = np.divmod(rest, CODES)
+        out *= letters[code]
     return out.astype(np.float32)
 
 
@@ -79,7 +94,7 @@ def gram_codes(text: str | None) -> np.ndarray:
     codes = table[np.minimum(points, 0xFFFF)].astype(np.int64)
     far = points > 0xFFFF
     if far.any():
-        codes[far] = [27 + int(p) % (CODES - 27) if chr(p).isalpha() else 0 for p in points[far]]
+        codes[far] = [_shared_code(int(p)) if chr(p).isalpha() else 0 for p in points[far]]
     if not codes.any():
         return np.empty(0, np.int64)
     codes = np.concatenate(([0], codes, [0]))
@@ -104,7 +119,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, times = np.unique(grams, return_counts=True)
                 sums[lang][own] += times / np.sqrt(len(grams))
     for lang, total in sums.items():
-        vector = total.astype(np.float32) @ gram_vectors()
+        used = np.flatnonzero(total)
+        vector = sum(total[g].astype(np.float32) @ gram_vectors(g) for g in np.array_split(used, len(used) // GRAMS + 1))
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang], pa.string()), pa.array([vector.astype(float).tolist()], pa.list_(pa.float64()))], names=["lang", "part"]
         )
@@ -127,20 +143,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 def _scores(texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text, whether it has letters, and its cosines with the prototypes."""
-    vectors = gram_vectors()
     has = np.zeros(len(texts), bool)
     cosines = np.zeros((len(texts), len(prototypes)))
     for first in range(0, len(texts), ROWS):
-        part = texts[first : first + ROWS]
-        counts = np.zeros((len(part), CODES**N), np.float32)
-        for i, text in enumerate(part):
-            grams = gram_codes(text)
-            if len(grams):
-                has[first + i] = True
-                own, times = np.unique(grams, return_counts=True)
-                counts[i, own] = times
-        used = np.flatnonzero(counts.any(axis=0))
-        bundle = counts[:, used] @ vectors[used]
+        part = [gram_codes(text) for text in texts[first : first + ROWS]]
+        sizes = np.array([len(grams) for grams in part])
+        has[first : first + len(part)] = sizes > 0
+        used, at = np.unique(np.concatenate(part), return_inverse=True)
+        row = np.repeat(np.arange(len(part)), sizes)
+        counts = np.bincount(row * len(used) + at, minlength=len(part) * len(used)).reshape(len(part), len(used)).astype(np.float32)
+        bundle = counts @ gram_vectors(used)
         size = np.linalg.norm(bundle, axis=1)
         size[size == 0] = 1
         cosines[first : first + len(part)] = (bundle @ prototypes.T) / size[:, None]
@@ -168,6 +180,7 @@ def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "tex
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"]
             )
+        give_back()
 
     fields = [docs.schema[c] for c in kept]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -29,7 +29,9 @@ document frequency, and with the plain idf a few edits would outweigh them.
 Edge cases: a null text counts as empty; a text without a word has no shingle and is near to
 equal texts only; a text of one to four words is one shingle; rows that repeat an identifier
 are classed by their texts; a class has the smallest identifier of its members (nulls last);
-an empty table gives an empty result; whole texts are read, whatever their length.
+an empty table gives an empty result; whole texts are read, whatever their length; columns
+other than identifier and text are ignored by ``near_classes`` and passed on, whatever their
+names, by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, ship, shared_root, small_or_shuffled
+from .common import give_back, materialise, partitions, remove, ship, shared_root, small_or_shuffled
 from .components import components
 
 #: Words of a shingle, least similarity, bands and values in a band.
@@ -177,6 +179,8 @@ def _chunks(bucket_bits: int):
                     nodes, own, times, total, known = [], [], [], 0, {}
         if nodes:
             yield close(nodes, own, times)
+        del nodes, own, times, known
+        give_back()
 
     return run
 
@@ -222,6 +226,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(row)
     if rows:
         yield answer(now, rows)
+    del rows
+    give_back()
 
 
 def sample(names: np.ndarray, weights: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -309,6 +315,8 @@ def _vectors(count: int, threshold: float, bucket_bits: int, bands: int, rows: i
                         yield pa.RecordBatch.from_pylist(out, schema=VECTOR_TYPES)
                         out = []
                 yield pa.RecordBatch.from_pylist(out, schema=VECTOR_TYPES)
+                out = name = df = weight = each = gaps = None
+        give_back()
 
     return run
 
@@ -380,6 +388,8 @@ def _both(pairs: DataFrame, vectors: DataFrame, columns: list[str]) -> DataFrame
 
 
 TILE = ["band", "value", "i", "j"]
+#: Tables of ``links`` that nothing reads once it has returned.
+PARTS = ("crowded", "members", "pairs-1", "agreeing-1", "found-1", "components-1", "state", "open", "open-members", "pairs-2", "agreeing-2", "tiles", "found-2")
 
 
 def _tiled(threshold: float, share: float):
@@ -442,6 +452,8 @@ def _tiled(threshold: float, share: float):
                 rows.append(row)
         if rows:
             yield links_of(now, rows)
+        del rows
+        give_back()
 
     return run
 
@@ -536,7 +548,10 @@ def near_classes(
     )
     joined = chunks.drop("slices").hint("merge").join(answers, "chunk").select("nodes", "sizes", "places", "times", "answers")
     vectors = materialise(joined.mapInArrow(_vectors(count, threshold, bits, bands, rows, idf_power), VECTORS), f"{home}/vectors")
+    remove(spark, f"{home}/chunks")
     roots = links(vectors, home, threshold)
+    for part in ("vectors", *PARTS):
+        remove(spark, f"{home}/{part}")
     classed = rows_of.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("class"))
     # written out, as a join under which an aggregate stands can't split a hot class
     classed = materialise(classed, f"{home}/classed")
