@@ -8,8 +8,8 @@
    Blocks are named by their contents, so that the two readers of the cut (the words, and the
    positions) may each evaluate it and a lost executor's part can be evaluated again.
 3. Blocks are joined with their answers, and the ids of a document are put together by
-   position.  Decoding looks each id up in the token-byte table (one entry per rank, a size
-   fixed by the vocabulary file).
+   position.  Decoding joins these ids with the token-byte table: the table has one entry per
+   rank, a size fixed by the vocabulary file, so each task holds it and meets the ids in place.
 
 Whole texts are encoded; nothing is cut.  Edge cases: null and empty texts have no ids and
 decode to no bytes; rows that repeat an identifier are encoded each; an empty table gives an
@@ -27,6 +27,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -99,22 +100,63 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str):
-    import public_tokenizers
-    import tiktoken
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a pre-token: of all neighbours those of the lowest rank are merged first, from the left.
 
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    Candidates stand in a heap, so that a pre-token of any length takes little more than linear time.
+    """
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        middle = end[i]
+        if not i < middle < stop or end[middle] != stop:
+            continue  # one of the two parts has been merged meanwhile
+        end[i], end[middle] = stop, 0
+        left = before[i]
+        if left >= 0 and (r := ranks.get(piece[left:stop])) is not None:
+            heappush(heap, (r, left, stop))
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return ids
+
+
+class TokenBytes:
+    """The token-byte table: all tokens in a row, and where the bytes of each id begin and how many they are."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.bytes[_runs(self.starts[ids], self.sizes[ids])].tobytes()
 
 
 @lru_cache(maxsize=4)
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table: place i holds the bytes of id i."""
-    ranks = _ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
-    return out
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(_ranks(path))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of the given sizes, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -241,7 +283,7 @@ def _encode(path: str):
     """Each distinct word of a partition is encoded once; all blocks that sent it share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _encoder(path)._encode_single_piece
+        ranks = _ranks(path)
         known: dict[bytes, list[int]] = {}
         now = None
         for batch in batches:  # rows come sorted by bucket
@@ -253,7 +295,7 @@ def _encode(path: str):
                 for w in _unpack_words(words.as_py()):
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = one(w)
+                        ids = known[w] = merged(w, ranks)
                     each.append(ids)
                 blocks.append(block.as_py())
                 places.append(place.as_py())
@@ -272,37 +314,35 @@ def _assemble(path: str, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
-        text_of = [str(i) for i in range(len(table))]
+        text_of = [str(i) for i in range(len(table.sizes))]
         for batch in batches:
             for ids, sizes, positions, answers in zip(*(batch.column(i) for i in range(4)), strict=True):
-                words: dict[int, list[int]] = {}
-                for a in answers.as_py() or ():
-                    places = np.cumsum(_unpack(a["places"])).tolist()
-                    flat = _unpack(a["found"]).tolist()
-                    ends = np.cumsum(_unpack(a["sizes"])).tolist()
-                    for place, start, end in zip(places, [0, *ends[:-1]], ends, strict=True):
-                        words[place] = flat[start:end]
-                own = [words[i] for i in range(len(words))]  # a block without its answers fails here
-                shown = [" ".join([text_of[i] for i in w]) for w in own]
-                meant = [b"".join([table[i] for i in w]) for w in own]
-                count = np.array([len(w) for w in own] or [0], np.int64)
+                parts = [(np.cumsum(_unpack(a["places"])), _unpack(a["sizes"]), _unpack(a["found"])) for a in answers.as_py() or ()]
+                place, count, flat = (np.concatenate([p[k] for p in parts] or [np.empty(0, np.uint32)]).astype(np.int64) for k in range(3))
+                order = np.argsort(place)
+                if not np.array_equal(place[order], np.arange(len(place))):
+                    raise ValueError("a block has not got all of its answers")
+                begin = (np.cumsum(count) - count)[order]
+                count = count[order]
+                shown = np.array(text_of, object)[flat].tolist()
+                shown = [" ".join(shown[i:j]) for i, j in zip(begin.tolist(), (begin + count).tolist(), strict=True)]
                 where, start = _unpack(positions.as_py()), 0
                 out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "token_ids": []}
                 for key, size in zip(ids.as_py(), sizes.as_py(), strict=True):
                     at = where[start : start + size]
                     start += size
-                    places = at.tolist()
+                    own = flat[_runs(begin[at], count[at])]
                     out["doc_id"].append(key)
-                    out["n_tokens"].append(int(count[at].sum()) if size else 0)
-                    out["ids_sha256"].append(hashlib.sha256(" ".join([shown[i] for i in places]).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(b"".join([meant[i] for i in places])).hexdigest())
+                    out["n_tokens"].append(len(own))
+                    out["ids_sha256"].append(hashlib.sha256(" ".join([shown[i] for i in at.tolist()]).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(table.decode(own)).hexdigest())
                     if with_ids:
-                        out["token_ids"].append([t for i in places for t in own[i]])
+                        out["token_ids"].append(own.astype(np.int32))
                 columns = [pa.array(out["doc_id"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
                 if with_ids:
                     columns.append(pa.array(out["token_ids"], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=list(out)[: len(columns)])
-                del out, columns, words, own, shown, meant
+                del out, columns, parts, place, flat, shown
         give_back()
 
     return run
