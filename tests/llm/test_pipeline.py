@@ -46,6 +46,11 @@ def test_stages(spark, rows, labels, tmp_path):
     for name, before, after in (("language_id", by_id, lettered), ("exact_dedup", lettered, single), ("minhash_near_dedup", single, apart)):
         got = [tuple(r) for r in stages[name](spark, part(before), str(tmp_path)).collect()]
         assert sorted(got) == [by_id[i] for i in sorted(after)], name
+    # columns of the input that are named like those of the operators are passed on
+    clashing = part(lettered).selectExpr("*", "5.5 as score", "'l' as lang_pred", "'k' as kept", "-1 as keep_id", "'g' as group_size", "'c' as class_id")
+    for name in ("language_id", "exact_dedup", "minhash_near_dedup"):
+        got = stages[name](spark, clashing, str(tmp_path)).collect()
+        assert all((float(r.score), r.lang_pred, r.kept, r.keep_id, r.group_size, r.class_id) == (5.5, "l", "k", -1, "g", "c") for r in got) and got
     # columns of the input that are named like those of mix() are passed on
     clashing = part(apart).selectExpr("*", "'r' as rate", "'c' as copies", "'n' as n_tokens")
     got = stages["mixing"](spark, clashing, str(tmp_path)).collect()

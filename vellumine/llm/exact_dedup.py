@@ -9,8 +9,8 @@ the retained document, so that a digest collision can never merge different text
 
 Edge cases: a null text counts as the empty text; a null identifier sorts below all others;
 rows that repeat both identifier and text form one group of which exactly one row is kept;
-an empty table gives an empty result; all columns of the input are passed on, and internal
-columns carry the prefix ``__x_`` so that they clash with none.
+an empty table gives an empty result; all columns of the input are passed on, but those named
+like a column of the result give way to it; internal columns carry the prefix ``__x_``.
 """
 
 from __future__ import annotations
