@@ -210,6 +210,10 @@ RECORDS = pa.schema(
 )
 
 
+#: Bytes that the reader asks for at once.
+RANGE = 4 << 20
+
+
 def read_record(member: bytes, with_payload: bool) -> dict:
     """The fields of one gzip member; a response's digest is computed anew and compared."""
     data = zlib.decompress(member, GZIP)
@@ -232,6 +236,23 @@ def read_record(member: bytes, with_payload: bool) -> dict:
     }
 
 
+def _ranges(lines) -> Iterator[list[dict]]:
+    """The entries of an index in runs whose members lie side by side, ``RANGE`` bytes long or a little more."""
+    held: list[dict] = []
+    size, rest = 0, b""
+    while piece := lines.read(CHUNK):
+        *whole, rest = (rest + piece).split(b"\n")
+        for line in whole:
+            entry = json.loads(line)
+            if held and (size >= RANGE or entry["offset"] != held[0]["offset"] + size):
+                yield held
+                held, size = [], 0
+            held.append(entry)
+            size += entry["length"]
+    if held:
+        yield held
+
+
 def _reader(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,12 +260,12 @@ def _reader(with_payload: bool):
                 system, path = _open(archive)
                 rows, size = [], 0
                 with system.open_input_file(path) as data, system.open_input_stream(_open(index)[1], compression=None) as lines:
-                    rest = b""
-                    while piece := lines.read(CHUNK):
-                        *whole, rest = (rest + piece).split(b"\n")
-                        for line in whole:
-                            entry = json.loads(line)
-                            rows.append(read_record(data.read_at(entry["length"], entry["offset"]), with_payload))
+                    for entries in _ranges(lines):
+                        first = entries[0]["offset"]
+                        members = data.read_at(sum(e["length"] for e in entries), first)
+                        for e in entries:
+                            at = e["offset"] - first
+                            rows.append(read_record(members[at : at + e["length"]], with_payload))
                             size += rows[-1]["payload_bytes"] if with_payload else 0
                             if len(rows) >= 10_000 or size >= 32 * CHUNK:
                                 yield _batch(rows, RECORDS)
