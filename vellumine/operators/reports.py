@@ -72,30 +72,19 @@ def mined_terms(texts: DataFrame, by: str, stop: Sequence[str] = ()) -> DataFram
     )
     return ranked.select(by, F.array_join(kept, ",").alias("terms"))
 
-#: Reference items that are packed into one row and broadcast; beyond it words are joined.
-MOST_ITEMS = 5_000
+#: Words of reference items that are broadcast, at most; beyond it they are joined by a shuffle.
+MOST_WORDS = 200_000
 
 
 def nearest_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, shared, support) of the item whose words a document covers best; the smallest item of equals, none without a shared word.
 
-    docs: (doc_id, words), items: (item_id, words), words distinct.  Up to ``MOST_ITEMS`` items are one row that every
-    document meets in place, so that no pair of document and item becomes a row.  Beyond it words are joined.
+    docs: (doc_id, words), items: (item_id, words), words distinct.  The words of up to ``MOST_WORDS`` are broadcast, so that
+    counts of a document and an item are summed where the document is; frequent words still make many such counts.
     """
-    if items.limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
-        y = items.select("item_id", F.size("words").alias("n"), F.explode("words").alias("w"))
-        pairs = docs.select("doc_id", F.explode("words").alias("w")).join(y, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-        best = pairs.groupBy("doc_id").agg(F.min(F.struct((-F.col("shared") / F.col("n")).alias("by"), "item_id", "shared")).alias("b"))
-        return best.select("doc_id", "b.item_id", F.col("b.shared"), F.round(-F.col("b.by"), 4).alias("support"))
-    packed = items.where("size(words) > 0").agg(
-        F.array_sort(F.collect_list(F.struct("item_id", "words"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("known"), F.lit(1).alias("one")
-    )
-    rows = docs.withColumn("one", F.lit(1)).join(F.broadcast(packed), "one")
-    rows = rows.select("doc_id", "items", F.array_intersect("words", "known").alias("own")).where("size(own) > 0")
-
-    def share(i: Column) -> Column:
-        shared = F.size(F.array_intersect(i["words"], "own"))
-        return F.struct((-shared / F.size(i["words"])).alias("by"), i["item_id"].alias("item_id"), shared.cast("bigint").alias("shared"))
-
-    best = F.array_min(F.filter(F.transform("items", share), lambda x: x["shared"] > 0))
-    return rows.select("doc_id", best.alias("b")).select("doc_id", "b.item_id", "b.shared", F.round(-F.col("b.by"), 4).alias("support"))
+    y = items.select("item_id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    if y.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
+        y = F.broadcast(y)
+    pairs = docs.select("doc_id", F.explode("words").alias("w")).join(y, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    best = pairs.groupBy("doc_id").agg(F.min(F.struct((-F.col("shared") / F.col("n")).alias("by"), "item_id", "shared")).alias("b"))
+    return best.select("doc_id", "b.item_id", "b.shared", F.round(-F.col("b.by"), 4).alias("support"))
