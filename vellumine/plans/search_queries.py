@@ -193,13 +193,13 @@ def recommendations(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SQL_RECORDS}, p AS (SELECT grp, round(avg(final - penalty / 2), 6) AS objective, count_if(final >= 0.9)::BIGINT AS selected, avg(CASE WHEN positive THEN 0.0 ELSE 0.7 END) AS rate FROM r GROUP BY 1)
+    f"""WITH {SQL_RECORDS}, p AS (SELECT grp, round(avg(final - penalty / 2), 6) AS objective, count_if(final >= 0.9)::BIGINT AS selected, round(avg(CASE WHEN positive THEN 0.0 ELSE 0.7 END), 6) AS rate FROM r GROUP BY 1)
     SELECT grp, selected, CASE WHEN objective <= 0 THEN 'no_positive_proxy_objective_found' WHEN selected = 0 THEN 'review_only_policy_without_positive_selection' WHEN rate >= 0.35 THEN 'deprecated_leakage_too_high'
     ELSE 'candidate_for_manual_review_only' END AS verdict FROM p"""
 )
 def policy_verdicts(spark, sf_dir):
     r = backtest(spark, sf_dir)
-    p = r.groupBy("grp").agg(F.round(F.avg(F.col("final") - F.col("penalty") / 2), 6).alias("objective"), F.count_if(F.col("final") >= 0.9).alias("selected"), F.avg(F.when(F.col("positive"), 0.0).otherwise(0.7)).alias("rate"))
+    p = r.groupBy("grp").agg(F.round(F.avg(F.col("final") - F.col("penalty") / 2), 6).alias("objective"), F.count_if(F.col("final") >= 0.9).alias("selected"), F.round(F.avg(F.when(F.col("positive"), 0.0).otherwise(0.7)), 6).alias("rate"))
     return p.select("grp", "selected", search.apply_verdict(F.col("objective"), F.col("selected"), F.col("rate")).alias("verdict"))
 
 
