@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fill_middle, fingerprints, html_extract, langid, mixing, near_dedup, pii, warc
+from . import bpe, chat, exact_dedup, fill_middle, fingerprints, html_extract, langid, mixing, near_dedup, pii, toxicity, warc
 from .common import table
 
 
@@ -68,6 +68,14 @@ def op10_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "kind", "call_id", "status", "after", "depth", "canonical")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.held_out()
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut in prefix, middle and suffix at lines, put in a new order and restored from it."""
     found = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -87,6 +95,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_html_extraction": op9_html_extraction,
     "op10_chat_tool_calls": op10_chat_tool_calls,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_middle": op13_fill_middle,
 }
 
