@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fill_middle, fingerprints, html_extract, langid, mixing, near_dedup, pii, toxicity, warc
+from . import alignment, bpe, chat, exact_dedup, fill_middle, fingerprints, html_extract, langid, mixing, near_dedup, pii, toxicity, warc
 from .common import table
 
 
@@ -68,6 +68,11 @@ def op10_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "kind", "call_id", "status", "after", "depth", "canonical")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment of two tokenizers' tokens in every document."""
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labels of rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_html_extraction": op9_html_extraction,
     "op10_chat_tool_calls": op10_chat_tool_calls,
+    "op11_alignment": op11_alignment,
     "op12_toxicity": op12_toxicity,
     "op13_fill_middle": op13_fill_middle,
 }
