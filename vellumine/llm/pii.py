@@ -182,46 +182,75 @@ KINDS = (
 )
 #: What a context word adds to a score.
 BONUS = 0.2
+#: Numbers of a run whose sum is kept; characters of a piece of text (more than CONTEXT).
+RUN, PIECE = 64, 1024
 
 
-def _spans(text: Column, kind: Kind) -> Column:
-    """The confirmed spans of one kind, in order."""
-    pattern = F.lit(kind.pattern)
-    none = F.array().cast(SPAN)
-    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g))
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    placed = F.aggregate(
-        F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m: string, start: int, end: int>>").alias("out")),
-        # the last gap has no match after it
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-                F.array_append(
-                    acc["out"],
-                    F.struct(x["m"].alias("m"), (acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).alias("end")),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, though lambdas in it use it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def before(x: Column) -> Column:
-        return F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise("")
 
-    def after(x: Column) -> Column:
-        return F.substring(text, x["end"] + 1, F.lit(1))
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda acc, x: acc + x)
 
-    def score(x: Column) -> Column:
-        low = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        near = F.lower(F.concat(F.substring(text, low + 1, x["start"] - low), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(CONTEXT))))
-        return F.lit(kind.score) + F.when(near.rlike(rf"(?:^|[^a-z])(?:{CONTEXT_WORDS[kind.name]})(?:$|[^a-z])"), F.lit(BONUS)).otherwise(F.lit(0.0))
 
-    good = F.filter(placed, lambda x: kind.valid(x["m"], before(x), after(x)))
-    scored = F.transform(good, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
-    if not kind.base:
-        scored = F.filter(scored, lambda x: x["score"] >= MIN_SCORE)
-    return F.when(kind.gate(text), scored.cast(SPAN)).otherwise(none)
+def _sums_before(sizes: Column, levels: int = 2) -> Column:
+    """For each of the numbers, the sum of those before it.
+
+    Sums of runs of RUN numbers, summed up in the same way, leave less than RUN numbers to add
+    for each place, so the work grows with their count and no list is copied for each.
+    """
+    n = F.size(sizes)
+    if levels == 0:
+        return F.transform(sizes, lambda x, i: _total(F.slice(sizes, 1, i)))
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / RUN).cast("int")), lambda k: _total(F.slice(sizes, (k * RUN + 1).cast("int"), RUN)))
+    placed = lambda heads: F.transform(sizes, lambda x, i: F.get(heads, F.floor(i / RUN).cast("int")) + _total(F.slice(sizes, i - i % RUN + 1, i % RUN)))
+    return _let(runs, lambda r: _let(_sums_before(r, levels - 1), placed))
+
+
+def _spans(text: Column, kind: Kind) -> Column:
+    """The confirmed spans of one kind, in order.
+
+    What stands around a match is taken from pieces of PIECE characters, so that no look-up walks
+    through the text from its beginning: the work grows with the text and with its matches.
+    """
+    none = F.array().cast(SPAN)
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def placed(found: Column, gaps: Column, pieces: Column) -> Column:
+        steps = F.transform(found, lambda m, i: F.get(gaps, i) + F.length(m))
+        spans = lambda at: F.transform(
+            found, lambda m, i: F.struct(m.alias("m"), (F.get(at, i) + F.get(gaps, i)).alias("start"), (F.get(at, i) + F.get(gaps, i) + F.length(m)).alias("end"))
+        )
+        return _let(_let(steps, lambda x: _sums_before(x)), lambda at: checked(spans(at), pieces))
+
+    def part(pieces: Column, start: Column, size: Column) -> Column:
+        """Up to PIECE characters from ``start`` on."""
+        first = F.floor(start / PIECE).cast("int")
+        two = F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit("")))
+        return F.substring(two, (start - first * PIECE + 1).cast("int"), size)
+
+    def checked(spans: Column, pieces: Column) -> Column:
+        def before(x: Column) -> Column:
+            return F.when(x["start"] > 0, part(pieces, x["start"] - 1, F.lit(1))).otherwise("")
+
+        def after(x: Column) -> Column:
+            return part(pieces, x["end"], F.lit(1))
+
+        def score(x: Column) -> Column:
+            low = F.greatest(x["start"] - CONTEXT, F.lit(0))
+            near = F.lower(F.concat(part(pieces, low, x["start"] - low), F.lit(" "), part(pieces, x["end"], F.lit(CONTEXT))))
+            return F.lit(kind.score) + F.when(near.rlike(rf"(?:^|[^a-z])(?:{CONTEXT_WORDS[kind.name]})(?:$|[^a-z])"), F.lit(BONUS)).otherwise(F.lit(0.0))
+
+        good = F.filter(spans, lambda x: kind.valid(x["m"], before(x), after(x)))
+        scored = F.transform(good, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
+        return scored if kind.base else F.filter(scored, lambda x: x["score"] >= MIN_SCORE)
+
+    spans = _let(found, lambda f: _let(gaps, lambda g: _let(pieces, lambda p: placed(f, g, p))))
+    return F.when(kind.gate(text), spans.cast(SPAN)).otherwise(none)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
