@@ -5,11 +5,15 @@ never text are skipped; text inside containers for navigation, headers, footers,
 adverts, notices and reader comments (by tag, role, class or identifier) is boilerplate.  A
 class or identifier counts as a whole name: its first or last part must be one of ``MARKED``
 and none may be a word like ``no`` or ``has`` (``no-sidebar`` is no sidebar); a main element inside
-a container that only its names mark is free of the mark.  A form is boilerplate unless a block
+a container that only its names mark is free of the mark.  Inside an article or main element a
+name must be made of such words, and of words for parts of a page, alone (``share-buttons`` is
+boilerplate there, ``share-price`` is not), and words that also name what texts deal with
+(``side``, ``discussion``) count only beside another.  A form is boilerplate unless a block
 in it passes the first pass as good: some pages are wrapped in one form.
 
 The first pass looks at each other block by itself: link density, length and the density of
-stop words decide whether it is good, bad or ambiguous.  The second pass gives an ambiguous
+stop words decide whether it is good, bad or ambiguous.  Inside an article or main element link
+density speaks against lists and rows of links only, not against a paragraph that is a link.  The second pass gives an ambiguous
 block the label of its nearest decided neighbours, before and after it, inside the same
 region of the page (an article or main element, or what is outside them); where both are as
 near, good wins inside such an element and bad outside.  Without a decided neighbour a block is
@@ -22,13 +26,15 @@ Edge cases: a null page counts as empty and gives an empty text; unclosed and mi
 are closed by the next block that excludes them; of an unclosed element that is never text only
 what stands before the next block is skipped (a script or style goes on to the end); a page without an article or main element
 is judged by its blocks alone; nothing is cut, whatever the length; rows are independent; other
-columns of the input are ignored; an empty table gives an empty result.
+columns of the input are ignored; an empty table gives an empty result.  The work grows with the
+page, whatever its tags are like.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -64,6 +70,13 @@ MARKED = frozenset(
     "modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies discussion share sharing social related "
     "recommended recommendations pagination pager complementary contentinfo search searchbox form copyright disclaimer legal skip hidden dialog".split()
 )
+# Words for parts of a page, which say nothing by themselves.
+PLACES = frozenset(
+    "article post posts articles entry page site content section block area zone panel pane unit slot item items list box bar wrapper wrap container inner outer "
+    "top bottom left right inline mobile desktop sticky fixed button buttons link links icon icons tool tools title count js".split()
+)
+# Words of MARKED that name what texts deal with as often.
+TOPICS = frozenset("side discussion legal form search reply replies respond rail skip foot head hidden alert response".split())
 # Words that turn the meaning of a name, or tell of the page's layout.
 TURNED = frozenset("no not non without with has have is supports layout page body".split())
 # Frequent function words of English, French, German and Spanish.
@@ -76,8 +89,13 @@ STOP_WORDS = frozenset(
 
 TOKEN = re.compile(
     r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*+>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+|[^>]*+)>"
 )
+#: Inside an article or main element so many links that fill a block are a row of links.
+ROW = 3
+#: Elements that hold entries.
+ENTRIES = frozenset("ul ol li menu dir dl dt dd table tr td th".split())
+OPEN_COMMENT = re.compile(r"<!--(?s:.*)\Z")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=\s|/|$))""", re.I)
 NAME_PART = re.compile(r"[a-z]+|[^a-z\s_-]+")
 BLOCK_START = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?![a-z0-9-])", re.I)
@@ -93,10 +111,12 @@ class Block:
     region: int
     heading: bool
     form: int
+    links: int
+    listed: bool
     label: str = field(default="")
 
 
-def _is_marked(attributes: str) -> bool:
+def _is_marked(attributes: str, inside: bool) -> bool:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -104,13 +124,17 @@ def _is_marked(attributes: str) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        elif name != "aria-hidden" and any(map(_is_marked_name, value.split())):
+        elif name != "aria-hidden" and any(_is_marked_name(x, inside) for x in value.split()):
             return True
     return False
 
 
-def _is_marked_name(name: str) -> bool:
+def _is_marked_name(name: str, inside: bool = False) -> bool:
+    """Whether a name marks boilerplate; ``inside``: of an article or main element."""
     parts = [x for x in NAME_PART.findall(name) if x[0].isalpha()]
+    if inside:
+        marks = [x for x in parts if x in MARKED]
+        return any(x not in TOPICS for x in marks) and all(x in MARKED or x in PLACES for x in parts)
     return bool(parts) and (parts[0] in MARKED or parts[-1] in MARKED) and not TURNED.intersection(parts)
 
 
@@ -120,36 +144,44 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
     stack: list[tuple[str, dict[str, int]]] = []  # open elements: tag, and what held before it
     parts: list[tuple[str, bool]] = []
     main: set[int] = set()
-    state = {"boilerplate": 0, "named": 0, "region": 0, "form": 0, "links": 0, "heading": False}
-    regions = forms = 0
+    opened: Counter[str] = Counter()  # how many elements of a name are open
+    missing: set[str] = set()  # elements that are never text and whose end isn't found any more
+    state = {"boilerplate": 0, "named": 0, "region": 0, "form": 0, "links": 0, "heading": False, "inside": 0, "listed": 0}
+    held = ("boilerplate", "named", "region", "form", "inside", "listed")
+    regions = forms = linked_parts = 0
+    last_end = page.rfind(">")
 
     def flush() -> None:
+        nonlocal linked_parts
         whole = SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
         if whole:
             linked = len(SPACE.sub(" ", html.unescape("".join(p for p, x in parts if x))).strip())
-            blocks.append(Block(whole, linked, state["boilerplate"] + state["named"] > 0, state["region"], state["heading"], state["form"]))
+            blocks.append(Block(whole, linked, state["boilerplate"] + state["named"] > 0, state["region"], state["heading"], state["form"], linked_parts, state["listed"] > 0))
         parts.clear()
+        linked_parts = 0
 
     def close(tag: str) -> None:
         """Close the innermost open element of that name and all inside it."""
-        if not any(x[0] == tag for x in stack):
+        if not opened[tag]:
             return
         while stack:
             name, before = stack.pop()
+            opened[name] -= 1
             state.update(before)
             if name == tag:
                 return
 
     at = 0
     while True:
-        found = TOKEN.search(page, at)
+        # beyond the last end of a tag only comments may follow, which needn't end
+        found = TOKEN.search(page, at) if at <= last_end else OPEN_COMMENT.search(page, at)
         if found is None:
             parts.append((page[at:], state["links"] > 0))
             break
         if found.start() > at:
             parts.append((page[at : found.start()], state["links"] > 0))
         at = found.end()
-        tag = (found["tag"] or "").lower()
+        tag = (found.groupdict().get("tag") or "").lower()
         if not tag:
             continue
         if found["end"]:
@@ -165,7 +197,9 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
             if tag == "head":
                 continue  # its children are skipped one by one
             if not found["attrs"].rstrip().endswith("/") or tag in ("script", "style"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                end = None if tag in missing else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end is None:
+                    missing.add(tag)
                 if end:
                     at = end.end()
                 elif tag in ("script", "style"):
@@ -176,6 +210,7 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
             parts.append((" ", False))
         elif tag == "a":
             state["links"] = 1
+            linked_parts += 1
         elif tag == "br":
             parts.append((" ", state["links"] > 0))
         elif tag in BLOCK:
@@ -186,14 +221,17 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
             if stack and stack[-1][0] == tag and tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th"):
                 close(tag)
             state["heading"] = tag[0] == "h" and tag[1:].isdigit()
-            inside = any(x[0] in MAIN for x in stack)
-            stack.append((tag, {k: state[k] for k in ("boilerplate", "named", "region", "form")}))
+            inside = state["inside"] > 0
+            stack.append((tag, {k: state[k] for k in held}))
+            opened[tag] += 1
+            state["inside"] += tag in MAIN
+            state["listed"] = (state["listed"] if tag not in MAIN else 0) + (tag in ENTRIES)
             # the header of an article holds its headline; that of a page doesn't
             if tag in BOILERPLATE and tag != "form" and not (tag == "header" and inside):
                 state["boilerplate"] += 1
             elif tag == "main":
                 state["named"] = 0
-            elif tag not in ("article", "body", "html") and _is_marked(found["attrs"]):
+            elif tag not in ("article", "body", "html") and _is_marked(found["attrs"], inside):
                 state["named"] += 1
             if tag == "form" and not state["form"]:
                 forms += 1
@@ -212,7 +250,7 @@ def classify(blocks: list[Block], main: set[int]) -> None:
     for b in blocks:
         size, words = len(b.text), WORD.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.boilerplate or b.linked > MAX_LINK_DENSITY * size:
+        if b.boilerplate or (b.linked > MAX_LINK_DENSITY * size and (b.region not in main or b.listed or b.links >= ROW)):
             b.label = "bad"
         elif size >= LONG and (stop >= STOP_DENSITY or b.region in main):
             b.label = "good"
