@@ -18,8 +18,8 @@ with the smallest identifier; the other pages' records are revisits that refer t
 Sharing is decided by SHA-256.
 
 Edge cases: a null payload counts as empty; a null identifier sorts after all others; a null
-target becomes ``urn:unknown``; pages that repeat identifier, target and payload of the
-response are responses too; an empty table gives no archives and an empty result.
+target becomes ``urn:unknown``; of rows equal in identifier, target and payload one is the response
+and the others are revisits; an empty table gives no archives and an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ from .common import materialise, ship, shared_root, small_or_shuffled
 ARCHIVE_BYTES = 1 << 30
 #: Bytes read at once.
 CHUNK = 1 << 20
+#: Equal rows that are dealt out together.
+TWINS = 10_000
 #: Date written into records; archives made from equal tables are equal.
 DATE = "2024-01-01T00:00:00Z"
 NO_ID = 2**63 - 1
@@ -284,18 +286,37 @@ def plan_revisits(pages: DataFrame, home: str, min_revisit: int = 0) -> DataFram
     ).withColumns({"order": F.struct(F.coalesce("page_id", F.lit(NO_ID)).alias("id"), F.coalesce("url", F.lit("")).alias("url")), "key": F.unhex(F.sha2("payload", 256))})
     shared = (
         keyed.where(F.octet_length("payload") >= min_revisit)
+        .groupBy("key", "order")
+        .agg(F.count(F.lit(1)).alias("equal"))
         .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
+        .agg(F.sum("equal").alias("n"), F.min("order").alias("first"), F.min_by("equal", "order").alias("twins"))
         .where("n > 1")
-        .select("key", "first")
+        .select("key", "first", "twins")
     )
-    shared = small_or_shuffled(materialise(shared, f"{home}/shared"))
-    joined = keyed.join(shared, "key", "left")
-    is_revisit = F.coalesce(F.col("order") != F.col("first"), F.lit(False))
+    shared = materialise(shared, f"{home}/shared")
+    twins = not shared.where("twins > 1").isEmpty()
+    joined = keyed.join(small_or_shuffled(shared), "key", "left")
+    if twins:
+        joined = _one_of_twins(joined)
+    is_revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("order") == F.col("first"), F.lit(False))
     first = F.when(F.col("first.id") != NO_ID, F.col("first.id"))
     return joined.select("page_id", "url", "payload", F.when(is_revisit, first).alias("refers_to"), is_revisit.alias("is_revisit"))
 
 
+def _one_of_twins(joined: DataFrame) -> DataFrame:
+    """``joined``, where of rows equal to a group's first all but one come after it.
+
+    Equal rows are counted before they are shuffled, and dealt out again in runs.
+    """
+    is_twin = F.coalesce((F.col("twins") > 1) & (F.col("order") == F.col("first")), F.lit(False))
+    twins = joined.where(is_twin).groupBy("key", "page_id", "url", "order", "first").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("twins"))
+    runs = twins.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("twins") - 1, F.lit(TWINS).cast("bigint")))).repartition("key", "begin")
+    place = F.explode(F.sequence("begin", F.least(F.col("begin") + TWINS, F.col("twins")) - 1))
+    # a later one is put behind the first by its order alone
+    dealt = runs.withColumn("place", place).withColumn("order", F.when(F.col("place") == 0, F.col("order")).otherwise(F.lit(None)))
+    return joined.where(~is_twin).unionByName(dealt.select(*joined.columns))
+
+
 def write_archives(records: DataFrame, folder: str, level: int = 3) -> DataFrame:
     """Monolithic archives of ``records``; returns their URIs, materialised."""
     return materialise(records.mapInArrow(_writer(folder, level), "archive string"), f"{folder}-manifest")
