@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -197,6 +198,19 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_of_equal_rows(spark, monkeypatch):
+    """Of rows equal in all columns one is the response, however many there are."""
+    monkeypatch.setattr(warc, "TWINS", 7)
+    long = "p" * 200_000
+    rows = [(1, "u", "<p>x")] * 40 + [(1, "v", "<p>x"), (9, "u", "<p>x"), (None, "u", "only"), (None, "u", "only"), (5, "u", ""), (5, "u", None), (6, None, long), (6, None, long)]
+    pages = spark.createDataFrame([(*r, "clash", 3) for r in rows], "page_id long, url string, html string, record_type string, first int").repartition(4)
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(pages).collect())
+    assert got == {
+        (1, "response", None, 4): 1, (1, "revisit", 1, 4): 40, (9, "revisit", 1, 4): 1, (None, "response", None, 4): 1, (None, "revisit", None, 4): 1,
+        (5, "response", None, 0): 1, (5, "revisit", 5, 0): 1, (6, "response", None, 200_000): 1, (6, "revisit", 6, 200_000): 1,
+    }
+
+
 def test_warc_members_stand_alone():
     data = [warc.record(i, "http://x/", b"payload %d\r\n\r\n" % i, None, False) for i in range(50)]
     zipper = zlib.compressobj(1, zlib.DEFLATED, warc.GZIP)
@@ -378,12 +392,27 @@ SENTENCE = "The quick fox is in the house and it was the best of all. "
         (f"<p>{SENTENCE * 5}</p><form><p>Your name</p></form>", (SENTENCE * 5).strip()),
         (f"<main><p>One</p></main><div><p>{SENTENCE * 5}</p></div><p>Next</p>", f"One\n{(SENTENCE * 5).strip()}\nNext"),
         (f'<div class="popup"><main><p>{SENTENCE}</p></main></div>', SENTENCE.strip()),
+        # names that only begin or end like those of boilerplate, inside an article
+        (f'<article><p>One</p><div class="side-effects"><p>{SENTENCE * 4}</p></div></article>', f"One\n{(SENTENCE * 4).strip()}"),
+        (f'<article><div class="share-price"><p>{SENTENCE * 4}</p></div><div class="share-buttons">Share it</div></article>', (SENTENCE * 4).strip()),
+        (f'<main><section id="related-work"><p>{SENTENCE}</p></section><div class="related-posts"><p>{SENTENCE * 4}</p></div></main>', SENTENCE.strip()),
+        (f'<main><section id="discussion"><p>{SENTENCE}</p></section><div class="article-sidebar"><p>{SENTENCE * 4}</p></div></main>', SENTENCE.strip()),
+        (f'<article><p><a href="/x">{SENTENCE * 2}</a></p></article>', (SENTENCE * 2).strip()),
+        (f"<article><p>{SENTENCE * 4}</p><ul><li><a href=/a>Read this too</a></li></ul><div><a href=/a>A</a> <a href=/b>B</a> <a href=/c>C</a></div></article>", (SENTENCE * 4).strip()),
     ],
 )
 def test_main_text_of_wrapped_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("part", ["<div>", '<a b="', "<svg>", "<!--", "<p><b ", "<article>", "<select>", '<li><a href="', "</p>", "<script>"])
+def test_work_grows_with_the_page(part):
+    began = time.perf_counter()
+    html_extract.main_text(part * (500_000 // len(part)))
+    html_extract.main_text(part * (200_000 // len(part)) + ">" + SENTENCE)
+    assert time.perf_counter() - began < 8
+
+
 def test_main_text_of_built_pages(spark):
     """Pages put together from parts of a known kind: all of the article comes out and nothing else."""
     random.seed(8)
@@ -556,3 +585,15 @@ def test_resampling_meets_targets(spark):
         share = sum(n * mixed[i].n_tokens * mixed[i][f"p_{d}"] for i, n in got.items()) / tokens
         assert abs(share - target) < 0.03, (d, share)
     assert got.keys() & {i for i in range(0, 1200, 6)}  # part of a domain that is thinned out stays
+
+
+def test_pii_of_a_text_full_of_it(spark):
+    """A hundred thousand matches in one text: all found at their places, in time that grows with their number."""
+    part = "mail a.b@c.de, "
+    rows = [(1, part * 100_000), (2, "x" * 1500 + " call +49 (30) 901820 " + "y" * 3000 + " card 4111 1111 1111 1111"), (3, "1.2.3.4 " * 300)]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 120
+    assert got[1].n_email == 100_000 and got[1].spans == ",".join(f"email:{len(part) * i + 5}:{len(part) * i + 13}" for i in range(100_000))
+    assert {"phone:1506:1521", "card:4528:4547"} == set(got[2].spans.split(",")) and got[2].n_phone == got[2].n_card == 1
+    assert got[3].spans == ",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(300))

@@ -11,6 +11,11 @@ accented letters of ``ACCENTED`` have codes of their own; all other letters shar
 that are left, by code point, so that any script is accepted, but scripts other than Latin are
 told apart only roughly.
 
+``floors`` tells how alike a text of some size must be to its language: texts are put in classes by
+the logarithm of their n-grams, and a class's floor is FLOOR of the middle score of the labelled
+texts in it.  Repeated syllables, keyboard noise and scripts that nothing was learnt from stay
+below.  Texts of fewer than LEAST n-grams have no floor, as a few letters tell too little.
+
 Edge cases: a null text or one without a letter is ``und`` with score 0; ties go to the
 language first in alphabetical order; with nothing to learn from, every document is ``und``;
 whole texts are read, whatever their length; repeated rows get equal results; an empty table
@@ -25,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +44,10 @@ N = 3
 CODES = 64
 #: Seed of the random letter vectors.
 SEED = 20240501
+#: Part of the middle score of its size that a text must have, and n-grams from which that holds.
+FLOOR, LEAST = 0.25, 64
+#: Steps between 0 and 1 to which scores are counted for the middle one.
+BINS = 1000
 #: Documents multiplied at once, and n-grams of a sum.
 ROWS = 64
 GRAMS = 8192
@@ -142,13 +151,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 
 def _scores(texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, whether it has letters, and its cosines with the prototypes."""
-    has = np.zeros(len(texts), bool)
+    """For each text, how many n-grams it has, and its cosines with the prototypes."""
+    has = np.zeros(len(texts), np.int64)
     cosines = np.zeros((len(texts), len(prototypes)))
     for first in range(0, len(texts), ROWS):
         part = [gram_codes(text) for text in texts[first : first + ROWS]]
         sizes = np.array([len(grams) for grams in part])
-        has[first : first + len(part)] = sizes > 0
+        has[first : first + len(part)] = sizes
         used, at = np.unique(np.concatenate(part), return_inverse=True)
         row = np.repeat(np.arange(len(part)), sizes)
         counts = np.bincount(row * len(used) + at, minlength=len(part) * len(used)).reshape(len(part), len(used)).astype(np.float32)
@@ -159,30 +168,63 @@ def _scores(texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray
     return has, cosines
 
 
-def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, with lang_pred and score."""
+def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """All columns of ``docs`` but the text, with lang_pred and score and, if named, the number of n-grams."""
     ship(docs.sparkSession)
     names = list(model)
-    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    own = ["lang_pred", "score", *([size_col] if size_col else [])]
+    kept = [c for c in docs.columns if c != text_col and c not in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prototypes = np.array([model[k] for k in names], np.float32).reshape(len(names), DIMENSIONS)
         if names:
             prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1), 1e-12)[:, None]
         for batch in batches:
-            lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+            lang, score, sizes = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             if names and batch.num_rows:
-                has, cosines = _scores(batch.column(len(kept)).to_pylist(), prototypes)
+                sizes, cosines = _scores(batch.column(len(kept)).to_pylist(), prototypes)
+                has = sizes > 0
                 best = cosines.argmax(axis=1)
                 lang[has] = np.array(names, object)[best[has]]
                 score[has] = np.clip(cosines[np.arange(len(best)), best], 0, 1)[has]
             columns = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"]
-            )
+            found = [pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *found[: len(own)]], names=[*kept, *own])
         give_back()
 
     fields = [docs.schema[c] for c in kept]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = [T.StructField(n, kind) for n, kind in zip(own, (T.StringType(), T.DoubleType(), T.LongType()), strict=False)]
+    schema = T.StructType([*fields, *found])
     return docs.select(*kept, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
+
+def size_class(size: Column) -> Column:
+    """The class of a number of n-grams: its binary logarithm."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+
+
+def floors(scored: DataFrame, score_col: str = "score", size_col: str = "size") -> dict[int, float]:
+    """The least score of each class of sizes, from scored texts of known language.
+
+    Scores are counted to BINS steps in Spark; the driver receives these counts of at most 64 classes.
+    """
+    step = F.floor(F.col(score_col) * BINS).cast("int")
+    rows = scored.where(F.col(size_col) >= LEAST).groupBy(size_class(F.col(size_col)).alias("k"), step.alias("step")).count().collect()
+    out = {}
+    for k in {r.k for r in rows}:
+        counts = sorted((r.step, r["count"]) for r in rows if r.k == k)
+        half, seen = sum(n for _, n in counts) / 2, 0
+        for at, n in counts:
+            seen += n
+            if seen >= half:
+                out[k] = FLOOR * at / BINS
+                break
+    return out
+
+
+def alike(least: dict[int, float], score: Column, size: Column) -> Column:
+    """Whether a score isn't below the floor of its size; sizes without a floor always pass."""
+    floor = F.lit(0.0)
+    for k, x in sorted(least.items()):
+        floor = F.when(size_class(size) == k, F.lit(x)).otherwise(floor)
+    return (size < LEAST) | (score >= floor)
