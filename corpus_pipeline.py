@@ -26,16 +26,22 @@ def _back(found: DataFrame, columns: list[str], names: set[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter in any (``und``) are rejected.
+    """Documents in one of the languages learnt: others, and texts like none of them, are rejected.
+
+    A document stays if it has a letter and its cosine with the predicted language isn't below the
+    floor that labelled documents of its size set.  A document without a language gets the predicted one.
 
     Null and empty texts go; repeated rows meet one decision; whole texts are read; without
     labelled rows every document is ``und``; an empty table stays empty; further columns of
     any name, those of the prediction included, are passed on as they came.
     """
-    own = {"lang_pred", "score"}
-    model = langid.fit(docs.where(F.col("lang").isNotNull()))
-    found = langid.predict(_aside(docs, own).withColumn("__x_text", F.col("text")), model, "__x_text")
-    return _back(found.where(F.col("lang_pred") != "und"), docs.columns, own)
+    own = {"lang_pred", "score", "size"}
+    labelled = docs.where(F.col("lang").isNotNull())
+    model = langid.fit(labelled)
+    least = langid.floors(langid.predict(labelled.select("text"), model, size_col="size"))
+    found = langid.predict(_aside(docs, own).withColumn("__x_text", F.col("text")), model, "__x_text", "size")
+    found = found.where((F.col("lang_pred") != "und") & langid.alike(least, F.col("score"), F.col("size")))
+    return _back(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns, own)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
