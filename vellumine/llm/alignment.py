@@ -18,10 +18,9 @@ The count of a pair of ids is how many documents hold it linked:
 
 A block's size bounds what a task holds besides one document; a hot pair has one row per block.
 
-Tokenizers are applied word by word, each distinct word once for as long as a worker remembers it,
-where that is known to give the same ids: for the first one where all characters lie below U+0250
-(the classes of its pattern are fixed there), for the second where no piece of the vocabulary goes
-on past a space and a probe of the file agrees.  Everything else is encoded in one call.
+Ids are those of the files' own libraries.  Where the merges of the first file stand in the order of
+its ids, as rank files have it, texts of characters below U+0250 (where the classes of the pattern
+are fixed) go through a quicker reader of rank files that is made from it.
 
 Edge cases: null and empty texts, and texts of which either tokenizer gives other bytes back than
 those of space and text (normalised, unknown or lone characters), have no tokens: all numbers are 0
@@ -33,12 +32,12 @@ of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,23 +46,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _runs, splitter
+from .bpe import _runs
 from .common import give_back, materialise, shared_root, ship
 
 #: Linked pairs of documents after which a block is closed.
 BLOCK_PAIRS = 1_000_000
-#: Words whose ids a worker remembers, for each tokenizer.
-REMEMBERED = 400_000
 #: Bits by which the id of the first tokenizer is shifted in the number of a pair.
 SHIFT = 32
 #: Bits of a word of a bitset.
 WORD = 64
 
 BEYOND = re.compile("[ɐ-\U0010ffff]")
-SPACED = re.compile("▁+[^▁]*")
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
-#: Texts on which a sentencepiece file must give the same ids by words as in whole.
-PROBES = ("a  b", " lead and trail ", "tab\tand\nline\n\n", "ﬁ ＡＢＣ é é 漢字 😀​", "<s> </s> <unk> <0x0A>", "x   y    z" * 20, "Zürich's 12,345.67 a" * 9)
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -74,25 +68,12 @@ def default_vocabularies() -> tuple[str, str]:
 
 
 class Tokens:
-    """A tokenizer with the bytes of its tokens, which remembers the ids of words."""
+    """The bytes of a tokenizer's tokens."""
 
     def __init__(self, tokens: list[bytes]) -> None:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens) or b"\0", np.uint8)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def by_words(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if new := list({w for w in words if w not in known}):
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, map(tuple, self.encode_all(new)), strict=True))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int64)
-
-    def encode_all(self, words: list[str]) -> list[list[int]]:
-        raise NotImplementedError
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bytes[_runs(self.starts[ids], self.sizes[ids])].tobytes()
@@ -115,13 +96,27 @@ class ByteLevel(Tokens):
         for token, i in vocabulary.items():
             tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         super().__init__(tokens)
+        self.quick = self._rank_reader(json.loads(self.own.to_str()), tokens)
 
-    def encode_all(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.own.encode_batch_fast(words, add_special_tokens=False)]
+    @staticmethod
+    def _rank_reader(file: dict, tokens: list[bytes]):
+        """A reader of rank files with the tokens in place of ranks; None where they aren't ranks or texts are changed or cut otherwise."""
+        import public_tokenizers
+        from tiktoken import Encoding
+
+        model, cut = file["model"], file["pre_tokenizer"] or {}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ordered = all(model["vocab"].get("".join(pair)) == 256 + k for k, pair in enumerate(pairs))
+        plain = file["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not model.get("ignore_merges")
+        if not (ordered and plain):
+            return None
+        return Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens[: 256 + len(pairs)])}, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> np.ndarray:
         text = f" {text}"
-        return np.array(self.encode_all([text])[0], np.int64) if BEYOND.search(text) else self.by_words(splitter()(text))
+        if self.quick is None or BEYOND.search(text):
+            return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        return np.array(self.quick(text), np.int64)
 
 
 class Pieces(Tokens):
@@ -132,24 +127,10 @@ class Pieces(Tokens):
 
         self.own = SentencePieceProcessor(model_file=path)
         pieces = [self.own.id_to_piece(i) for i in range(self.own.get_piece_size())]
-        tokens = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) and self.own.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        super().__init__(tokens)
-        self.space = self.own.piece_to_id("▁")
-        self.parted = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.parted = self.parted and all(self.ids(t).tolist() == self.own.encode(t) for t in PROBES)
-        self.known.clear()
-
-    def encode_all(self, words: list[str]) -> list[list[int]]:
-        # a word begins with the space that the tokenizer adds itself; alone it would be taken for nothing
-        found = self.own.encode([w[1:].replace("▁", " ") for w in words], num_threads=1)
-        return [[self.space] if w == "▁" else ids for w, ids in zip(words, found, strict=True)]
+        super().__init__([bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) and self.own.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.parted or "▁" in text:
-            return np.array(self.own.encode(text), np.int64)
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return self.by_words(SPACED.findall("▁" + text.replace(" ", "▁")))
-        return self.by_words(["▁" + w for w in text.split(" ")])
+        return np.array(self.own.encode(text), np.int64)
 
 
 @lru_cache(maxsize=2)
