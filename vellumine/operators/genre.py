@@ -45,6 +45,17 @@ def genre_scores(articles: DataFrame, rules: Rules = RULES) -> DataFrame:
     return articles.select("id", F.explode(F.filter(F.array(*rows), lambda r: r["score"] > 0)).alias("r")).select("id", "r.*")
 
 
+def best_genre(title: Column, text: Column, source: Column, rules: Rules = RULES, default: str = DEFAULT) -> Column:
+    """The best genre of an article, in its row: no shuffle."""
+    title, text, source = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, text, source))
+    rows = [
+        F.struct((-(WEIGHTS[0] * _hits(title, a) + WEIGHTS[1] * _hits(text, b) + WEIGHTS[2] * _hits(source, c))).alias("by"), F.lit(i).alias("rule"), F.lit(g).alias("genre"))
+        for i, (g, (a, b, c)) in enumerate(rules.items())
+    ]
+    best = F.array_min(F.array(*rows))
+    return F.when(best["by"] < 0, best["genre"]).otherwise(F.lit(default))
+
+
 def genre_top(articles: DataFrame, k: int = 3, rules: Rules = RULES, default: str = DEFAULT) -> DataFrame:
     """The k best genres of each article; those without a hit get the default."""
     ranked = genre_scores(articles, rules).withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), F.asc("rule"))))
