@@ -8,7 +8,8 @@ what several signals share is worked out once.  Nothing is shuffled.
 
 Spans are rows of (span_id, lang, text) with what only their article tells: candidate_type,
 document_genre, first_paragraph and last_paragraph (their places in the article; null if unknown),
-slot_position and slot_function (of slots whose place and function are set; else null).
+slot_position and slot_function (of slots whose place and function are set; else null).  Further
+columns are passed on by ``observed`` and ``signals``.
 
 Edge cases: a null or empty text has no sentence, counts 0 and the labels of that; languages without
 a pack have no markers; whole texts are read; repeated rows are worked out each.
@@ -25,8 +26,6 @@ from ..functions import text as T
 from . import profile, rules
 from .rules import first, reason, score
 
-#: What an article tells of a span.
-GIVEN = ("candidate_type", "document_genre", "first_paragraph", "last_paragraph", "slot_position", "slot_function")
 #: The windows and the groups whose strength in them is read: t the text, h and z the first and last sentence, a and e two of each.
 STRENGTHS = {
     "t": (
@@ -89,7 +88,8 @@ def observed(spans: DataFrame) -> DataFrame:
     """Spans with their profile and what stands in their windows: counts, strengths, objects."""
     c = F.col
     # what the article tells rides along as the identifier
-    packed = spans.select(F.struct("span_id", *GIVEN).alias("span_id"), "lang", "text")
+    given = [x for x in spans.columns if x not in ("span_id", "lang", "text")]
+    packed = spans.select(F.struct("span_id", *given).alias("span_id"), "lang", "text")
     out = profile.profile(packed).withColumn("sents", M.scan(T.sentences(c("body"), c("lang")), c("lang")))
     hits = lambda part: F.array_join(F.transform(part, lambda x: x["hits"]), "")
     sents, n = c("sents"), F.size("sents")
@@ -123,7 +123,7 @@ def observed(spans: DataFrame) -> DataFrame:
             "head_anchor": _anchor("c_head", "k_head"), "tail_object": _anchor("c_tail", "k_tail"), "object_scope_stability": _scope("c_body", "k_body"), "head_size": F.length("head"),
         }
     )
-    return out.withColumns({g: c(f"span_id.{g}") for g in GIVEN}).withColumn("span_id", c("span_id.span_id"))
+    return out.withColumns({g: c(f"span_id.{g}") for g in given}).withColumn("span_id", c("span_id.span_id"))
 
 
 _REFERENCE = "r_{0} * 0.18e0 + CASE WHEN r_{0} > 0 THEN 0.22e0 ELSE 0e0 END"
@@ -314,8 +314,12 @@ LABELS = (
 ).split()
 
 
+def signals(spans: DataFrame) -> DataFrame:
+    """Spans with all signals under their names, for rule sets to read."""
+    out = rules.apply(observed(spans), LAYERS)
+    return out.withColumns({name: F.round(F.col(column) + 1e-9, 4) for name, column in NAMED.items()})
+
+
 def neutral_signals(spans: DataFrame) -> DataFrame:
     """span_id, lang and all signals but those of units in an order; see ``order_signals``."""
-    out = rules.apply(observed(spans), LAYERS)
-    named = [F.round(F.col(column) + 1e-9, 4).alias(name) for name, column in NAMED.items()]
-    return out.select("span_id", "lang", *LABELS, *NUMBERS, *named)
+    return signals(spans).select("span_id", "lang", *LABELS, *NUMBERS, *NAMED)

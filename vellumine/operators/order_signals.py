@@ -141,7 +141,7 @@ def unit_signals(rows: DataFrame) -> DataFrame:
 
 def signals(spans: DataFrame) -> DataFrame:
     """All columns of ``neutral`` and of this module, for rule sets to read."""
-    rows = rules.apply(neutral.observed(spans), neutral.LAYERS)
+    rows = neutral.signals(spans)
     return rules.apply(unit_signals(with_units(rows)), LAYERS)
 
 

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import markers as M
-from ..operators import genre, neutral
+from ..operators import genre, neutral, scoring
 from ..operators import order_signals as orders
 from .catalogue import GENRES, PROFILE, SENTS, WORDS, _sql_genres, query, t
 
-KINDS = ("whole_passage", "functional_slot_unit", "insertion_context_unit", "sentence_block_group", "ordered_unit_group")
+KINDS = scoring.CANDIDATE_TYPES
 SLOTS = (*neutral.SLOTS, ("opening", "bridge"), ("", ""))
 
 
@@ -25,11 +25,11 @@ def given_spans(spark, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source")
     turn = F.floor(F.col("doc_id") / 5)
     slot = F.get(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(f).alias("f")) for p, f in SLOTS)), (turn % len(SLOTS)).cast("int"))
-    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 5).cast("int"))
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS)).cast("int"))
     docs = docs.withColumns({"candidate_type": kind, "first_paragraph": turn % 4, "document_genre": genre.best_genre(F.substring("text", 1, 60), F.col("text"), F.col("source"), GENRES, "general")})
     is_slot = F.col("candidate_type") == "functional_slot_unit"
     return docs.select(
-        F.col("doc_id").alias("span_id"), "lang", "text", "candidate_type", "document_genre", "first_paragraph", (F.col("first_paragraph") + 1).alias("last_paragraph"),
+        F.col("doc_id").alias("span_id"), "lang", "text", F.col("source").alias("article_id"), "candidate_type", "document_genre", "first_paragraph", (F.col("first_paragraph") + 1).alias("last_paragraph"),
         F.when(is_slot, slot["p"]).alias("slot_position"), F.when(is_slot, slot["f"]).alias("slot_function"),
     )
 
@@ -86,11 +86,12 @@ def _anchor(name: str) -> str:
 
 
 DEMAND = neutral.DEMAND.replace("(?=", "(?:")
-KIND_SQL = f"[{', '.join(repr(k) for k in KINDS)}][(span_id % 5 + 1)::INT]"
+KIND_SQL = f"[{', '.join(repr(k) for k in KINDS)}][(span_id % {len(KINDS)} + 1)::INT]"
 SLOT_SQL = "[" + ", ".join(f"{{'p': '{p}', 'f': '{f}'}}" for p, f in SLOTS) + f"][((span_id // 5) % {len(SLOTS)} + 1)::INT]"
 GIVEN = f"""{PROFILE}, gs AS (SELECT id AS span_id, genre FROM ({_sql_genres()}) WHERE rank = 1),
-    gv AS (SELECT *, {KIND_SQL} AS candidate_type, (span_id // 5) % 4 AS first_paragraph, (span_id // 5) % 4 + 1 AS last_paragraph,
-        CASE WHEN span_id % 5 = 1 THEN {SLOT_SQL}.p END AS slot_position, CASE WHEN span_id % 5 = 1 THEN {SLOT_SQL}.f END AS slot_function, {SENTS} AS ss FROM pr JOIN gs USING (span_id))"""
+    kd AS (SELECT *, {KIND_SQL} AS candidate_type FROM pr),
+    gv AS (SELECT *, (span_id // 5) % 4 AS first_paragraph, (span_id // 5) % 4 + 1 AS last_paragraph,
+        CASE WHEN candidate_type = 'functional_slot_unit' THEN {SLOT_SQL}.p END AS slot_position, CASE WHEN candidate_type = 'functional_slot_unit' THEN {SLOT_SQL}.f END AS slot_function, {SENTS} AS ss FROM kd JOIN gs USING (span_id))"""
 _REF = "least(1::DOUBLE, r{0} * 0.18::DOUBLE + CASE WHEN r{0} > 0 THEN 0.22::DOUBLE ELSE 0 END)"
 
 
@@ -190,9 +191,20 @@ NAMED_SQL = {
     "tail_extension_signal": "z_tail_extension", "connector_signal_strength": "t_connector", "necessary_condition_strength": "t_necessary", "countermeasure_signal_strength": "t_countermeasure", "object_match_strength": "core_object_anchor_strength",
     "topic_consistency_strength": "object_scope_stability", "tail_settlement_strength": "closing_signal_strength",
 }
-NEUTRAL_SQL = f"WITH {OBSERVED}, {FIRST}, {SECOND}, {THIRD} SELECT span_id, lang, " + ", ".join(
-    [*("ss AS global_main_claim" if x == "global_main_claim" else x for x in neutral.LABELS), *neutral.NUMBERS, *(f"round({b} + 1e-9::DOUBLE, 4) AS {a}" for a, b in NAMED_SQL.items())]
-) + " FROM f5"
+_SIGNALS_SQL = f"WITH {OBSERVED}, {FIRST}, {SECOND}, {THIRD}"
+_NAMED = ", ".join(f"round({b} + 1e-9::DOUBLE, 4) AS {a}" for a, b in NAMED_SQL.items())
+NEUTRAL_SQL = f"{_SIGNALS_SQL} SELECT span_id, lang, " + ", ".join([*("ss AS global_main_claim" if x == "global_main_claim" else x for x in neutral.LABELS), *neutral.NUMBERS, _NAMED]) + " FROM f5"
+
+
+def text_candidates(spark, sf_dir: str) -> DataFrame:
+    """Documents as candidates for rule sets: id, article_id (their source), sizes and all signals of their texts."""
+    out = neutral.signals(given_spans(spark, sf_dir))
+    sizes = {"id": F.col("span_id"), "n_paragraphs": F.col("p"), "own_paragraphs": F.col("p"), "n_sentences": F.col("s"), "n_chars": F.col("n")}
+    return out.withColumns(sizes)
+
+
+#: The same candidates in SQL.
+TEXT_CANDIDATES = f"({_SIGNALS_SQL} SELECT span_id AS id, source AS article_id, candidate_type, p AS n_paragraphs, p AS own_paragraphs, s AS n_sentences, n AS n_chars, {', '.join(neutral.NUMBERS)}, {_NAMED} FROM f5 JOIN (SELECT doc_id AS span_id, source FROM documents) USING (span_id))"
 _SHOWN = ("global_main_claim", "tail_anchor")
 
 

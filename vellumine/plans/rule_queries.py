@@ -1,6 +1,7 @@
 """Queries over the rule sets of ``operators.scoring``, with their SQL.
 
-Candidates are orders.  Their signals are uniform numbers in [0, 1] drawn from hashes of the
+Main ideas and whole passages are scored by the signals of documents' texts.  The candidates of other
+queries are orders.  Their signals are uniform numbers in [0, 1] drawn from hashes of the
 order's key, so that every rule meets values on both sides of its thresholds; counts, flags
 and kinds are drawn from signals too.  A rule set is data that both engines evaluate, and tests
 hold the rule sets against plain Python besides.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import ranking, rules, scoring
 from ..operators.rules import Layer
 from .catalogue import ORACLES, QUERIES, query, t
+from .neutral_queries import TEXT_CANDIDATES, text_candidates
 
 #: Signals that one MD5 hash gives.
 PER_HASH = 8
@@ -77,10 +79,16 @@ def ruled(name: str, doc: str, signals: Sequence[str], inputs: Layer, layers: Se
 KIND = {"candidate_type": pick("u0", scoring.CANDIDATE_TYPES)}
 SIZES = {"n_paragraphs": count("u1", 26, 1), "own_paragraphs": count("u2", 5, 1), "n_sentences": count("u3", 14, 1), "n_chars": count("u4", 1800, 20)}
 
-ruled(
-    "main_idea_scoring", "Eligibility, task score, recommendation and difficulty of main-idea candidates.", scoring.MAIN_SIGNALS, {**KIND, **SIZES}, [*scoring.ELIGIBILITY, *scoring.MAIN_TASK],
-    ["candidate_type", "eligibility", "mi_center", "mi_closure", "mi_lift", "mi_example", "main_idea_readiness", "main_idea_final", "main_idea_recommended", "main_idea_needs_review", "main_idea_band", "main_idea_note"],
-)
+_MAIN_OUT = ["candidate_type", "eligibility", "mi_center", "mi_closure", "mi_lift", "mi_example", "main_idea_readiness", "main_idea_final", "main_idea_recommended", "main_idea_needs_review", "main_idea_band", "main_idea_note"]
+_MAIN_LAYERS = [*scoring.ELIGIBILITY, *scoring.MAIN_TASK]
+
+
+@query(f"SELECT id, {', '.join(_MAIN_OUT)} FROM {sql_layers(TEXT_CANDIDATES, _MAIN_LAYERS)}")
+def main_idea_scoring(spark, sf_dir):
+    """Eligibility, task score, recommendation and difficulty of main-idea candidates, from the signals of their texts."""
+    return rules.apply(text_candidates(spark, sf_dir), _MAIN_LAYERS).select("id", *_MAIN_OUT)
+
+
 ruled(
     "fill_scoring", "Task score, recommendation and difficulty of slots to fill.", scoring.FILL_SIGNALS,
     {
@@ -213,35 +221,26 @@ ruled(
     [{"flags": scoring.FLAGS}], ["flags"],
 )
 
-_WHOLE_INPUTS = {"candidate_type": pick("u0", ("whole_passage", "closed_span", "ordered_unit_group")), "own_paragraphs": count("u1", 5, 1), "n_chars": count("u2", 1000, 100), "n_paragraphs": count("u3", 4, 1), "article_chars": count("u4", 980, 100)}
-_WHOLE_DRAWN = [*scoring.WHOLE_SIGNALS, *(f"u{i}" for i in range(5))]
-_EASED = {
-    "context_dependency": "context_dependency / 4", "closure_score": "0.6 + closure_score / 2", "single_center_strength": "0.7 + single_center_strength / 3", "branch_focus_strength": "branch_focus_strength / 2",
-    "parallel_strength": "parallel_strength / 2",
-}
-_FOCUS = "max(CASE WHEN candidate_type <> 'whole_passage' AND centre >= 0.95 THEN 1 ELSE 0 END) OVER (PARTITION BY article_id) = 1"
-_WHOLE_LAYERS = [_WHOLE_INPUTS, {"centre": "single_center_strength"}, {"focused": _FOCUS}]
-
-
-def _whole_passage() -> str:
-    text = scoring.WHOLE_PASSAGE
-    for name, eased in _EASED.items():
-        text = text.replace(name, f"({eased})")
-    return text
+_WHOLE_LAYERS = [{"centre": "single_center_strength", "parallel_strength": "parallel_enumeration_strength", "article_chars": "n_chars"}]
+#: From which strength of its centre on a candidate is focused.
+_FOCUSED = 0.78
 
 
 @query(
-    f"SELECT id, article_id, focused, {_whole_passage()} AS gate FROM {sql_layers(sql_signals('(SELECT o_orderkey AS id, o_custkey AS article_id FROM orders)', _WHOLE_DRAWN), _WHOLE_LAYERS)} WHERE candidate_type = 'whole_passage'"
+    f"SELECT id, article_id, focused, {scoring.WHOLE_PASSAGE} AS gate FROM (SELECT *, max(CASE WHEN candidate_type <> 'whole_passage' AND centre >= {_FOCUSED} THEN 1 ELSE 0 END) OVER (PARTITION BY article_id) = 1 AS focused "
+    f"FROM {sql_layers(TEXT_CANDIDATES, _WHOLE_LAYERS)}) WHERE candidate_type = 'whole_passage'"
 )
 def whole_passage_gate(spark, sf_dir):
     """Whole passages must be narrow, closed and focused; an article's focused candidates raise the bar.
 
     Whether an article has any is a grouped maximum that is joined back, so no article is gathered.
     """
-    c = candidates(spark, sf_dir, _WHOLE_DRAWN, _WHOLE_LAYERS[:2])
-    focus = c.where("candidate_type <> 'whole_passage' and centre >= 0.95").select("article_id").distinct().withColumn("focused", F.lit(True))
+    c = rules.apply(text_candidates(spark, sf_dir), _WHOLE_LAYERS)
+    kept = [x for x in ("id", "article_id", "candidate_type", "centre", *scoring.WHOLE_SIGNALS, "own_paragraphs", "n_paragraphs", "n_sentences", "n_chars", "article_chars")]
+    c = c.select(*dict.fromkeys(kept))
+    focus = c.where(f"candidate_type <> 'whole_passage' and centre >= {_FOCUSED}").select("article_id").distinct().withColumn("focused", F.lit(True))
     whole = c.where("candidate_type = 'whole_passage'").join(focus, "article_id", "left").withColumn("focused", F.coalesce("focused", F.lit(False)))
-    return whole.select("id", "article_id", "focused", F.expr(_whole_passage()).alias("gate"))
+    return whole.select("id", "article_id", "focused", F.expr(scoring.WHOLE_PASSAGE).alias("gate"))
 
 
 ruled(
