@@ -43,11 +43,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _runs
-from .common import give_back, materialise, shared_root, ship
+from .common import give_back, materialise, send_file, shared_root, ship
 
 #: Linked pairs of documents after which a block is closed.
 BLOCK_PAIRS = 1_000_000
@@ -304,12 +304,6 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _send(spark: SparkSession, path: str) -> str:
-    """Hand a vocabulary file to all executors; the name by which they find it."""
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
-
-
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """Every linked pair of ids with the number of its documents and whether no pair with its first id has more."""
     pairs = blocks.select(F.explode(F.arrays_zip("pairs", "docs")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.docs").alias("count"))
@@ -322,7 +316,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     """One row per document: sizes, groups, links, links of the highest count, sum of counts, digest of the groups."""
     spark = docs.sparkSession
     ship(spark)
-    files = tuple(_send(spark, path) for path in vocabularies or default_vocabularies())
+    files = tuple(send_file(spark, path) for path in vocabularies or default_vocabularies())
     root = shared_root(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = materialise(rows.mapInArrow(_blocks(files, block_pairs), BLOCK), f"{root}/blocks")

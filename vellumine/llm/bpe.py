@@ -34,13 +34,14 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, partitions, ship
+from .common import give_back, partitions, send_file, ship
 
 #: Pre-tokens after which a block of documents is closed.
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 3_000_000
 #: Buckets of words for each shuffle partition; several, so that partitions come out even.
 BUCKETS_PER_PARTITION = 4
 
@@ -279,11 +280,11 @@ def _spread(buckets: int):
     return run
 
 
-def _encode(path: str):
+def _encode(name: str):
     """Each distinct word of a partition is encoded once; all blocks that sent it share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(path)
+        ranks = _ranks(SparkFiles.get(name))
         known: dict[bytes, list[int]] = {}
         now = None
         for batch in batches:  # rows come sorted by bucket
@@ -309,11 +310,11 @@ def _encode(path: str):
     return run
 
 
-def _assemble(path: str, with_ids: bool):
+def _assemble(name: str, with_ids: bool):
     """Blocks with their answers to one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        table = token_bytes(SparkFiles.get(name))
         text_of = [str(i) for i in range(len(table.sizes))]
         for batch in batches:
             for ids, sizes, positions, answers in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -354,7 +355,7 @@ def encode_decode(
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, token_ids."""
     spark = docs.sparkSession
     ship(spark)
-    path = vocabulary or default_vocabulary()
+    path = send_file(spark, vocabulary or default_vocabulary())
     pairs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
     answers = (

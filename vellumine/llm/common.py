@@ -46,6 +46,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def send_file(spark: SparkSession, path: str) -> str:
+    """Hand a file of the driver to all executors; the name by which ``SparkFiles.get`` finds it there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def shared_root(spark: SparkSession) -> str:
     """A fresh folder inside the shared checkpoint folder of the session.
 
