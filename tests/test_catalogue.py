@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from vellumine.plans import catalogue, label_queries, neutral_queries, rule_queries, search_queries  # noqa: F401  they register queries
+from vellumine.plans import catalogue, label_queries, neutral_queries, rule_queries, search_queries, text_queries  # noqa: F401  they register queries
 
 DATA = "/root/testdata/sf0.001"
 

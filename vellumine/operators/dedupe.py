@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +30,45 @@ def normal(text: str) -> str:
 
 
 def longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring."""
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        above = 0
-        for j, y in enumerate(b, 1):
-            above, row[j] = row[j], above + 1 if x == y else 0
-            best = max(best, row[j])
-    return best
+    """Length of the longest common substring.
+
+    Texts have a common substring of some length if they have one of any smaller length, so the
+    length is found by halving; parts are compared by rolling hashes, and equal hashes by their text.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    least, most = 0, len(a)
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in (a, b))
+    while least < most:
+        size = (least + most + 1) // 2
+        if _share(a, b, x, y, size):
+            least = size
+        else:
+            most = size - 1
+    return least
+
+
+def _hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every part of ``size`` characters: sums over parts of doubling length, put together."""
+    out, own, done, width = np.zeros(len(points) - size + 1, np.uint64), points * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1), 0, 1
+    with np.errstate(over="ignore"):
+        while done < size:
+            if size & width:
+                out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + own[done : done + len(out)]
+                done += width
+            width *= 2
+            half = width // 2
+            if width <= size:
+                own = (own[: len(own) - half] ^ (own[: len(own) - half] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + own[half:]
+    return out
+
+
+def _share(a: str, b: str, x: np.ndarray, y: np.ndarray, size: int) -> bool:
+    """Whether two texts have a part of that length in common."""
+    one, two = _hashes(x, size), _hashes(y, size)
+    places = dict(zip(one[::-1].tolist(), range(len(one) - 1, -1, -1), strict=True))
+    met = np.flatnonzero(np.isin(two, one)).tolist()
+    return any(a[i : i + size] == b[j : j + size] for j in met for i in (places[int(two[j])],))
 
 
 def grams(text: str) -> frozenset[str]:
