@@ -98,11 +98,14 @@ def readable_texts(spark, sf_dir):
     return d.select("doc_id", F.md5(readable.readable("text")).alias("readable_md5"))
 
 
-@query()
+@query(
+    """SELECT conv_id, turn, '{"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '}' AS object FROM conversations"""
+)
 def salvaged_objects(spark, sf_dir):
-    """The first decodable object needs a JSON decoder; a test holds the function against known cases."""
-    d = t(spark, sf_dir, "conversations").select("conv_id", "turn", readable.salvaged(F.concat(F.lit("Sure: ```json\n"), F.to_json(F.struct("role", "turn")), F.lit("\n``` done"))).alias("object"))
-    return d
+    """The object that stands fenced between two copies of a turn's text and repeats it."""
+    fields = F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"})
+    said = F.coalesce(F.col("text"), F.lit(""))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", readable.salvaged(F.concat(said, F.lit("\n```json\n"), fields, F.lit("\n``` {"), said)).alias("object"))
 
 
 @query(
