@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
-from difflib import SequenceMatcher
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
+from .walk import walked
 
 #: Terms of one search, at most.
 MAX_TERMS = 12
@@ -112,42 +110,18 @@ def diverse_queue(candidates: DataFrame, top_k: int, family_cap: int, card_cap:
     """The first ``top_k`` of candidates (score, id, article_id, family, card) by score, then id, under caps; filled up without caps.
 
     A family and a card may appear so often; an article that is in already is passed over once its family has half of
-    its places.  Candidates are gone through in their order, ``window`` of them at a time, and only until the queue is full:
-    the driver holds a window and the queue.
+    its places; a missing family or card has no cap.  See ``walk.walked`` for how candidates are gone through.
     """
-    spark = candidates.sparkSession
-    ordered, by = candidates.select("score", "id", "article_id", "family", "card"), [F.desc("score"), F.asc("id")]
-    picked: dict = {}
-    families, cards, seen, last = Counter(), Counter(), set(), None
-
-    def chunks():
-        nonlocal last
-        while True:
-            rest = ordered if last is None else ordered.where((F.col("score") < last[0]) | ((F.col("score") == last[0]) & (F.col("id") > last[1])))
-            rows = rest.orderBy(*by).limit(window).collect()
-            yield from rows
-            if len(rows) < window:
-                return
-            last = (rows[-1]["score"], rows[-1]["id"])
-
-    for r in chunks() if top_k > 0 else ():
-        if families[r["family"]] >= family_cap or (r["card"] and cards[r["card"]] >= card_cap):
-            continue
-        if r["article_id"] in seen and families[r["family"]] >= max(1, family_cap // 2):
-            continue
-        picked[r["id"]] = len(picked) + 1
-        families[r["family"]] += 1
-        cards[r["card"]] += 1 if r["card"] else 0
-        seen.add(r["article_id"])
-        if len(picked) == top_k:
-            break
-    if len(picked) < top_k:  # at most top_k more rows are needed beyond those picked
-        for r in ordered.orderBy(*by).limit(top_k + len(picked)).collect():
-            if len(picked) < top_k and r["id"] not in picked:
-                picked[r["id"]] = len(picked) + 1
-    places = spark.createDataFrame(list(picked.items()), f"id {dict(candidates.dtypes)['id']}, place int")
+    half = max(1, family_cap // 2)
+
+    def admits(counts: list[Counter], row: dict, phase: int) -> bool:
+        return phase == 1 or not (counts[0][row["article_id"]] and counts[1][row["family"]] >= half)
+
+    slim = candidates.select(F.lit(0).alias("__x_all"), F.col("id").alias("candidate_id"), F.col("score").cast("double").alias("score"), "article_id", "family", "card")
+    quotas = [(None, family_cap, card_cap), (None, None, None)]
+    places = walked(slim, "__x_all", ["article_id", "family", "card"], quotas, top_k, window, admits)
     # at most top_k rows
-    return candidates.join(F.broadcast(places), "id")
+    return candidates.join(F.broadcast(places.select(F.col("candidate_id").alias("id"), F.col("place").cast("int").alias("place"))), "id")
 
 
 def demote(materials: DataFrame, new_ids: DataFrame) -> DataFrame:
@@ -170,94 +144,24 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9A-Za-z\\x{4e00}-\\x{9fff}]+", ""), 1, 500)
 
 
-def _alike(a: str, b: str) -> bool:
-    """Whether two fingerprints are equal, or long and alike by 0.92."""
-    if a == b:
-        return True
-    if len(a) < 80 or len(b) < 80:
-        return False
-    m = SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() >= 0.92 and m.quick_ratio() >= 0.92 and m.ratio() >= 0.92
-
-
 def diverse(items: DataFrame, key: str, limit: int, window: int = 64) -> DataFrame:
     """Greedy selection per query under quotas of article, source and card.
 
     Items (key, candidate_id, article_id, source, score; card and text if there are any) are
     taken by score, ties by identifier, in three phases of widening quotas and one without any;
     a missing article, source or card has no quota, and a text near to a selected one (or
-    without letters and digits) is passed over.
-
-    All items take part.  Quotas only close within a phase, so what a phase has passed over it
-    needn't look at again: the driver gets the ``window`` best items of each key that the quotas
-    still admit, goes through them, and asks for the next ones.  So it holds ``window`` items of
-    each key, whatever the number of items, and asks again when a window is used up.
+    without letters and digits) is passed over.  All items take part; see ``walk.walked``.
     """
-    spark = items.sparkSession
-    quotas = [(1, max(1, limit // 3), max(1, limit // 4)), (2, max(2, limit // 2), max(2, limit // 3)), (3, limit, limit), None]
-    types = dict(items.dtypes)
-    groups = ["article_id", "source", *(["card"] if "card" in types else [])]
-    with_text = "text" in types
+    # Quotas of article, source and card by phase.
+    quotas = [(1, max(1, limit // 3), max(1, limit // 4)), (2, max(2, limit // 2), max(2, limit // 3)), (3, limit, limit), (None, None, None)]
+    groups = ["article_id", "source", *(["card"] if "card" in items.columns else [])]
+    with_text = "text" in items.columns
     slim = items.select(key, "candidate_id", *groups, F.col("score").cast("double").alias("score"), *([fingerprint(F.col("text")).alias("print")] if with_text else []))
     slim = slim.where(F.col("candidate_id").isNotNull() & (F.col("candidate_id").cast("string") != ""))
     if with_text:
         slim = slim.where("print <> ''")
-    slim = slim.persist(StorageLevel.DISK_ONLY)
-    shape = [f"__x_key {types[key]}", f"__x_ids array<{types['candidate_id']}>", "__x_fresh boolean", "__x_score double", f"__x_last {types['candidate_id']}"]
-    shape += [f"__x_{g} array<{types[g]}>" for g in groups]
-    same_key = F.col(key).eqNullSafe(F.col("__x_key"))
-    order = [F.desc_nulls_last("score"), F.asc("candidate_id")]
-    after = (F.col("score") < F.col("__x_score")) | (F.col("score").isNull() & F.col("__x_score").isNotNull())
-    after = after | (F.col("score").eqNullSafe(F.col("__x_score")) & (F.col("candidate_id") > F.col("__x_last")))
-    state: dict = {}
-    for r in slim.select(key).distinct().collect() if limit > 0 else []:
-        state[r[0]] = {"picked": [], "prints": [], "counts": [Counter() for _ in groups], "phase": 0, "last": None}
-
-    def full(own: dict) -> list[list]:
-        quota = quotas[own["phase"]]
-        return [[] if quota is None else [v for v, n in c.items() if n >= most] for c, most in zip(own["counts"], quota or groups, strict=False)]
-
-    active = dict(state)
-    while active:
-        rows = [(k, [r["candidate_id"] for r in s["picked"]], s["last"] is None, *(s["last"] or (None, None)), *full(s)) for k, s in active.items()]
-        # one row for each key
-        asked = slim.join(F.broadcast(spark.createDataFrame(rows, ", ".join(shape))), same_key)
-        free = (F.col("__x_fresh") | after) & ~F.array_contains("__x_ids", F.col("candidate_id"))
-        for g in groups:
-            free = free & (F.col(g).isNull() | (F.col(g).cast("string") == "") | ~F.array_contains(f"__x_{g}", F.col(g)))
-        best = top_k(asked.where(free).select(*slim.columns), [key], order, window)
-        seen: dict = {k: [] for k in active}
-        for r in best.orderBy("rank").collect():
-            seen[r[key]].append(r)
-        for k, own in list(active.items()):
-            for r in seen[k]:
-                own["last"] = (r["score"], r["candidate_id"])
-                quota = quotas[own["phase"]]
-                if any(r["candidate_id"] == x["candidate_id"] for x in own["picked"]):
-                    continue
-                if quota and any(c[r[g]] >= most for c, g, most in zip(own["counts"], groups, quota, strict=False)):
-                    continue
-                if with_text and any(_alike(r["print"], x) for x in own["prints"]):
-                    continue
-                own["picked"].append(r)
-                if with_text:
-                    own["prints"].append(r["print"])
-                for c, g in zip(own["counts"], groups, strict=True):
-                    if r[g] is not None and r[g] != "":
-                        c[r[g]] += 1
-                if len(own["picked"]) == limit:
-                    break
-            if len(own["picked"]) == limit:
-                del active[k]
-            elif len(seen[k]) < window:
-                own["phase"], own["last"] = own["phase"] + 1, None
-                if own["phase"] == len(quotas):
-                    del active[k]
-    out = [(k, r["candidate_id"], i) for k, own in state.items() for i, r in enumerate(own["picked"], 1)]
-    places = spark.createDataFrame(out, f"__x_key {types[key]}, __x_id {types['candidate_id']}, place long")
-    slim.unpersist()
-    # at most ``limit`` rows for each key
-    chosen = items.join(F.broadcast(places), same_key & (F.col("candidate_id") == F.col("__x_id"))).drop("__x_key", "__x_id")
+    places = walked(slim, key, groups, [q[: len(groups)] for q in quotas], limit, window).withColumnsRenamed({key: "__x_key", "candidate_id": "__x_id"})
+    chosen = items.join(places, F.col(key).eqNullSafe(F.col("__x_key")) & (F.col("candidate_id") == F.col("__x_id"))).drop("__x_key", "__x_id")
     # an identifier that is repeated holds one place
     return top_k(chosen, [key, "candidate_id"], [F.desc_nulls_last("score")], 1).drop("rank")
 
