@@ -166,6 +166,22 @@ def diverse(items: DataFrame, key: str, limit: int, window: int = 64) -> DataFra
     return top_k(chosen, [key, "candidate_id"], [F.desc_nulls_last("score")], 1).drop("rank")
 
 
+def reselected(base: DataFrame, more: DataFrame, key: str, limit: int, least: int) -> DataFrame:
+    """The selection of ``base``; queries for which it has fewer than ``least`` items select anew from both.
+
+    Items are as in ``diverse``; those of ``more`` whose identifier is in ``base`` are left out.
+    """
+    first = diverse(base, key, limit)
+    keys = base.select(key).unionByName(more.select(key)).distinct().withColumnRenamed(key, "__x_of")
+    same = F.col(key).eqNullSafe(F.col("__x_of"))
+    counted = first.select(F.col(key).alias("__x_of")).groupBy("__x_of").agg(F.count(F.lit(1)).alias("__x_n")).withColumnRenamed("__x_of", "__x_key")
+    keys = keys.join(counted, F.col("__x_of").eqNullSafe(F.col("__x_key")), "left")
+    short = keys.where(F.coalesce("__x_n", F.lit(0)) < least).select("__x_of")
+    fresh = more.join(base.select(F.col(key).alias("__x_of"), F.col("candidate_id").alias("__x_id")), same & (F.col("candidate_id") == F.col("__x_id")), "left_anti")
+    both = base.unionByName(fresh).join(short, same, "left_semi")
+    return first.join(short, same, "left_anti").unionByName(diverse(both, key, limit))
+
+
 # Patterns of the addresses of articles, and words of index pages and of titles that are none.
 DATED = r"/\d{4}[-/]\d{2}[-/]\d{2}/|\d{8}"
 CONTENT = r"/content[_/]|/c\.html?$|/c\d+-\d+\.html"

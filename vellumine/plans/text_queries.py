@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import promotion, refine
+from ..functions import questions
+from ..operators import pool, promotion, refine
 from .catalogue import articles, query, t
 
 
@@ -61,3 +62,41 @@ def promoted_materials(spark, sf_dir):
     """The gray materials that fill the pool up to its targets."""
     gray, stable = _pool(spark, sf_dir)
     return promotion.promoted(gray, stable, TYPES, TARGET, PER_TYPE, CAP, LEAST).withColumn("types", F.array_join("types", ","))
+
+
+_LINES = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_AT = "list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{}'))"
+_TRIM = r"nullif(regexp_replace({}, '^\s+|\s+$', '', 'g'), '')"
+
+
+def _option(letter: str) -> str:
+    last = f"list_max(list_filter(range(1, len(o) + 1), lambda k: starts_with(l[o[k]], '{letter}')))"
+    end = f"coalesce(o[{last} + 1], CASE WHEN m > o[{last}] THEN m END, len(l) + 1)"
+    own = f"list_concat([regexp_replace(l[o[{last}]], '{questions.OPTION}', '')], l[o[{last}] + 1:{end} - 1])"
+    return f"CASE WHEN {last} IS NULL THEN '' ELSE coalesce({_TRIM.format(f'''array_to_string(list_filter({own}, lambda x: x <> '' AND NOT regexp_matches(x, '{questions.ANALYSIS}')), chr(10))''')}, '') END"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {_LINES} AS l, regexp_extract(coalesce(text, ''), '{questions.ANSWER}', 0) AS said, nullif(regexp_extract(coalesce(text, ''), '{questions.ANSWER}', 1), '') AS answer FROM documents),
+    b AS (SELECT *, {_AT.format('^[A-D]')} AS o, ({_AT.format(questions.ANALYSIS)})[1] AS m, ({_AT.format(questions.STEM)})[1] AS s FROM a),
+    c AS (SELECT *, coalesce(s, o[1], 1) - 1 AS n_head, least(coalesce(m, o[len(o)] + 1), (list_filter(range(1, len(l) + 1), lambda i: said <> '' AND contains(l[i], said)))[1]) AS begins FROM b),
+    d AS (SELECT doc_id, {_TRIM.format(f"array_to_string(list_transform(l[1:n_head], lambda x, i: CASE WHEN i = 1 THEN regexp_replace(regexp_replace(x, '{questions.SECTION}', ''), '^{chr(92)}s+|{chr(92)}s+$', '', 'g') ELSE x END), chr(10))")} AS passage, l[s] AS stem,
+        {', '.join(f'{_option(x)} AS option_{x.lower()}' for x in questions.LETTERS)}, answer, CASE WHEN begins <= len(l) THEN {_TRIM.format('array_to_string(l[begins:], chr(10))')} END AS analysis FROM c)
+    SELECT doc_id, md5(passage) AS passage, md5(stem) AS stem, {', '.join(f'md5(option_{x.lower()}) AS option_{x.lower()}' for x in questions.LETTERS)}, answer, md5(analysis) AS analysis,
+        stem IS NOT NULL AND passage IS NOT NULL AND {' AND '.join(f"option_{x.lower()} <> ''" for x in questions.LETTERS)} AS complete FROM d"""
+)
+def parsed_questions(spark, sf_dir):
+    """Every document read as a question; texts are shown as digests."""
+    out = questions.parsed(t(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = ["passage", "stem", *(f"option_{x.lower()}" for x in questions.LETTERS), "analysis"]
+    return out.select("doc_id", "answer", "complete", *(F.md5(x).alias(x) for x in shown))
+
+
+@query()
+def reselected_items(spark, sf_dir):
+    """Labelled documents by language, filled up from those without a label where too few are selected; a test holds it against plain Python."""
+    items = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select(
+        F.concat_ws("-", "lang", F.col("source")).alias("query"), F.col("doc_id").alias("candidate_id"), F.floor(F.col("doc_id") / 4).alias("article_id"), "source", F.coalesce("n_chars", F.lit(0)).cast("double").alias("score"), "text", "quality"
+    )
+    base, more = items.where("quality = 1").drop("quality"), items.where("quality IS NULL").drop("quality")
+    return pool.reselected(base, more, "query", 6, 4).select("query", "candidate_id", "place")
