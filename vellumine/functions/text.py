@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CUT = "\x01"
+#: Numbers of an array whose sum is kept when sums are run up.
+RUN = 64
 # Marks and what they stand for.
 MARKS, PLAIN = "\u3000，。；：！？“”‘’", " ,.;:!?\"\"''"
 #: Sentence terminators by kind of language; ASCII full stops end no Chinese sentence.
@@ -131,6 +133,32 @@ def closeness(x: Column, pivot: float, spread: float) -> Column:
     return clip(1 - F.least(F.lit(1.0), F.abs(x - pivot) / spread))
 
 
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda acc, x: acc + x)
+
+
+def sums_before(sizes: Column, levels: int = 2) -> Column:
+    """For each number of an array, the sum of those before it.
+
+    Sums of runs of RUN numbers, summed up in the same way, leave less than RUN numbers to add for each
+    place, so the work grows with the array; a fold that appends would copy what it has at every step.
+    """
+    if levels == 0:
+        return F.transform(sizes, lambda x, i: _total(F.slice(sizes, 1, i)))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(sizes) - 1, F.lit(0)) / RUN).cast("int"))
+    runs = F.transform(starts, lambda k: _total(F.slice(sizes, k * RUN + 1, RUN)))
+    # arrays in lambdas are named, so that they are worked out once
+    return F.element_at(
+        F.transform(
+            F.array(runs),
+            lambda r: F.element_at(
+                F.transform(F.array(sums_before(r, levels - 1)), lambda heads: F.transform(sizes, lambda x, i: F.get(heads, F.floor(i / RUN).cast("int")) + _total(F.slice(sizes, i - i % RUN + 1, i % RUN)))), 1
+            ),
+        ),
+        1,
+    )
+
+
 def top_entries(scores: Column, k: int) -> Column:
     """The k largest positive entries of a map as structs, by value descending, then key."""
     held = F.filter(F.map_entries(scores), lambda e: e["value"] > 0)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Samples of a threshold that are shown.
+SAMPLES = 5
+
 
 def rate(test: Column, of: Column | None = None, places: int = 4) -> Column:
     """Share of rows; null over no rows."""
@@ -61,13 +65,20 @@ def penalty_diagnostics(penalties: DataFrame, least: int = 5) -> DataFrame:
 
 
 def threshold_diagnostics(failures: DataFrame) -> DataFrame:
-    """Per threshold: failures, mean gap, acceptance in spite of it, first five samples."""
-    return failures.groupBy("threshold_name").agg(
+    """Per threshold: failures, mean gap, acceptance in spite of it, first five samples.
+
+    Ranks are cut before they are shuffled, so only five samples of each threshold leave a task.
+    """
+    counted = failures.groupBy("threshold_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(F.col("threshold") - F.col("actual")), 4).alias("mean_gap"),
         rate(F.col("accepted")).alias("accepted_anyway"),
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_set("unit")), 1, 5), lambda x: x.cast("string")), ",").alias("samples"),
     )
+    place = F.dense_rank().over(W.partitionBy("threshold_name").orderBy("unit"))
+    first = failures.where("unit IS NOT NULL").select("threshold_name", "unit").withColumn("place", place).where(F.col("place") <= SAMPLES).groupBy("threshold_name", "unit").count()
+    shown = first.groupBy(F.col("threshold_name").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("unit")), lambda x: x.cast("string")), ",").alias("samples"))
+    joined = counted.join(shown, F.col("threshold_name").eqNullSafe(F.col("of")), "left")
+    return joined.select("threshold_name", "n", "mean_gap", "accepted_anyway", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def batch_status(items: DataFrame) -> DataFrame:
@@ -103,7 +114,6 @@ def preference_shift(ranks: DataFrame, weak_state: str = "weak") -> DataFrame:
     below some strong item at first and above it later; counted against the best strong item
     above it, by running maxima instead of a join of all pairs.
     """
-    from pyspark.sql import Window as W
 
     w = W.partitionBy("grp").orderBy("base_rank", "id").rowsBetween(W.unboundedPreceding, -1)
     worst = F.max(F.when(F.col("state") != weak_state, F.col("new_rank"))).over(w)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,15 +58,33 @@ def story_fragments(articles: DataFrame) -> DataFrame:
 
 
 def throttled(articles: DataFrame) -> DataFrame:
-    """All spans; of articles with up to 8 sentences or 1,200 characters only the first of each kind."""
-    spans = paragraph_windows(articles).unionByName(sentence_windows(articles)).unionByName(story_fragments(articles))
+    """All spans; of articles with up to 8 sentences or 1,200 characters only the first of each kind.
+
+    An article's spans of a kind stand in its row by size and start, so the first are a slice of them: nothing is shuffled.
+    """
+    cut = units(articles).withColumn("n_sents", F.size("sents"))
     short = (F.col("n_sents") <= 8) | (F.col("n_chars") <= 1200)
-    rank = F.row_number().over(W.partitionBy("article_id", "kind").orderBy("size", "start"))
-    limit = F.lit(0)
-    for kind, most in SHORT_LIMITS.items():
+
+    def spans(items: str, sizes: range, glue: str, kind: str, most: int | None = None):
+        n = F.size(items)
+        each = F.transform(
+            F.flatten(F.array(*(_starts(n, size) for size in sizes))),
+            lambda w: F.struct(
+                F.lit(kind).alias("kind"), (w["first"] - 1).alias("start"), w["size"].alias("size"), F.array_join(F.slice(items, w["first"], w["size"]), glue).alias("text")
+            ),
+        )
+        return each if most is None else F.slice(each, 1, most)
+
+    kinds = {
+        "paragraph": ("paras", range(1, 2), "\n\n", None), "paragraph_window": ("paras", range(2, 4), "\n\n", None), "sentence_group": ("sents", range(3, 7), "", None),
+        "story_fragment": ("paras", range(3, 4), "\n\n", 1),
+    }
+    parts = []
+    for kind, (items, sizes, glue, most) in kinds.items():
+        every = spans(items, sizes, glue, kind, most)
         fits = F.col("n_sents") >= 6 if kind == "story_fragment" else F.lit(True)
-        limit = F.when(F.col("kind") == kind, F.when(fits, most).otherwise(0)).otherwise(limit)
-    return spans.withColumn("rank", rank).where(~short | (F.col("rank") <= limit)).drop("rank")
+        parts.append(F.when(~short, every).when(fits, F.slice(every, 1, SHORT_LIMITS[kind])).otherwise(F.slice(every, 1, 0)))
+    return cut.select("article_id", "n_chars", "n_sents", F.explode(F.concat(*parts)).alias("x")).select("article_id", "n_chars", "n_sents", "x.*")
 
 
 def numbered_sentences(articles: DataFrame) -> DataFrame:
@@ -80,10 +97,8 @@ def paragraph_bounds(articles: DataFrame) -> DataFrame:
     body = T.clean(F.coalesce("text", F.lit("")))
     lang = F.col("lang")
     cut = articles.select("article_id", F.transform(T.paragraphs(body, lang), lambda p: F.size(T.sentences(p, lang))).alias("sizes"))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<first: int, last: int>>").alias("out"))
-    bounds = F.aggregate(
-        "sizes", start, lambda acc, n: F.struct((acc["n"] + n).alias("n"), F.array_append(acc["out"], F.struct(acc["n"].alias("first"), (acc["n"] + n - 1).alias("last"))).alias("out")), lambda acc: acc["out"]
-    )
+    cut = cut.withColumn("before", T.sums_before(F.col("sizes")))
+    bounds = F.zip_with("sizes", "before", lambda n, at: F.struct(at.alias("first"), (at + n - 1).alias("last")))
     return cut.select("article_id", F.posexplode(bounds).alias("paragraph", "b")).select("article_id", "paragraph", "b.first", "b.last").where("last >= first")
 
 
@@ -97,7 +112,7 @@ def rule_candidates(articles: DataFrame) -> DataFrame:
     """(article_id, kind, start, size, text) of candidates by rule, each text once in its kind: the first of equals stays.
 
     Whole passages that are short enough, windows of paragraphs within their bounds (those at the end may be shorter), and windows of
-    three sentences (two at the end of an article).  All spans of an article are built in its row and exploded once.
+    three sentences (two at the end of an article).  All spans of an article are built, and equal ones told, in its row; nothing is shuffled.
     """
     cut = units(articles)
     p, s = F.size("paras"), F.size("sents")
@@ -119,9 +134,11 @@ def rule_candidates(articles: DataFrame) -> DataFrame:
             spans = windows("paras", p, size, min(sizes) if kind == "multi_paragraph_unit" else 1, kind, "\n\n")
             parts.append(_within(spans, least, most))
     parts.append(windows("sents", s, CONTEXT, 2, "insertion_context_unit", ""))
-    rows = cut.select("article_id", F.explode(F.concat(*parts)).alias("x")).select("article_id", "x.*")
-    first = rows.groupBy("article_id", "kind", F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("start", "size", "text")).alias("x"))
-    return first.select("article_id", "kind", "x.start", "x.size", "x.text")
+    # equal texts of a kind stand side by side when sorted, the first of them in front
+    hashed = F.transform(F.concat(*parts), lambda x: F.struct(x["kind"].alias("kind"), F.sha2(x["text"], 256).alias("sha"), x["start"].alias("start"), x["size"].alias("size"), x["text"].alias("text")))
+    cut = cut.select("article_id", F.array_sort(hashed).alias("__x_all"))
+    new = F.filter("__x_all", lambda x, i: (i == 0) | (x["kind"] != F.get("__x_all", i - 1)["kind"]) | (x["sha"] != F.get("__x_all", i - 1)["sha"]))
+    return cut.select("article_id", F.explode(new).alias("x")).select("article_id", "x.kind", "x.start", "x.size", "x.text")
 
 
 def _within(spans, least: int, most: int | None):
