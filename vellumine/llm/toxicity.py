@@ -19,7 +19,7 @@ whose texts have label 1 about as often as all texts: within CHANCE standard dev
 this the thousands of terms of a long text add up to what no term means.
 
 Learning takes at most TRAIN_ROWS labelled texts, those with the smallest hashes of identifier and
-text; it runs in one task over their terms, which BINS and TRAIN_ROWS bound.  Everything else
+text, and rows equal in these and the label once; it runs in one task over their terms, which BINS and TRAIN_ROWS bound.  Everything else
 (terms of all texts, scores) is done where the rows are; the driver sees only the model, at most
 BINS rows of 1 + FACTORS numbers.
 
@@ -51,6 +51,8 @@ BINS = 1 << 20
 FACTORS = 8
 #: Most labelled texts that are learnt from.
 TRAIN_ROWS = 20_000
+#: How many times as many rows are looked at, so that not too few are left.
+SPARE = 1.3
 #: Texts, of those learnt from, that a term must stand in.
 MIN_TEXTS = 4
 #: Standard deviations by which the label must differ on the texts of a term.
@@ -209,8 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("label")).distinct()
     known = small_or_shuffled(materialise(known, f"{shared_root(spark)}/labels"))
     place = F.xxhash64("id", F.col("text"))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id").select(place.alias("place"), "label", "text")
-    found = chosen.mapInArrow(_term_rows, "place bigint, label int, terms array<int>")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id")
+    # the part of all hashes below which there are enough rows, so that no task meets more than a few times ``rows``
+    part = min(1.0, SPARE * rows / max(1, chosen.count()))
+    chosen = chosen.select(place.alias("place"), "label", "text").where(F.col("place") < F.lit(-(2.0**63) + part * 2.0**64))
+    found = chosen.mapInArrow(_term_rows, "place bigint, label int, terms array<int>").dropDuplicates(["place", "label"])
     model = found.orderBy("place", "label", "terms").limit(rows).coalesce(1).mapInArrow(_fit_rows, "bin int, weight double, vector array<double>")
     model = materialise(model, f"{shared_root(spark)}/model").toPandas().sort_values("bin")
     if not len(model):
