@@ -220,13 +220,13 @@ class Block:
         return name.hexdigest(), positions, words, of[order]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[Block]:
     split = splitter()
     block = Block()
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             block.add(key, split(text.as_py() or ""))
-            if len(block.at) >= BLOCK_TOKENS:
+            if len(block.at) >= tokens:
                 yield block
                 block = Block()
     if block.ids:
@@ -239,11 +239,11 @@ POSITIONS = "block string, ids array<bigint>, sizes array<int>, positions binary
 SENT = "bucket int, block string, places binary, words binary"
 
 
-def _positions(buckets: int):
+def _positions(buckets: int, tokens: int):
     """Documents to (block, ids, sizes, positions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
+        for block in _blocks(batches, tokens):
             name, positions, _, _ = block.close(buckets)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -258,11 +258,11 @@ def _positions(buckets: int):
     return run
 
 
-def _spread(buckets: int):
+def _spread(buckets: int, tokens: int):
     """Documents to (bucket, block, places, words): each distinct word of a block once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
+        for block in _blocks(batches, tokens):
             name, _, words, of = block.close(buckets)
             order = np.argsort(of, kind="stable")
             bounds = np.flatnonzero(np.diff(of[order], prepend=-1))
@@ -350,23 +350,26 @@ def _assemble(name: str, with_ids: bool):
 
 
 def encode_decode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = False, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, token_ids."""
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, token_ids.
+
+    ``block_tokens``: pre-tokens of a block; fewer take less memory in a task and send more words.
+    """
     spark = docs.sparkSession
     ship(spark)
     path = send_file(spark, vocabulary or default_vocabulary())
     pairs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
     answers = (
-        pairs.mapInArrow(_spread(buckets), SENT)
+        pairs.mapInArrow(_spread(buckets, block_tokens), SENT)
         .repartition(partitions(spark), "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_encode(path), "block string, places binary, sizes binary, found binary")
         .groupBy("block")
         .agg(F.collect_list(F.struct("places", "sizes", "found")).alias("answers"))
     )
-    cut = pairs.mapInArrow(_positions(buckets), POSITIONS)
+    cut = pairs.mapInArrow(_positions(buckets, block_tokens), POSITIONS)
     joined = cut.join(answers.hint("merge"), "block", "left").select("ids", "sizes", "positions", "answers")
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return joined.mapInArrow(_assemble(path, with_ids), schema)
