@@ -15,6 +15,10 @@ from vellumine.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from vellumine.llm.common import materialise, scratch, shared_root, table
 
 
+#: Pre-tokens of a block in the last stage: fewer than by default, as executors still hold memory of the stages before.
+BLOCK_TOKENS = 1_000_000
+
+
 def _aside(docs: DataFrame, names: set[str]) -> DataFrame:
     """``docs`` with the columns that an operator would replace out of its way."""
     return docs.withColumnsRenamed({c: f"__x_in_{c}" for c in docs.columns if c in names})
@@ -79,7 +83,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; repeated rows are encoded each; whole texts are encoded;
     an empty table gives an empty result; further columns are ignored.
     """
-    return bpe.encode_decode(docs, with_ids=True).select("doc_id", "n_tokens", "token_ids", "decoded_sha256")
+    return bpe.encode_decode(docs, with_ids=True, block_tokens=BLOCK_TOKENS).select("doc_id", "n_tokens", "token_ids", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
