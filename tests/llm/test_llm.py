@@ -358,6 +358,7 @@ def test_byte_bpe(spark, docs, none):
         for i, t, ids in ((i, t or "", encoding.encode_ordinary(t or "")) for i, t in [*DOCS, *odd])
     )
     assert collections.Counter(tuple(r) for r in bpe.encode_decode(source).collect()) == rows
+    assert collections.Counter(tuple(r) for r in bpe.encode_decode(source, block_tokens=40).collect()) == rows
     assert bpe.encode_decode(none).count() == 0
 
 

@@ -47,7 +47,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def send_file(spark: SparkSession, path: str) -> str:
-    """Hand a file of the driver to all executors; the name by which ``SparkFiles.get`` finds it there."""
+    """Hand a file of the driver to all executors; the name by which ``SparkFiles.get`` finds it there.
+
+    Files of one application must differ in name.
+    """
     spark.sparkContext.addFile(path)
     return os.path.basename(path)
 
