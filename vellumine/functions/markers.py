@@ -106,6 +106,33 @@ GROUPS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "after": (("后",), ("follow",)),
     "steps": (("首先", "其次", "再次", "最后", "第一步", "第二步", "第三步", "先", "再", "随后"), ("enumeration", "follow")),
     "timed": (("起初", "后来", "近年", "如今", "至今", "未来", "当年", "随后", "首先", "其次", "再次", "最后", "第一步", "第二步", "第三步", "先", "再"), ("timeline", "open_ending", "enumeration")),
+    # of slots to be filled
+    "slot_intro": (("当前", "如今", "近年来", "在此背景下", "面对", "随着", "放眼", "当下"), ("opening",)),
+    "slot_trouble": (("问题", "挑战", "困境", "矛盾", "痛点", "关键", "核心", "如何", "为何", "亟需", "必须"), ("problem", "question", "value")),
+    "slot_ask": (("如何", "为何", "怎么办", "关键在于", "这意味着", "这说明"), ("question",)),
+    "slot_raised": (("问题", "挑战", "困境", "矛盾", "痛点", "如何", "为何", "怎么办", "亟需"), ("problem", "question")),
+    "slot_modal": (("应当", "应该", "要", "需要", "必须", "建议"), ("unique", "value")),
+    "slot_policy": (("会议", "报告", "规划", "意见", "提出", "强调", "部署", "要求", "指出"), ("restate",)),
+    "slot_value": (("重要", "关键", "意义", "必须", "亟需", "值得"), ("value",)),
+    "slot_pressure": (("问题", "挑战", "困境", "矛盾", "痛点", "风险", "压力"), ("problem",)),
+    "slot_summary": (("总之", "可见", "由此可见", "因此"), ("summary",)),
+    "slot_tail": (("总之", "可见", "由此", "这启示我们", "这说明"), ("summary",)),
+    "slot_remedy": (
+        ("应该", "应当", "应", "需要", "要", "必须", "通过", "采取", "措施", "方式", "方法", "渠道", "途径", "才能")
+        + ("通过", "采取", "推动", "完善", "优化", "健全", "构建", "打造", "提供", "推出", "实施", "建立", "强化", "服务", "机制", "举措", "政策")
+        + ("应该", "必须", "值得", "重要", "关键", "意义", "警惕"),
+        ("method", "measure", "value"),
+    ),
+    "slot_reference": (("这", "这种", "这一", "这一点", "其", "该", "上述", "前述", "由此可见", "这说明"), ("reference",)),
+    "slot_weak_carry": (("而这", "这一过程", "这一变化", "由此", "在此基础上", "基于此", "相应地", "由此带来", "这使得", "这使"), ("context_start",)),
+    "slot_explaining": (("实际上", "具体来看", "从这个意义上说", "进一步说", "换言之", "也就是说", "这意味着"), ("middle",)),
+    "slot_onward": (("因此", "于是", "同时", "接下来", "进一步", "此外", "从而", "关键在于", "更重要的是", "这也意味着"), ("carry", "tail")),
+    "slot_new_layer": (("因此", "同时", "此外", "接下来", "更重要的是"), ("soft_start",)),
+    "slot_onward_start": (("同时", "因此", "于是", "接下来", "进一步"), ("soft_start", "follow")),
+    "slot_bridging": (("正因为如此", "与此同时", "这不仅", "不仅如此", "既", "又", "一方面", "另一方面", "同时也", "既要", "也要"), ("parallel",)),
+    "slot_listing": (("包括", "分别", "例如", "比如", "一是", "二是", "三是"), ("example",)),
+    "slot_decorative": (("值得关注", "不容忽视", "意义重大", "具有重要意义", "这很重要", "可见其重要性"), ()),
+    "slot_firm": (("因此", "由此", "应当", "应该", "需要"), ("summary", "unique")),
 }
 #: Our own markers of other languages, beside those of ``lexicon.PACKS``.
 MORE: dict[str, dict[str, tuple[str, ...]]] = {
@@ -186,6 +213,16 @@ def has(hits: Column, group: str) -> Column:
     return hits.rlike(rf"\|{_entries(group, 1)}\|")
 
 
+def kinds(hits: Column, group: str) -> Column:
+    """How many different markers of the group were found."""
+    out = F.lit(0)
+    for lang in L.PACKS:
+        for m in dict.fromkeys(markers(lang, group)):
+            held = [e for e in every_marker(lang) if _begins(lang, e, m)]
+            out = out + hits.rlike(rf"\|{lang}:(?:{'|'.join(map(re.escape, held))})\|").cast("int")
+    return out
+
+
 def starts(start: Column, group: str) -> Column:
     """Whether the text begins with a marker of the group; ``start``: what ``scan`` found at its beginning."""
     return start.rlike(f"^{_entries(group, 1)}$")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import questions
-from ..operators import pool, promotion, refine
+from ..operators import pool, promotion, refine, slots
 from .catalogue import articles, query, t
 
 
@@ -100,3 +100,16 @@ def reselected_items(spark, sf_dir):
     )
     base, more = items.where("quality = 1").drop("quality"), items.where("quality IS NULL").drop("quality")
     return pool.reselected(base, more, "query", 6, 4).select("query", "candidate_id", "place")
+
+
+@query()
+def slot_units(spark, sf_dir):
+    """The slots of every document that are worth a blank; a test holds them against plain Python."""
+    return slots.units(articles(spark, sf_dir)).withColumn("text", F.md5("text"))
+
+
+@query()
+def slot_gates(spark, sf_dir):
+    """Every sentence of the documents that may be a slot, with trace, role and reasons; a test holds them against plain Python."""
+    shown = ("article_id", "position", "paragraph", "sentence", *slots.NUMBERS, "role", "role_reason", "resolved", "resolved_reason", "function", "value_reason", "ready")
+    return slots.gates(articles(spark, sf_dir)).select(*shown)
