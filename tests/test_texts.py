@@ -1,12 +1,16 @@
 """Promotion against a plain walk, refinement against plain Python on texts, common substrings."""
 
 import random
+import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellumine.functions import lexicon as L
 from vellumine.functions import questions
+from vellumine.functions import text as T
 from vellumine.operators import dedupe, pool, promotion, refine
 
 TYPES = ("main_idea", "sentence_order", "sentence_fill", "continuation", "rare")
@@ -164,3 +168,39 @@ def test_reselection(spark):
         got.setdefault(r.q, []).append(r.candidate_id)
     plain = lambda rows, q: select_by_force([(i, a, s, None, x, t) for k, i, a, s, x, t in rows if k == q], 6)
     assert got == {"few": plain(base + more[:-1], "few"), "many": plain(base, "many"), "new": plain(more, "new")}
+
+
+def test_sequence_similarity(spark):
+    """Pairs around the threshold, in both orders, against difflib without bounds."""
+    rng = random.Random(3)
+    letters = "abcdefghij城市发展"
+    rows = [("", ""), ("", "x"), ("x", ""), (None, "x"), ("x", None), ("short", "short"), ("short", "shorx"), ("y" * 79, "y" * 80), ("ab" * 60, "ba" * 60)]
+    for _ in range(150):
+        a = "".join(rng.choices(letters, k=rng.randint(70, 400)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 12)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choices(letters, k=rng.randint(0, 2))
+        rows += [(a, "".join(b)), ("".join(b), a), (a, "".join(sorted(a)))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "id int, a string, b string")
+    got = {r.id: r.alike for r in dedupe.sequence_similarity(df).collect()}
+    want = {}
+    for i, (a, b) in enumerate(rows):
+        a, b = a or "", b or ""
+        want[i] = not a or a == b or (min(len(a), len(b)) >= 80 and SequenceMatcher(None, a, b).ratio() >= 0.92)
+    assert got == want and 50 < sum(want.values()) < len(rows) - 150
+
+
+def test_tokens_and_support(spark):
+    cases = [("城市A1发展，x的 答案 Mix-ed 2024", "发展的mix"), ("", "ab"), ("ab", ""), ("一", "一"), ("根据材料", "据材料"), ("a b cc CC cc", "CC dd")]
+
+    def tokens(x):
+        x, own = x.lower(), [c for c in x if "一" <= c <= "鿿"]
+        return ({w for w in re.findall("[a-z0-9]{2,}", x)} | {a + b for a, b in zip(own, own[1:])}) - set(T.STOP_PAIRS)
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "id int, a string, b string")
+    out = df.select("id", T.tokens(F.col("a")).alias("e"), T.tokens(F.col("b")).alias("c")).withColumn("s", T.support(F.col("e"), F.col("c")))
+    for r in out.collect():
+        e, c = map(tokens, cases[r.id])
+        assert set(r.e) == e and len(r.e) == len(e) and set(r.c) == c
+        assert tuple(r.s) == (len(e & c), len(c), round(len(e & c) / len(c), 4) if e and c else 0.0)

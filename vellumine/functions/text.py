@@ -10,6 +10,8 @@ CUT = "\x01"
 RUN = 64
 # Marks and what they stand for.
 MARKS, PLAIN = "\u3000，。；：！？“”‘’", " ,.;:!?\"\"''"
+# Pairs that say nothing of a text's matter.
+STOP_PAIRS = ("正确", "答案", "选项", "题目", "材料", "解析", "文段", "根据", "一项", "的是")
 #: Sentence terminators by kind of language; ASCII full stops end no Chinese sentence.
 TERMINATORS = {"zh": "。！？!?", "other": "。！？!?."}
 
@@ -46,6 +48,23 @@ def words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"[^\p{L}0-9]+"), lambda w: w != "")
 
 
+def tokens(x: Column) -> Column:
+    """The set of ASCII words of two letters or more and of pairs of Chinese characters, those that say nothing left out.
+
+    Characters between Chinese ones are skipped, so pairs run across them.
+    """
+    low = F.lower(x)
+    pairs = F.regexp_extract_all(F.regexp_replace(low, "[^一-鿿]+", ""), F.lit("(?=(..))"), F.lit(1))
+    return F.filter(F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0)), pairs)), lambda w: ~w.isin(*STOP_PAIRS))
+
+
+def support(evidence: Column, candidate: Column) -> Column:
+    """(n_shared, n_candidate, ratio) of two token sets: how much of the candidate stands in the evidence; ratio 0 where one is empty."""
+    shared = F.size(F.array_intersect(evidence, candidate))
+    ratio = F.when(F.size(candidate) > 0, F.round(shared / F.size(candidate) + 1e-9, 4)).otherwise(0.0)
+    return F.struct(shared.alias("n_shared"), F.size(candidate).alias("n_candidate"), ratio.alias("ratio"))
+
+
 def haystack(x: Column, lang: Column) -> Column:
     """The text in which markers are searched: as is for Chinese, else spaced words."""
     return F.when(lang == "zh", x).otherwise(F.concat(F.lit(" "), F.array_join(words(x), " "), F.lit(" ")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MARKS, PLAIN
+from .walk import LONG, NEAR, alike
 
 JACCARD, CONTAINED, SUBSTRING = 0.85, 0.8, 0.8
 #: Length in characters that a survivor should be near to.
@@ -141,3 +142,22 @@ def merge_spans(articles: DataFrame, target: int = TARGET_LENGTH) -> DataFrame:
 
     schema = "article_id bigint, span bigint, cluster bigint, size bigint, survivor boolean"
     return articles.select("article_id", "items", ranks.cast(f"array<{rank}>").alias("ranks")).mapInPandas(run, schema)
+
+
+def sequence_similarity(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b: fingerprints, ...) with ``alike``: whether a is empty, equal to b, or both are long and their matching blocks make up most of them.
+
+    Blocks are found from a's side, so a pair and its reverse can differ near the threshold.  The share of matching
+    characters is at most that of the shorter in both, and that of the characters they have in common in any order;
+    only pairs within the first bound leave the JVM, and only those within the second are matched.  Nulls count as empty.
+    """
+
+    def judged(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in frames:
+            yield pd.Series([x is not None and alike(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    a, b = F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))
+    n, m = F.length(a), F.length(b)
+    asked = (n >= LONG) & (m >= LONG) & (a != b) & (F.least(n, m) * 2 >= NEAR * (n + m))
+    near = F.pandas_udf(judged, "boolean")(F.when(asked, a), F.when(asked, b))
+    return pairs.withColumn("alike", (n == 0) | (a == b) | near)

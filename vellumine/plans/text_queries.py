@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import questions
-from ..operators import pool, promotion, refine, slots
+from ..functions import text as T
+from ..operators import dedupe, pool, promotion, refine, slots
 from .catalogue import articles, query, t
 
 
@@ -113,3 +115,41 @@ def slot_gates(spark, sf_dir):
     """Every sentence of the documents that may be a slot, with trace, role and reasons; a test holds them against plain Python."""
     shown = ("article_id", "position", "paragraph", "sentence", *slots.NUMBERS, "role", "role_reason", "resolved", "resolved_reason", "function", "value_reason", "ready")
     return slots.gates(articles(spark, sf_dir)).select(*shown)
+
+
+_TOKENS = """list_filter(list_distinct(list_concat(regexp_extract_all(lower({0}), '[a-z0-9]{{2,}}'), list_transform(range(1, length(regexp_replace({0}, '[^一-鿿]+', '', 'g'))),
+    lambda i: substring(regexp_replace({0}, '[^一-鿿]+', '', 'g'), i, 2)))), lambda w: w NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOP_PAIRS) + "))"
+
+
+@query(
+    rf"""WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS x FROM documents), b AS (SELECT *, string_split(x, chr(10))[-1] AS last FROM a),
+    c AS (SELECT doc_id, {_TOKENS.format("substring(x, 1, length(x) - length(last))")} AS e, {_TOKENS.format("last")} AS c FROM b), d AS (SELECT *, len(list_intersect(e, c)) AS n FROM c)
+    SELECT doc_id, n::INT AS n_shared, len(c)::INT AS n_candidate, CASE WHEN len(c) > 0 THEN round(n / len(c) + 1e-9::DOUBLE, 4) ELSE 0::DOUBLE END AS ratio FROM d"""
+)
+def closing_support(spark, sf_dir):
+    """How much of what a document's last line speaks of has been spoken of before."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", T.strip(F.coalesce("text", F.lit(""))).alias("x")).withColumn("last", F.substring_index("x", "\n", -1))
+    docs = docs.select("doc_id", T.tokens(F.substring("x", F.lit(1), F.length("x") - F.length("last"))).alias("e"), T.tokens(F.col("last")).alias("c"))
+    return docs.select("doc_id", T.support(F.col("e"), F.col("c")).alias("s")).select("doc_id", "s.*")
+
+
+#: Characters that fingerprints begin with alike, to be neighbours.
+HEAD = 16
+#: Fingerprints of a head that are sorted together, about; of heads with more, each is compared with the next one of its part.
+BLOCK = 20_000
+
+
+@query()
+def similar_neighbours(spark, sf_dir):
+    """Different fingerprints of documents, each with the next one that begins alike, compared from both sides; a test holds the comparison against difflib."""
+    prints = t(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.coalesce("text", F.lit(""))).alias("a"))
+    prints = prints.groupBy("a").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+    prints = prints.withColumn("head", F.substring("a", 1, HEAD))
+    # only heads of more than a block are split, so that no window holds much more than that
+    large = prints.groupBy("head").count().where(F.col("count") > BLOCK).select("head", F.ceil(F.col("count") / BLOCK).alias("parts"))
+    prints = prints.join(large, "head", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))))
+    follows = Window.partitionBy("head", "part").orderBy("a")
+    pairs = prints.withColumns({"b": F.lead("a").over(follows), "next_id": F.lead("doc_id").over(follows)}).where("next_id IS NOT NULL")
+    there = dedupe.sequence_similarity(pairs)
+    back = dedupe.sequence_similarity(there.select("doc_id", "next_id", "n_copies", F.col("alike").alias("forth"), F.col("b").alias("a"), F.col("a").alias("b")))
+    return back.select("doc_id", "next_id", "n_copies", "forth", F.col("alike").alias("back"))
