@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import time
@@ -565,6 +566,28 @@ def test_mixing_against_plain_python(spark):
     assert np.allclose(p[inside] @ u, 1 - rate[inside], atol=1e-3) and (1 - p[~inside] @ u <= 1e-3).all()
 
 
+def test_mixing_writes_the_sample_in_few_files(spark):
+    """Tables of the bounded sample don't grow with the session's partitions; what is fitted stays the same."""
+    rows = [(i, f"the house is green w{i}" + " idiot" * (i % 6 == 0) + " bad***" * (i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 6 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    expected = mixing.fit_classifier(docs, known, shared_root(spark))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in held}
+    home = shared_root(spark)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        model = mixing.fit_classifier(docs, known, home)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("sample", "rest"):
+        files = list(pathlib.Path(home.removeprefix("file://"), name).glob("part-*"))
+        assert 1 < len(files) <= 16, (name, len(files))
+    assert model == expected and any(model.table)
+
+
 def test_resampling_meets_targets(spark):
     random.seed(5)
     rows = []

@@ -50,7 +50,9 @@ TRAITS = ("low", "toxic")
 TARGETS = {"high": 0.84, "low": 0.11, "toxic": 0.05}
 #: Labelled documents that are used, at most; half to fit, half to set the temperature.
 TRAIN_ROWS = 10_000
-#: Features of the classifier at most, and places of the array they stand in.
+#: Partitions of the sample at most.
+SAMPLE_PARTS = 16
+#: Features of the classifier at most, and places of the array they stand in, a power of two.
 MAX_FEATURES = 4096
 PLACES = 1 << 15
 #: Least likelihood ratio statistic of a feature, and largest log odds and their steps per unit.
@@ -86,8 +88,12 @@ def _word_hash(w: Column) -> Column:
     return F.xxhash64(F.lower(F.rtrim(w, F.lit(".,;:"))))
 
 
-def _ending_hash(w: Column) -> Column:
-    return F.xxhash64(F.lit("ending"), F.substring(w, -2, 2))
+def _ending(w: Column) -> Column:
+    return F.substring(w, -2, 2)
+
+
+def _ending_hash(ending: Column) -> Column:
+    return F.xxhash64(F.lit("ending"), ending)
 
 
 def _constants(values: tuple[int, ...]) -> Column:
@@ -102,12 +108,17 @@ def _packed(h: int, odds: Sequence[int]) -> int:
 
 
 def found_features(words: Column, model: Model) -> Column:
-    """The model's features that a document has, each once."""
-    hashes = F.concat(F.transform(words, _word_hash), F.transform(words, _ending_hash))
+    """The model's features that a document has, each once; ``words`` may be its distinct ones."""
     table = _constants(model.table)
-    at_places = F.transform(hashes, lambda h: F.get(table, F.pmod(h, F.lit(PLACES)).cast("int")))
-    hits = F.zip_with(hashes, at_places, lambda h, t: F.when(F.shiftright(h.bitwiseXOR(t), 16) == 0, t))
-    return F.array_distinct(F.filter(hits, lambda t: t.isNotNull()))
+
+    def hit(h: Column) -> Column:
+        t = F.get(table, h.bitwiseAND(F.lit(PLACES - 1)).cast("int"))
+        return F.when(F.shiftright(h.bitwiseXOR(t), 16) == 0, t)
+
+    # an expression is worked out wherever it stands, so each hash is made in one array and looked up in the next
+    endings = F.array_distinct(F.transform(words, _ending))
+    hits = (F.transform(F.transform(x, of), hit) for x, of in ((words, _word_hash), (endings, _ending_hash)))
+    return F.array_distinct(F.concat(*(F.filter(x, lambda t: t.isNotNull()) for x in hits)))
 
 
 def _evidence(features: Column) -> Column:
@@ -158,11 +169,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, home: str, rows: int = TR
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.struct("lot", *TRAITS, words_of(F.col("text")).alias("words")).alias("x")
     )
     sample = sample.groupBy("sha").agg(F.min("x").alias("x")).select(*(f"x.{t}" for t in TRAITS), (F.pmod("x.lot", F.lit(2)) == 0).alias("fits"), "x.words")
-    sample = materialise(sample, f"{home}/sample")
+    # bounded like its rows, not by the partitions of the session: each file that is written costs a task and its folders
+    sample = materialise(sample.coalesce(SAMPLE_PARTS), f"{home}/sample")
     fits = sample.where("fits")
     sizes = fits.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(t).alias(t) for t in TRAITS)).first()
     n = sizes["n"]
-    hashes = F.array_distinct(F.concat(F.transform("words", _word_hash), F.transform("words", _ending_hash)))
+    hashes = F.array_distinct(F.concat(F.transform("words", _word_hash), F.transform("words", lambda w: _ending_hash(_ending(w)))))
     counts = fits.select(*TRAITS, F.explode(hashes).alias("h")).groupBy("h").agg(
         F.count(F.lit(1)).cast("double").alias("all"), *(F.count_if(t).cast("double").alias(t) for t in TRAITS)
     )
@@ -183,7 +195,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, home: str, rows: int = TR
     model = Model(tuple(places), prior, (1.0,) * len(TRAITS))
     # the temperatures and shifts of least log loss on the half that wasn't fitted on
     rest = sample.where("not fits").select(*TRAITS, _evidence(found_features(F.col("words"), model)).alias("z"))
-    rest = materialise(rest, f"{home}/rest")
+    rest = materialise(rest.coalesce(SAMPLE_PARTS), f"{home}/rest")
     cases = F.array(*(F.struct(F.lit(k).alias("k"), F.col(t).alias("has"), _of_trait(F.col("z"), k).alias("z"), F.lit(prior[k]).alias("prior")) for k, t in enumerate(TRAITS)))
     grid = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(shift).alias("shift")) for x in TEMPERATURES for shift in SHIFTS))
     tried = rest.select(F.explode(cases).alias("c"), grid.alias("g")).select("c", F.explode("g").alias("g"))
@@ -200,7 +212,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, home: str, rows: int = TR
 def with_posteriors(docs: DataFrame, model: Model, text_col: str = "text", passed: Sequence[str] = ()) -> DataFrame:
     """n_tokens and p_<domain> of every row, with the columns ``passed`` of ``docs``."""
     scored = docs.select(*passed, words_of(F.col(text_col)).alias("__x_words"))
-    scored = scored.select(*passed, F.size("__x_words").cast("bigint").alias("n_tokens"), _evidence(found_features(F.col("__x_words"), model)).alias("__x_z"))
+    scored = scored.select(*passed, F.size("__x_words").cast("bigint").alias("n_tokens"), F.array_distinct("__x_words").alias("__x_words"))
+    scored = scored.select(*passed, "n_tokens", _evidence(found_features(F.col("__x_words"), model)).alias("__x_z"))
     names = [f"p_{d}" for d in DOMAINS]
     return scored.select(*passed, "n_tokens", *(p.alias(n) for p, n in zip(_posteriors(F.col("__x_z"), model), names, strict=True)))
 
