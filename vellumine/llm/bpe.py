@@ -13,8 +13,9 @@
 
 Whole texts are encoded; nothing is cut.  Edge cases: null and empty texts have no ids and
 decode to no bytes; rows that repeat an identifier are encoded each; an empty table gives an
-empty result; other columns of the input are ignored.  Memory is bounded by the block size
-plus one document and by the distinct words of one bucket.
+empty result; other columns of the input are ignored.  Memory is bounded by one block, which
+closes by the number of its pre-tokens or the memory of its distinct words and is dropped
+before the next is filled, plus one document, and by the distinct words of one bucket.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ from .common import give_back, partitions, send_file, ship
 
 #: Pre-tokens after which a block of documents is closed.
 BLOCK_TOKENS = 3_000_000
+#: Bytes that the distinct words of a block take, after which it is closed too, and those of a word beside its letters.
+BLOCK_BYTES, WORD_BYTES = 64 << 20, 200
 #: Buckets of words for each shuffle partition; several, so that partitions come out even.
 BUCKETS_PER_PARTITION = 4
 
@@ -192,24 +197,28 @@ class Block:
         self.ids: list = []
         self.sizes: list[int] = []
         self.at = array("I")
+        self.bytes = 0
 
     def add(self, key, tokens: list[str]) -> None:
-        names = self.names
+        names, known = self.names, len(self.names)
         self.at.extend([names.setdefault(w, len(names)) for w in tokens])
+        self.bytes += sum(WORD_BYTES + sys.getsizeof(w) for w in islice(reversed(names), len(names) - known))
         self.ids.append(key)
         self.sizes.append(len(tokens))
 
     def close(self, buckets: int) -> tuple[str, np.ndarray, list[str], np.ndarray]:
-        """Name, positions, words by number and their buckets.
+        """Name, positions, words by number and their buckets; the block itself holds them no longer.
 
         Common words get small numbers, and words of one count stand by bucket and letters:
         that is how both the positions and the words pack well.
         """
         where = np.frombuffer(self.at, dtype=np.uint32)
         words = list(self.names)
+        self.names, self.at = {}, array("I")
         of = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
-        counts = np.bincount(where, minlength=len(words)).tolist()
-        order = np.array(sorted(range(len(words)), key=lambda i: (-counts[i], of[i], words[i])), np.int64)
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        # a stable sort: the letters decide where counts and buckets are equal
+        order = order[np.lexsort((of[order], -np.bincount(where, minlength=len(words))[order]))]
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
         positions = rank[where]
@@ -226,9 +235,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[Block]:
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             block.add(key, split(text.as_py() or ""))
-            if len(block.at) >= tokens:
+            if len(block.at) >= tokens or block.bytes >= BLOCK_BYTES:
                 yield block
                 block = Block()
+                give_back()
     if block.ids:
         yield block
     del block
@@ -244,7 +254,7 @@ def _positions(buckets: int, tokens: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, tokens):
-            name, positions, _, _ = block.close(buckets)
+            name, positions = block.close(buckets)[:2]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name], pa.string()),
@@ -254,6 +264,7 @@ def _positions(buckets: int, tokens: int):
                 ],
                 names=["block", "ids", "sizes", "positions"],
             )
+            del block, positions  # before the next block is filled
 
     return run
 
@@ -263,7 +274,7 @@ def _spread(buckets: int, tokens: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, tokens):
-            name, _, words, of = block.close(buckets)
+            name, words, of = itemgetter(0, 2, 3)(block.close(buckets))
             order = np.argsort(of, kind="stable")
             bounds = np.flatnonzero(np.diff(of[order], prepend=-1))
             parts = np.split(order, bounds[1:]) if len(order) else []
@@ -276,6 +287,7 @@ def _spread(buckets: int, tokens: int):
                 ],
                 names=["bucket", "block", "places", "words"],
             )
+            del block, words, of, order, bounds, parts  # before the next block is filled
 
     return run
 
