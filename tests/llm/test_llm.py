@@ -7,11 +7,13 @@ import pathlib
 import random
 import re
 import time
+import tracemalloc
 import weakref
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -319,6 +321,59 @@ def test_links_in_a_crowded_bucket(spark, monkeypatch):
     assert {k: v for k, v in got.items() if k in expected or k != v} == expected
 
 
+def test_chunks_take_little_memory(monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 200_000)
+    random.seed(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(random.choices(vocabulary, k=random.choice((3, 700, 1000)))) for _ in range(600)]
+    texts += [texts[0] + " " + texts[0], None, "...", texts[1]]
+    nodes = [i.to_bytes(2) for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(texts, pa.string())], names=["node", "text"])
+    tracemalloc.start()
+    chunks = list(near_dedup._chunks(4)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 85 * 200_000
+    got = {}
+    for row in (r for c in chunks for r in c.to_pylist()):
+        assert len(row["slices"]) > 1
+        hashes, counts = [], []
+        for x in row["slices"]:
+            own = np.cumsum(near_dedup._expand(x["hashes"]), dtype=np.uint64) + (np.uint64(x["bucket"]) << np.uint64(near_dedup.BITS - 4))
+            assert len(own) == x["size"]
+            hashes.append(own)
+            counts.append(near_dedup._expand(x["counts"]))
+        hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+        gaps, times, start, seen = near_dedup._expand(row["places"]), near_dedup._expand(row["times"]), 0, np.zeros(len(hashes), np.uint64)
+        for node, size in zip(row["nodes"], row["sizes"], strict=True):
+            at = np.cumsum(gaps[start : start + size]).astype(np.int64)
+            got[node] = (hashes[at].tolist(), times[start : start + size].tolist())
+            seen[at] += np.uint64(1)
+            start += size
+        assert start == len(gaps) == len(times) and np.array_equal(seen, counts)
+    made = {n: tuple(x.tolist() for x in near_dedup.shingles(t or "", {})) for n, t in zip(nodes, texts, strict=True)}
+    assert len(chunks) == 2 and got == {n: x for n, x in made.items() if x[0]}
+
+
+def test_packed_tables_are_not_compressed_again(spark, monkeypatch):
+    found, write = {}, near_dedup.materialise
+
+    def written(df, path, *args, **more):
+        out = write(df, path, *args, **more)
+        for file in pathlib.Path(path.removeprefix("file://")).glob("*.parquet"):
+            groups = (meta.row_group(i) for meta in [pq.read_metadata(file)] for i in range(meta.num_row_groups))
+            found.setdefault(path.rpartition("/")[2], set()).update(g.column(i).compression for g in groups for i in range(g.num_columns))
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", written)
+    random.seed(4)
+    texts = [" ".join(random.choices("abcdefghij", k=60)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(f"{t} z" for t in texts)])], "doc_id long, text string")
+    classes = {tuple(sorted((r.doc_id, r.class_id))) for r in near_dedup.near_classes(docs).collect()}
+    assert classes == {(i % 20, i) for i in range(40)}
+    assert found["chunks"] == found["vectors"] == {"UNCOMPRESSED"} and found["rows"] == {"SNAPPY"}
+
+
 def test_weighted_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     names = rng.integers(1, 2**62, 200).astype(np.uint64)

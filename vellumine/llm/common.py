@@ -108,9 +108,14 @@ def give_back() -> None:
         pass
 
 
-def materialise(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet to ``path`` and read it back: lineage is cut there."""
-    df.write.mode("overwrite").parquet(path)
+def materialise(df: DataFrame, path: str, packed: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to ``path`` and read it back: lineage is cut there.
+
+    packed: its large columns are compressed already, and Parquet leaves them as they are.  Else it would compress
+    whole pages of them once more, in buffers as large as the largest page, which executors keep outside the heap.
+    """
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", "none") if packed else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -85,8 +85,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _squeeze(values: np.ndarray) -> bytes:
     """Unsigned numbers as compressed byte planes."""
-    wide = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(wide.tobytes())
+    wide = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(wide.reshape(-1))
 
 
 def _expand(blob: bytes) -> np.ndarray:
@@ -139,9 +139,26 @@ def _chunks(bucket_bits: int):
     """Nodes with their texts to chunks."""
 
     def close(nodes: list[bytes], own: list[np.ndarray], times: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(own)
-        distinct, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        parts = np.split(place, np.cumsum([len(x) for x in own])[:-1])
+        """The row of a chunk; ``own`` and ``times`` are emptied, and each array goes as soon as the next is made of it."""
+        sizes, flat = [len(x) for x in own], np.concatenate(own)
+        own.clear()
+        each = _squeeze(np.concatenate(times))
+        times.clear()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.diff(flat, prepend=~flat[:1]) != 0
+        begin = np.flatnonzero(first)
+        distinct, counts = flat[begin], np.diff(begin, append=len(flat))
+        del flat, begin
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
+        del order, first
+        gaps = np.diff(place, prepend=np.uint32(0))
+        start = np.cumsum([0, *sizes[:-1]])
+        gaps[start] = place[start]  # each node counts from 0
+        del place
+        places = _squeeze(gaps)
+        del gaps
         of = (distinct >> np.uint64(BITS - bucket_bits)).astype(np.int64)
         bounds = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
         slices = [
@@ -156,9 +173,9 @@ def _chunks(bucket_bits: int):
         row = {
             "chunk": uuid.uuid4().hex,
             "nodes": nodes,
-            "sizes": [len(x) for x in own],
-            "places": _squeeze(np.concatenate([_gaps(x) for x in parts])),
-            "times": _squeeze(np.concatenate(times)),
+            "sizes": sizes,
+            "places": places,
+            "times": each,
             "slices": slices,
         }
         return pa.RecordBatch.from_pylist([row], schema=CHUNK_TYPES)
@@ -172,11 +189,14 @@ def _chunks(bucket_bits: int):
                     continue
                 nodes.append(node.as_py())
                 own.append(hashes)
-                times.append(each)
+                times.append(each.astype(np.uint32))
                 total += len(hashes)
                 if total >= CHUNK_SHINGLES:
+                    known = {}
                     yield close(nodes, own, times)
-                    nodes, own, times, total, known = [], [], [], 0, {}
+                    nodes, total = [], 0
+                    give_back()
+        known = {}
         if nodes:
             yield close(nodes, own, times)
         del nodes, own, times, known
@@ -537,7 +557,7 @@ def near_classes(
     hashes = (stats["chars"] or 0) // 6
     buckets = max(4 * partitions(spark), hashes // BUCKET_HASHES + 1)
     bits = max(1, (buckets - 1).bit_length())
-    chunks = materialise(nodes.mapInArrow(_chunks(bits), CHUNKS), f"{home}/chunks")
+    chunks = materialise(nodes.mapInArrow(_chunks(bits), CHUNKS), f"{home}/chunks", packed=True)
     asked = chunks.select("chunk", F.explode("slices").alias("s")).select("s.bucket", "chunk", "s.size", "s.hashes", "s.counts")
     answers = (
         asked.repartition(partitions(spark), "bucket")
@@ -547,7 +567,7 @@ def near_classes(
         .agg(F.collect_list(F.struct("bucket", "size", "places", "names", "counts")).alias("answers"))
     )
     joined = chunks.drop("slices").hint("merge").join(answers, "chunk").select("nodes", "sizes", "places", "times", "answers")
-    vectors = materialise(joined.mapInArrow(_vectors(count, threshold, bits, bands, rows, idf_power), VECTORS), f"{home}/vectors")
+    vectors = materialise(joined.mapInArrow(_vectors(count, threshold, bits, bands, rows, idf_power), VECTORS), f"{home}/vectors", packed=True)
     remove(spark, f"{home}/chunks")
     roots = links(vectors, home, threshold)
     for part in ("vectors", *PARTS):
