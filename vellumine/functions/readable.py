@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Mapping
 from html import unescape
 
 import pandas as pd
@@ -104,9 +105,12 @@ def salvaged(texts: pd.Series) -> pd.Series:
     return texts.map(salvaged_object)
 
 
-def issues(text: Column) -> Column:
-    """The readability flags of a text, in order; none for an empty one."""
+def issues(text: Column, flags: Mapping[str, str] = FLAGS, traced: Column | None = None) -> Column:
+    """The readability flags of a text, in order; none for one that is null, empty or made of spaces of any kind.
+
+    ``traced``: where traces of the wrong table are looked for; everywhere, if it isn't given.
+    """
     text = F.coalesce(text, F.lit(""))
-    traced = F.regexp_count(text, F.lit("|".join(SUSPICIOUS))) >= MANY_TRACES
-    given = [F.when(text.rlike(pattern), name) for name, pattern in FLAGS.items()]
-    return F.filter(F.array(*given, F.when(traced, "mojibake_text")), lambda flag: flag.isNotNull() & (F.trim(text) != ""))
+    many = F.regexp_count(text, F.lit("|".join(SUSPICIOUS))) >= MANY_TRACES
+    given = [F.when(text.rlike(pattern), name) for name, pattern in flags.items()]
+    return F.filter(F.array(*given, F.when(many if traced is None else traced & many, "mojibake_text")), lambda flag: flag.isNotNull() & text.rlike(r"[^\p{Zs}]"))
