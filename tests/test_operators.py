@@ -4,12 +4,15 @@ import random
 import re
 from collections import Counter, deque
 from difflib import SequenceMatcher
+from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellumine.functions import lexicon as L
 from vellumine.functions import text as T
 from vellumine.operators import dedupe, feedback, pool, profile, review, segment
+from vellumine.plans import catalogue
 from vellumine.streaming import state
 
 
@@ -58,6 +61,46 @@ def test_clusters_chain():
         assert dedupe.longest_common(a, b) == max(map(len, table), default=0)
 
 
+def _near(a, b):
+    """By definition: equal, alike in 3-grams, or with a common substring of most of the shorter."""
+    x, y = ({t} if len(t) <= 3 else {t[i : i + 3] for i in range(len(t) - 2)} for t in (a, b))
+    shorter = min(len(a), len(b))
+    return a != "" != b and (len(x & y) >= dedupe.JACCARD * len(x | y) or dedupe.longest_common(a, b) >= dedupe.SUBSTRING * shorter)
+
+
+@pytest.mark.parametrize("few", [1, 10**9])
+def test_clusters_against_all_pairs(monkeypatch, few):
+    """By the index and without it, on spans that are edited copies, from few characters and from many."""
+    monkeypatch.setattr(dedupe, "FEW", few)
+    rng, merged = random.Random(3), 0
+    for _ in range(60):
+        alphabet = rng.choice(["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz字数。， "])
+        pool = ["".join(rng.choices(alphabet, k=rng.choice([0, 1, 2, 3, 4, 5, 6, 9, 20, 80, 200]))) for _ in range(6)]
+        spans = []
+        for x in rng.choices(pool, k=25):
+            at, gone = rng.randint(0, len(x)), rng.choice([0, 1, 3, len(x) // 5])
+            spans.append(x[:at] + "".join(rng.choices(alphabet, k=rng.choice([0, 1, 4]))) + x[at + gone :])
+        plain, of = [dedupe.normal(x) for x in spans], list(range(25))
+        for i, j in combinations(range(25), 2):
+            if of[i] != of[j] and _near(plain[i], plain[j]):
+                of = [min(of[i], of[j]) if c in (of[i], of[j]) else c for c in of]
+        assert dedupe.clusters(spans) == of
+        merged += sum(i != c for i, c in enumerate(of))
+    assert merged > 300
+
+
+def test_long_articles_are_not_compared_pair_by_pair(monkeypatch):
+    rng, asked, near = random.Random(4), [], dedupe.near
+    monkeypatch.setattr(dedupe, "near", lambda *pair: asked.append(1) or near(*pair))
+    spans = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(600)]
+    assert dedupe.clusters(spans + [spans[0][:-1]]) == [*range(600), 0]
+    assert len(asked) < 6000  # of 180,300 pairs
+
+
+def test_articles_of_one_file_are_dealt_out(spark):
+    assert "Exchange hashpartitioning(article_id" in catalogue.near_duplicate_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_limiter_ignores_denied_hits(spark):
     rows = [(i, k, float(at)) for i, (k, at) in enumerate([("a", 0), ("a", 1), ("a", 2), ("a", 50), ("a", 61), ("b", 5)])]
     got = {r.event_id: r.allowed for r in state.rate_limit(spark.createDataFrame(rows, "event_id long, key string, at double"), 60.0, 2).collect()}

@@ -487,7 +487,8 @@ def diverse_selection(spark, sf_dir):
 
 @query()
 def near_duplicate_spans(spark, sf_dir):
-    cut = segment.units(articles(spark, sf_dir))
+    # a table may come in one piece; without a number of partitions Spark sizes them itself
+    cut = segment.units(articles(spark, sf_dir).repartition("article_id"))
     return dedupe.merge_spans(cut.select("article_id", F.col("paras").alias("items")))
 
 
