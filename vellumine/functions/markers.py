@@ -206,11 +206,11 @@ def count(hits: Column, group: str) -> Column:
     while entries := _entries(group, least):
         out = out + F.regexp_count(hits, F.lit(rf"\|{entries}(?=\|)"))
         least += 1
-    return out
+    return F.when(hits == "", 0).otherwise(out)
 
 
 def has(hits: Column, group: str) -> Column:
-    return hits.rlike(rf"\|{_entries(group, 1)}\|")
+    return (hits != "") & hits.rlike(rf"\|{_entries(group, 1)}\|")
 
 
 def kinds(hits: Column, group: str) -> Column:
@@ -220,12 +220,12 @@ def kinds(hits: Column, group: str) -> Column:
         for m in dict.fromkeys(markers(lang, group)):
             held = [e for e in every_marker(lang) if _begins(lang, e, m)]
             out = out + hits.rlike(rf"\|{lang}:(?:{'|'.join(map(re.escape, held))})\|").cast("int")
-    return out
+    return F.when(~has(hits, group), 0).otherwise(out)
 
 
 def starts(start: Column, group: str) -> Column:
     """Whether the text begins with a marker of the group; ``start``: what ``scan`` found at its beginning."""
-    return start.rlike(f"^{_entries(group, 1)}$")
+    return (start != "") & start.rlike(f"^{_entries(group, 1)}$")
 
 
 def _present(hits: Column, lang: str, group: str) -> Column:
@@ -240,32 +240,38 @@ def _present(hits: Column, lang: str, group: str) -> Column:
 SCANNED = "array<struct<text: string, hits: string, start: string, benefits: array<string>>>"
 
 
-def scan(texts: Column, lang: Column) -> Column:
-    """For each of the texts: itself, what was found, what stands at its beginning, and its benefits."""
+def scan(texts: Column, lang: Column, results: bool = True) -> Column:
+    """For each of the texts: itself, what was found, what stands at its beginning, and its benefits (none without ``results``)."""
+    empty = F.array().cast("array<string>")
 
     def of(name: str) -> Column:
         words, spaced = trie(frozenset(every_marker(name))), name not in L.UNSPACED
         pattern, first = (rf"(?<= )(?=({words}) )", rf"^ ({words})(?= )") if spaced else (f"(?=({words}))", f"^({words})")
 
+        # a step for each thing that is read twice, so that it is worked out once
+        def hay(x: Column) -> Column:
+            return F.struct(x.alias("text"), (F.concat(F.lit(" "), F.array_join(T.words(x), " "), F.lit(" ")) if spaced else x).alias("hay"))
+
+        def read(x: Column) -> Column:
+            found = F.array_join(F.regexp_extract_all(x["hay"], F.lit(pattern), F.lit(1)), f"|{name}:")
+            return F.struct(x["text"].alias("text"), found.alias("found"), F.regexp_extract(x["hay"], first, 1).alias("start"))
+
         def one(x: Column) -> Column:
-            hay = F.concat(F.lit(" "), F.array_join(T.words(x), " "), F.lit(" ")) if spaced else x
-            found = F.array_join(F.regexp_extract_all(hay, F.lit(pattern), F.lit(1)), f"|{name}:")
-            start = F.regexp_extract(hay, first, 1)
             return F.struct(
-                x.alias("text"),
-                F.when(found == "", "").otherwise(F.concat(F.lit(f"|{name}:"), found, F.lit("|"))).alias("hits"),
-                F.when(start == "", "").otherwise(F.concat(F.lit(f"{name}:"), start)).alias("start"),
+                x["text"].alias("text"),
+                F.when(x["found"] == "", "").otherwise(F.concat(F.lit(f"|{name}:"), x["found"], F.lit("|"))).alias("hits"),
+                F.when(x["start"] == "", "").otherwise(F.concat(F.lit(f"{name}:"), x["start"])).alias("start"),
             )
 
         def benefits(x: Column) -> Column:
             """At most two markers that tell of a result."""
             own, nouns = _present(x["hits"], name, "benefit"), _present(x["hits"], name, "benefit_noun")
             taken = F.when(has(x["hits"], "benefit"), F.slice(own, 1, 2)).when(has(x["hits"], "benefit_noun") & has(x["hits"], "benefit_degree"), F.slice(nouns, 1, 2))
-            return F.struct(x["text"].alias("text"), x["hits"].alias("hits"), x["start"].alias("start"), F.coalesce(taken, F.array().cast("array<string>")).alias("benefits"))
+            return F.struct(x["text"].alias("text"), x["hits"].alias("hits"), x["start"].alias("start"), (F.coalesce(taken, empty) if results else empty).alias("benefits"))
 
-        return F.transform(F.transform(texts, one), benefits)
+        return F.transform(F.transform(F.transform(F.transform(texts, hay), read), one), benefits)
 
-    none = F.transform(texts, lambda x: F.struct(x.alias("text"), F.lit("").alias("hits"), F.lit("").alias("start"), F.array().cast("array<string>").alias("benefits")))
+    none = F.transform(texts, lambda x: F.struct(x.alias("text"), F.lit("").alias("hits"), F.lit("").alias("start"), empty.alias("benefits")))
     return F.coalesce(L.by_language(lang, of), none)
 
 

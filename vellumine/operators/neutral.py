@@ -58,9 +58,11 @@ def tallied(rows: DataFrame, out: str, words: Column) -> DataFrame:
     """``rows`` with the different words as (n, word), the most frequent first, of equal ones that which comes first.
 
     Sorted words stand in runs; a run's length is the distance to the next one's beginning, so the
-    work is that of sorting.
+    work is that of sorting.  Words that all differ need none.
     """
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    rows = rows.withColumn("__x_1", F.size(F.array_distinct(words)) == F.size(words))
+    again = F.when(F.col("__x_1"), F.slice(words, 1, 0)).otherwise(words)
+    placed = F.array_sort(F.transform(again, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     rows = rows.withColumn("__x_s", placed)
     begins = F.filter(F.transform("__x_s", lambda x, k: F.when((k == 0) | (x["w"] != F.get("__x_s", k - 1)["w"]), k)), lambda k: k.isNotNull())
     rows = rows.withColumn("__x_b", begins)
@@ -68,8 +70,9 @@ def tallied(rows: DataFrame, out: str, words: Column) -> DataFrame:
         "__x_b",
         lambda b, j: F.struct((b - F.coalesce(F.get("__x_b", j + 1), F.size("__x_s"))).alias("less"), F.get("__x_s", b)["i"].alias("i"), F.get("__x_s", b)["w"].alias("word")),
     )
-    rows = rows.withColumn(out, F.transform(F.array_sort(runs), lambda r: F.struct((-r["less"]).alias("n"), r["word"].alias("word"))))
-    return rows.drop("__x_s", "__x_b")
+    each = F.transform(words, lambda w: F.struct(F.lit(1).alias("n"), w.alias("word")))
+    rows = rows.withColumn(out, F.when(F.col("__x_1"), each).otherwise(F.transform(F.array_sort(runs), lambda r: F.struct((-r["less"]).alias("n"), r["word"].alias("word")))))
+    return rows.drop("__x_s", "__x_b", "__x_1")
 
 
 def _anchor(counts: str, total: str) -> Column:

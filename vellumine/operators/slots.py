@@ -30,33 +30,42 @@ MOST_CHARS, MOST_MIDDLE = 160, 2
 # Fixed values.
 PRIORITY = {"opening": 0.82, "middle": 0.74, "ending": 0.80}
 BY_LINKS, BY_PLACE = 0.10, 0.03
+#: Sentences of a paragraph that are looked at: the first two and the last.
+LOOKED_AT = 3
 
 
 def candidates(articles: DataFrame) -> DataFrame:
-    """(article_id, lang, position, paragraph, place, sentence, n_paragraphs, text, before_head, before_tail, after_tail, before): all sentences that may be slots.
+    """(article_id, lang, position, paragraph, place, sentence, n_paragraphs, text, own, before_head, before_tail, after_tail, before): all sentences that may be slots.
 
-    ``place`` counts in the paragraph and ``sentence`` in the article, from 0; ``before`` is the paragraph before an ending.
+    ``place`` counts in the paragraph and ``sentence`` in the article, from 0.  ``own``, ``before_head``, ``after_tail`` and ``before`` (the paragraph before an
+    ending) are what ``markers.scan`` found; each sentence is scanned once, however many slots look at it.  ``before_tail`` is a text.
     """
     body, lang = T.clean(F.coalesce("text", F.lit(""))), F.col("lang")
     cut = articles.select("article_id", "lang", T.paragraphs(body, lang).alias("paras"))
     cut = cut.withColumn("cuts", F.transform("paras", lambda p: T.sentences(p, lang)))
-    cut = cut.withColumn("offsets", T.sums_before(F.transform("cuts", lambda s: F.size(s))))
     n = F.size("cuts")
+    text = lambda s, place: F.coalesce(F.get(s, place), F.lit(""))
+    looked = F.transform("cuts", lambda s: F.array(text(s, F.lit(0)), text(s, F.lit(1)), F.when(F.size(s) >= LOOKED_AT, F.get(s, F.size(s) - 1)).otherwise("")))
+    seen = F.concat(F.flatten(looked), F.array(text(F.col("paras"), n - 2)))
+    cut = cut.withColumns({"offsets": T.sums_before(F.transform("cuts", lambda s: F.size(s))), "x": M.scan(seen, lang, results=False)})
 
     def of(s: Column, i: Column) -> Column:
         left, right, last = F.get("cuts", i - 1), F.get("cuts", i + 1), F.size(s) - 1
+        ends = lambda s: F.least(F.size(s), F.lit(LOOKED_AT)) - 1
+        found = lambda i, k: F.get("x", i * LOOKED_AT + k)
 
-        def slot(position: str, place: Column) -> Column:
+        def slot(position: str, place: Column, k: Column) -> Column:
             return F.struct(
                 F.lit(position).alias("position"), i.alias("paragraph"), place.alias("place"), (F.get("offsets", i) + place).alias("sentence"), n.alias("n_paragraphs"), F.get(s, place).alias("text"),
-                F.get(left, F.lit(0)).alias("before_head"), F.get(left, F.size(left) - 1).alias("before_tail"), F.get(right, F.size(right) - 1).alias("after_tail"),
-                (F.get("paras", i - 1) if position == "ending" else F.lit(None).cast("string")).alias("before"),
+                found(i, k).alias("own"), F.when(left.isNotNull(), found(i - 1, F.lit(0))).alias("before_head"), F.get(left, F.size(left) - 1).alias("before_tail"),
+                F.when(right.isNotNull(), found(i + 1, ends(right))).alias("after_tail"), F.when(left.isNotNull() & F.lit(position == "ending"), F.get("x", F.size("x") - 1)).alias("before"),
             )
 
-        found = [
-            F.when(i == 0, slot("opening", F.lit(0))), F.when(i > 0, slot("middle", F.lit(0))), F.when((i > 0) & (last > 0), slot("middle", F.lit(1))), F.when(i == n - 1, slot("ending", last)),
+        slots = [
+            F.when(i == 0, slot("opening", F.lit(0), F.lit(0))), F.when(i > 0, slot("middle", F.lit(0), F.lit(0))), F.when((i > 0) & (last > 0), slot("middle", F.lit(1), F.lit(1))),
+            F.when(i == n - 1, slot("ending", last, ends(s))),
         ]
-        return F.array_compact(F.array(*found))
+        return F.array_compact(F.array(*slots))
 
     return cut.select("article_id", "lang", F.explode(F.flatten(F.transform("cuts", of))).alias("s")).select("article_id", "lang", "s.*")
 
@@ -73,21 +82,18 @@ def observed(slots: DataFrame) -> DataFrame:
     """Slots with what stands in their sentence and in those on either side."""
     c = F.col
     out = slots.withColumns({"has_before": c("before_head").isNotNull(), "has_after": c("after_tail").isNotNull()})
-    seen = F.array("text", *(F.coalesce(c(x), F.lit("")) for x in ("before_head", "after_tail", "before")))
-    out = out.withColumn("x", M.scan(seen, c("lang")))
-    own, head, tail = F.get("x", 0), F.when(c("has_before"), F.get("x", 1)).otherwise(F.get("x", 0)), F.when(c("has_after"), F.get("x", 2)).otherwise(F.get("x", 0))
+    own, head, tail = c("own"), F.coalesce("before_head", "own"), F.coalesce("after_tail", "own")
     short = lambda g: g.removeprefix("slot_")
     columns = {f"m_{short(g)}": M.strength(M.count(own["hits"], g)) for g in STRENGTHS}
     columns |= {f"p_{short(g)}": M.has(own["hits"], g) for g in PRESENT} | {f"k_{short(g)}": M.kinds(own["hits"], g) for g in KINDS}
     columns |= {f"s_{short(g)}": M.starts(own["start"], g) for g in ("slot_new_layer", "slot_onward_start", "context")}
-    plain = F.regexp_replace("text", r"\s+", "")
     columns |= {
-        "pressed": M.has(F.get("x", 3)["hits"], "slot_pressure"), "head_context": M.starts(head["start"], "context"), "r_head": M.count(head["hits"], "reference"), "r_own": M.count(own["hits"], "reference"),
-        "m_tail_extension": M.strength(M.count(tail["hits"], "tail_extension")), "p_forward": M.has(tail["hits"], "forward"), "n": F.length("text"), "n_plain": F.length(plain),
+        "pressed": F.coalesce(M.has(c("before")["hits"], "slot_pressure"), F.lit(False)), "head_context": M.starts(head["start"], "context"), "r_head": M.count(head["hits"], "reference"), "r_own": M.count(own["hits"], "reference"),
+        "m_tail_extension": M.strength(M.count(tail["hits"], "tail_extension")), "p_forward": M.has(tail["hits"], "forward"), "n": F.length("text"), "n_plain": F.length("text") - F.regexp_count("text", F.lit(r"\s")),
         "n_digits": F.regexp_count("text", F.lit(r"\p{Nd}|[%％]")), "n_commas": F.regexp_count("text", F.lit("[，,]")), "n_marks": F.regexp_count("text", F.lit("[，,、]")), "n_quotes": F.regexp_count("text", F.lit('[“”"]')),
-        "n_core": F.length(F.regexp_replace("text", r"[，。；、,;!?！？\s]", "")), "asks": c("text").rlike(r"[？?]\s*$"),
+        "n_core": F.length("text") - F.regexp_count("text", F.lit(r"[，。；、,;!?！？\s]")), "asks": c("text").rlike(r"[？?]\s*$"),
     }
-    out = out.withColumns(columns).drop("x")
+    out = out.withColumns(columns).withColumns({x: c(x)["text"] for x in ("before_head", "after_tail", "before")}).drop("own")
     for name in ("text", "before_tail"):
         out = out.withColumn("o", neutral.objects(F.coalesce(c(name), F.lit("")), c("lang")))
         out = neutral.tallied(out, f"c_{name}", c("o")).withColumn(f"n_{name}", F.size("o")).drop("o")
@@ -221,36 +227,47 @@ ENDING_TURNS = (
 )
 
 
-def _ending(before: str, back: str, pressed: str) -> tuple[str, str]:
-    """Function and reason of an ending, as expressions."""
+def _ending(before: str, back: str, measured: str) -> str:
+    """Reason of an ending, as an expression; ``measured``: the column of what a countermeasure fails by."""
     like = _TAIL_LIKE.format(before=before, back=back)
-    good = "({} AND k_action >= 1)".format(reason([(x.format(pressed=pressed, back=back), r) for x, r in MEASURE_FAILS], MEASURE_GOOD) + f" = '{MEASURE_GOOD}'")
     names = {"backward": "conclusion_backward_supported"}
     cases = [(f"marked AND {before} AND (k_action = 0 OR k_policy >= 2 OR k_value >= 2)", "conclusion_reclassified")]
     for where, turned, fails in ENDING_TURNS:
         cases += [(f"{where.format(back=back)} AND {like}", names.get(turned, f"conclusion_{turned}_reclassified")), (where.format(back=back), f"ending_countermeasure_{fails}")]
-    cases += [(good, MEASURE_GOOD), (like, "conclusion_fallback_reclassified")]
-    told = reason(cases, "ending_countermeasure_reject_surface_only")
-    return reason([(f"({told}) LIKE 'conclusion%'", "conclusion"), (f"({told}) = '{MEASURE_GOOD}'", "countermeasure")]), told
+    cases += [(f"({measured} = '{MEASURE_GOOD}' AND k_action >= 1)", MEASURE_GOOD), (like, "conclusion_fallback_reclassified")]
+    return _at("ending", reason(cases, "ending_countermeasure_reject_surface_only"))
+
+
+def _measure(back: str, pressed: str) -> str:
+    return _at("ending", reason([(x.format(pressed=pressed, back=back), r) for x, r in MEASURE_FAILS], MEASURE_GOOD))
+
+
+def _function(told: str) -> str:
+    return reason([(f"{told} LIKE 'conclusion%'", "conclusion"), (f"{told} = '{MEASURE_GOOD}'", "countermeasure")])
+
+
+def _at(position: str, told: str) -> str:
+    """An expression that is only asked of slots there; the others have the empty word."""
+    return f"CASE WHEN position = '{position}' THEN {told} ELSE '' END"
 
 
 def _gap(name: str) -> str:
     return f"CASE WHEN {GAPS[name][0]} THEN {rounded(weighted(GAPS[name][1]))} ELSE -1e0 END"
 
 
-_OPENING = reason(OPENING_FAILS, OPENING_GOOD)
+_OPENING = _at("opening", reason(OPENING_FAILS, OPENING_GOOD))
 _SUMMARY_OPENING = "has_after AND m_closing >= 0.16 AND ahead >= 0.42 AND n_commas <= 4 AND NOT (n_digits > 0 AND n_commas >= 3)"
-_FULL, _ALONE = _ending("has_before", "back", "pressed"), _ending("false", "own_back", "false")
 GATES: list[rules.Layer] = [
     {"role": reason([(where, role) for role, _, where in ROLES]), "role_reason": reason([(where, why) for _, why, where in ROLES], "middle_role_unresolved")},
     {x: rounded(x) for x in NUMBERS},
-    {f"gap_{name}": _gap(name) for name in GAPS} | {"opening_gate": _OPENING, "ending_function": _FULL[0], "ending_reason": _FULL[1], "ending_alone": _ALONE[0]}
-    | {"measure_gate": reason([(x.format(pressed="pressed", back="back"), r) for x, r in MEASURE_FAILS], MEASURE_GOOD)},
+    {f"gap_{name}": _gap(name) for name in GAPS} | {"opening_gate": _OPENING, "measure_gate": _measure("back", "pressed"), "measure_alone": _measure("own_back", "false")},
+    {"ending_reason": _ending("has_before", "back", "measure_gate"), "reason_alone": _ending("false", "own_back", "measure_alone")},
+    {"ending_function": _function("ending_reason"), "ending_alone": _function("reason_alone")},
     {"gap_best": "greatest(gap_carry_previous, gap_bridge, gap_lead_next)"},
     {
         "gap": reason([*((w, "") for w, _ in MIDDLE_FAILS), ("gap_best < 0", ""), *((f"gap_{name} = gap_best", name) for name in GAPS)]),
         "gap_reason": reason([*MIDDLE_FAILS, ("gap_best < 0", _NONE), *((f"gap_{name} = gap_best", GAPS[name][2]) for name in GAPS)]),
-        "opening_reason": reason([(_SUMMARY_OPENING, "summary_reclassified"), *OPENING_FAILS, *OPENING_MORE], OPENING_GOOD),
+        "opening_reason": _at("opening", reason([(_SUMMARY_OPENING, "summary_reclassified"), *OPENING_FAILS, *OPENING_MORE], OPENING_GOOD)),
     },
     {
         # what the contexts make of it

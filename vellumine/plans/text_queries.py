@@ -114,7 +114,8 @@ def slot_units(spark, sf_dir):
 def slot_gates(spark, sf_dir):
     """Every sentence of the documents that may be a slot, with trace, role and reasons; a test holds them against plain Python."""
     shown = ("article_id", "position", "paragraph", "sentence", *slots.NUMBERS, "role", "role_reason", "resolved", "resolved_reason", "function", "value_reason", "ready")
-    return slots.gates(articles(spark, sf_dir)).select(*shown)
+    # a table may come in one piece; without a number of partitions Spark sizes them itself
+    return slots.gates(articles(spark, sf_dir).repartition("article_id")).select(*shown)
 
 
 _TOKENS = """list_filter(list_distinct(list_concat(regexp_extract_all(lower({0}), '[a-z0-9]{{2,}}'), list_transform(range(1, length(regexp_replace({0}, '[^一-鿿]+', '', 'g'))),
